@@ -53,14 +53,16 @@ def plain_text(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
-def with_group_facts(rows: DataFrame, key: str, id_col: str, salts: int = 32) -> DataFrame:
+def with_group_facts(rows: DataFrame, key: str, id_col: str, salts: int = 32, more=None) -> DataFrame:
     """Adds ``keep_id`` (smallest id) and ``group_size`` of each row's group of equal ``key``.
 
     A group may hold a third of all rows, so each group is dealt over ``salts`` sub-groups: they are
-    aggregated first, and the facts return to the rows by (key, salt).
+    aggregated first, and the facts return to the rows by (key, salt). ``more`` may add columns to the
+    facts, one row per key.
     """
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int"))
     parts = salted.groupBy(key, "__salt").agg(F.min(id_col).alias("__least"), F.count(F.lit(1)).alias("__rows"))
     facts = parts.groupBy(key).agg(F.min("__least").alias("keep_id"), F.sum("__rows").alias("group_size"))
+    facts = more(facts) if more else facts
     per_salt = parts.select(key, "__salt").join(facts, key)
     return salted.join(per_salt, [key, "__salt"]).drop("__salt")

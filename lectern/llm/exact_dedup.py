@@ -57,26 +57,30 @@ def _local_hits(bits: int):
     return hits
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merges the hits of all tasks; a segment's bits that were hit twice or more remain."""
-    once: dict[int, np.ndarray] = {}
-    twice: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for segment, hit, again in zip(*(c.to_pylist() for c in batch.columns)):
-            one = once.setdefault(segment, np.zeros(SEGMENT, bool))
-            two = twice.setdefault(segment, np.zeros(SEGMENT, bool))
-            at = np.frombuffer(hit, "<u2")
-            two[at[one[at]]] = True
-            two[np.frombuffer(again, "<u2")] = True
-            one[at] = True
-    for segment, two in twice.items():
-        if two.any():
-            packed = np.packbits(two, bitorder="little").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()), pa.array([packed], pa.binary())], ["segment", "bits"])
-
-
-def repeat_filter(hashes: DataFrame, column: str = "h", max_filter_bits: int = MAX_FILTER_BITS):
-    """A boolean Column function: may this hash occur more than once in ``hashes``?
+def _merge(times: int):
+    """Merges the hits of all tasks; the bits of a segment that were hit so often remain."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once: dict[int, np.ndarray] = {}
+        twice: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for segment, hit, again in zip(*(c.to_pylist() for c in batch.columns)):
+                one = once.setdefault(segment, np.zeros(SEGMENT, bool))
+                two = twice.setdefault(segment, np.zeros(SEGMENT, bool))
+                at = np.frombuffer(hit, "<u2")
+                two[at[one[at]]] = True
+                two[np.frombuffer(again, "<u2")] = True
+                one[at] = True
+        for segment, bits in (twice if times > 1 else once).items():
+            if bits.any():
+                packed = np.packbits(bits, bitorder="little").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()), pa.array([packed], pa.binary())], ["segment", "bits"])
+
+    return merge
+
+
+def repeat_filter(hashes: DataFrame, column: str = "h", max_filter_bits: int = MAX_FILTER_BITS, times: int = 2):
+    """A boolean Column function: may this hash occur ``times`` (1 or 2) times or more in ``hashes``?
 
     Never false for a hash that does.
     """
@@ -87,7 +91,7 @@ def repeat_filter(hashes: DataFrame, column: str = "h", max_filter_bits: int = M
         bits *= 2
     bits = min(bits, max(SEGMENT, max_filter_bits))
     hits = hashes.select(column).mapInArrow(_local_hits(bits), "segment long, hit binary, again binary")
-    merged = hits.repartition("segment").mapInArrow(_merge, "segment long, bits binary")
+    merged = hits.repartition("segment").mapInArrow(_merge(times), "segment long, bits binary")
     filled = np.zeros(bits // 8, np.uint8)
     for segment, packed in merged.collect():  # bits / 8 bytes at most
         filled[segment * SEGMENT // 8 : (segment + 1) * SEGMENT // 8] = np.frombuffer(packed, np.uint8)
