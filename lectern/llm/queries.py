@@ -9,12 +9,21 @@ from pyspark.sql import functions as F
 
 from lectern.llm._shared import read_table
 from lectern.llm.exact_dedup import exact_groups
+from lectern.llm.near_dedup import near_groups
+from lectern.llm.packing import pack_documents
 from lectern.llm.sharding import byte_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public vocabulary file is installed; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _query(f):
     QUERIES[f.__name__] = f
     return f
@@ -26,6 +35,42 @@ def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@_query
+def op5_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@_query
+def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(read_table(spark, sf_dir, "documents"), words=4, similarity=0.8)
+
+
+ORACLES["op7_chosen_path"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[ 	
+]+'), lambda x: x <> '') AS words FROM documents
+), s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END)) AS shingle FROM w
+), n AS (
+  SELECT w.doc_id, count(shingle) AS n FROM w LEFT JOIN s ON w.doc_id = s.doc_id GROUP BY w.doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)
+), e AS (
+  SELECT a AS u, b AS v FROM l UNION SELECT b, a FROM l
+), r AS (
+  SELECT doc_id AS u, doc_id AS v FROM w UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u
+)
+SELECT n.doc_id, n.n AS n_shingles, min(r.v) AS component_id, n.doc_id = min(r.v) AS kept
+FROM n JOIN r ON r.u = n.doc_id GROUP BY n.doc_id, n.n
+"""
+
+
 @_query
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents"))
