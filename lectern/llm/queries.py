@@ -11,6 +11,7 @@ from lectern.llm._shared import read_table
 from lectern.llm.exact_dedup import exact_groups
 from lectern.llm.near_dedup import near_groups
 from lectern.llm.packing import pack_documents
+from lectern.llm.quality_pu import quality_scores
 from lectern.llm.sharding import byte_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,7 +52,8 @@ WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[ 	
-]+'), lambda x: x <> '') AS words FROM documents
+
+]+'), lambda x: x <> '') AS words FROM documents
 ), s AS (
   SELECT doc_id, unnest(list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
     ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END)) AS shingle FROM w
@@ -85,3 +87,8 @@ WITH n AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n.t) AS text_sha256
 FROM n JOIN g ON n.t = g.t
 """
+
+
+@_query
+def op9_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), threshold=0.3)
