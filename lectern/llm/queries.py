@@ -11,6 +11,7 @@ from lectern.llm._shared import read_table
 from lectern.llm.exact_dedup import exact_groups
 from lectern.llm.near_dedup import near_groups
 from lectern.llm.packing import pack_documents
+from lectern.llm.pii import find_personal_data, listed
 from lectern.llm.quality_pu import quality_scores
 from lectern.llm.sharding import byte_shards
 
@@ -30,6 +31,13 @@ def _query(f):
     return f
 
 
+@_query
+def op3_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(read_table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", of("email"), of("ip"), of("card"), of("phone"), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 @_query
 def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = byte_shards(read_table(spark, sf_dir, "documents"), 8)
