@@ -13,6 +13,7 @@ from lectern.llm.near_dedup import near_groups
 from lectern.llm.packing import pack_documents
 from lectern.llm.pii import find_personal_data, listed
 from lectern.llm.quality_pu import quality_scores
+from lectern.llm.sentencepiece_codec import encode_documents
 from lectern.llm.sharding import byte_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +51,14 @@ def op5_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@_query
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 @_query
 def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read_table(spark, sf_dir, "documents"), words=4, similarity=0.8)
