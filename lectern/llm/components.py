@@ -20,7 +20,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         moved = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         moved = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return moved.where("u <> v").distinct()
+    return moved.where("u <> v")
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge, to a node that has none but from larger ones."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    sums = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return sums.where("up > 1 or (up = 1 and down = 1)").isEmpty() and edges.where("v > u").isEmpty()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -31,11 +38,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     ever gathered: a step is a grouped minimum and a join, which Spark splits when a node is hot.
     """
     now = durable(edges.select("u", "v").where("u <> v").distinct(), "edges")
-    seen = None
     for _ in range(rounds):
-        facts = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if facts == seen or facts["n"] == 0:
+        if now.isEmpty() or _settled(now):
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        seen = facts
-        now = durable(_star(_star(now, True), False), "edges")
+        now = durable(_star(_star(now, True), False).distinct(), "edges")
     raise RuntimeError(f"components did not settle in {rounds} rounds")

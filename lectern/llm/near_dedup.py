@@ -11,9 +11,10 @@ Branching goes on only where a node is large:
 
 * a node of at most ``LEAF`` classes is compared exhaustively, in one vectorised task step;
 * a larger node branches again;
-* a node that hardly shrinks is a crowd of near copies. All its members are compared with two pivots;
-  those that stay apart from the crowd's main component are then compared with every member of other
-  components, in blocks. A crowd of n costs a multiple of n, and no link between components is lost.
+* a node that hardly shrinks is a crowd of near copies. All its members are compared with a pivot; those
+  that it doesn't link are compared with all members, in blocks. Only links that connect something new
+  within a block are emitted, so a crowd of n gives a multiple of n of them, and none between components
+  is lost.
 
 Comparisons of minwise sketches only choose candidates. Every link is confirmed on the full shingle
 sets, which are rebuilt from the texts of candidates alone: a bitmap of bounded size lets the texts of
@@ -40,11 +41,12 @@ from lectern.llm.exact_dedup import repeat_filter
 MINWISE = 128
 CHILDREN = 2
 LEAF = 48
-MAX_DEPTH = 5
-BLOCK = 2048
+MAX_DEPTH = 4
+#: A node that keeps more than this part of its parent is a crowd.
+CROWD = 0.35
+BLOCK = 1024
 #: Standard deviations of a sketch's estimate that a candidate may lie below the threshold.
 SLACK = 4.5
-FIRST_PARTNERS = 8
 
 _FACTOR = (mix(np.arange(1, MINWISE + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _SHIFT = (mix(np.arange(1001, MINWISE + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -169,46 +171,106 @@ def _leaves(similarity: float):
     return leaves
 
 
-def _outsiders(similarity: float, most: int | None):
-    """Groups of (node, block): compares outsiders with the members of other components.
+def _linked(own: np.ndarray, sets: list[np.ndarray], whole: int) -> np.ndarray:
+    """Which of the sets have a Jaccard similarity of ``whole`` thousandths or more with ``own``."""
+    sizes = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets)
+    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+    both = np.add.reduceat(own[at] == flat, np.cumsum([0, *sizes[:-1]]), dtype=np.int64)
+    return 1000 * both >= whole * (sizes + len(own) - both)
 
-    Rows: node, block, outsider, id, component, n_shingles, sketch; a group's rows together, its
-    outsiders first. ``most``: partners of an outsider to name, the likeliest first; None: all.
-    """
 
-    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        outside = rows.column(2).to_numpy(zero_copy_only=False).astype(bool)
-        who, members = np.flatnonzero(outside), np.flatnonzero(~outside)
-        ids = rows.column(3).combine_chunks()
-        component = rows.column(4).combine_chunks().to_numpy(zero_copy_only=False)
-        sizes, sketches = rows.column(5).to_numpy(), _bytes_of(rows.column(6))
-        for k in who:
-            equal = np.count_nonzero(sketches[members] == sketches[k], axis=1)
-            hit = np.flatnonzero(_like(sizes[members], sizes[k], equal, similarity) & (component[members] != component[k]))
-            if most is not None and len(hit) > most:
-                hit = hit[np.argsort(-equal[hit], kind="stable")[:most]]
-            if len(hit):
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.full(len(hit), k))), ids.take(pa.array(members[hit]))], ["a", "b"])
+def _by_block(compare):
+    """Calls ``compare`` with the rows of each (crowd, block), which come together."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held = pa.concat_tables([held, pa.Table.from_batches([batch])]) if held is not None else pa.Table.from_batches([batch])
-            while True:
-                node, block = held.column(0).to_numpy(), held.column(1).to_numpy()
-                other = np.flatnonzero((node != node[0]) | (block != block[0]))
-                if not len(other):
-                    break
-                yield from compare(held.slice(0, int(other[0])))
-                held = held.slice(int(other[0]))
-        if held is not None and held.num_rows:
-            yield from compare(held)
+            while batch.num_rows:
+                crowd, block = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                if held and (held[-1].column(0)[0].as_py(), held[-1].column(1)[0].as_py()) != (crowd[0], block[0]):
+                    yield compare(pa.Table.from_batches(held))
+                    held = []
+                same = next((k for k in range(len(crowd)) if crowd[k] != crowd[0] or block[k] != block[0]), len(crowd))
+                held.append(batch.slice(0, same))
+                batch = batch.slice(same)
+        if held:
+            yield compare(pa.Table.from_batches(held))
 
     return groups
 
 
+def _insiders(similarity: float):
+    """Rows crowd, block, visitor, id, sketch, set; the visitor is the pivot. Which members link with it?"""
+    whole = round(similarity * 1000)
+
+    def compare(rows: pa.Table) -> pa.RecordBatch:
+        visitor = rows.column(2).to_numpy(zero_copy_only=False).astype(bool)
+        pivot, members = int(np.flatnonzero(visitor)[0]), np.flatnonzero(~visitor)
+        sets = [np.frombuffer(x, "<u8") for x in rows.column(5).to_pylist()]
+        inside = _linked(sets[pivot], [sets[m] for m in members], whole) if len(members) else np.zeros(0, bool)
+        crowd, ids = rows.column(0).combine_chunks(), rows.column(3).combine_chunks()
+        return pa.RecordBatch.from_arrays([crowd.take(pa.array(members)), ids.take(pa.array(members)), pa.array(inside)], ["crowd", "id", "inside"])
+
+    return _by_block(compare)
+
+
+def _outsiders(similarity: float):
+    """Rows crowd, block, visitor, id, sketch, set, inside; visitors are the crowd's outsiders.
+
+    Links visitors with the block's members, the likeliest first. Members inside are one component
+    already; a link between what is connected within the block is left out, so that the links of a
+    block are no more than its rows.
+    """
+    whole = round(similarity * 1000)
+
+    def compare(rows: pa.Table) -> pa.RecordBatch:
+        visitor = rows.column(2).to_numpy(zero_copy_only=False).astype(bool)
+        who, members = np.flatnonzero(visitor), np.flatnonzero(~visitor)
+        sketches = _bytes_of(rows.column(4))
+        sets = [np.frombuffer(x, "<u8") for x in rows.column(5).to_pylist()]
+        inside = rows.column(6).to_numpy(zero_copy_only=False).astype(bool)
+        sizes = np.array([len(x) for x in sets])
+        ids = rows.column(3).combine_chunks()
+        # components by number: -1 inside; an outsider in its own block is one node with itself as visitor
+        component = np.where(inside, -1, np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1])
+        near, others = sketches[members], component[members]
+        left, right = [], []
+        for k in who:
+            equal = np.count_nonzero(near == sketches[k], axis=1)
+            hit = np.flatnonzero(_like(sizes[members], sizes[k], equal, similarity) & (others != component[k]))
+            hit = hit[np.argsort(-equal[hit], kind="stable")]
+            step = 8
+            while len(hit):
+                now, hit, step = hit[:step], hit[step:], 4 * step
+                good = now[_linked(sets[k], [sets[members[m]] for m in now], whole)]
+                for m in good:
+                    if component[k] != component[members[m]]:
+                        left.append(k)
+                        right.append(members[m])
+                        a, b = sorted((component[k], component[members[m]]))
+                        component[component == b] = a
+                others = component[members]
+                hit = hit[others[hit] != component[k]]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(left, pa.int64())), ids.take(pa.array(right, pa.int64()))], ["u", "v"])
+
+    return _by_block(compare)
+
+
+def _sets(words: int):
+    """(id, text) to (id, set): the full shingle set as sorted 64-bit hashes."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.lower() for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            for a, b in chunks(texts):
+                hashes, bounds, _ = word_hashes(texts[a:b])
+                own = [x.astype("<u8").tobytes() for x in shingle_hashes(hashes, bounds, words)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(own, pa.binary())], ["id", "set"])
+
+    return sets
+
+
 def _confirm(words: int, similarity: float):
     """Rows (a, b, text_a, text_b): the pairs whose full shingle sets are similar enough."""
     whole, part = round(similarity * 1000), 1000
@@ -257,9 +319,8 @@ def near_groups(
     lone = base.where("key is null or id is null")
 
     # one representative a class of equal word sequences
-    least = full.groupBy("key").agg(F.min("id").alias("id"))
-    reps = full.join(least, ["key", "id"], "left_semi").dropDuplicates(["key"])
-    reps = durable(reps.select("id", "n_shingles", "tokens", "nodes"), "classes")
+    reps = full.groupBy("key").agg(F.min(F.struct("id", "n_shingles", "tokens", "nodes")).alias("r")).select("r.*")
+    reps = durable(reps, "classes")
     star = _link(reps, named, kind, words, similarity)
 
     def reached(facts: DataFrame) -> DataFrame:
@@ -281,7 +342,7 @@ def _link(reps: DataFrame, named: DataFrame, kind: str, words: int, similarity:
         small.append(level.where(F.col("n") <= LEAF).select("node", "id"))
         large = level.where(F.col("n") > LEAF)
         # a child nearly as large as its parent is a crowd: branching doesn't part it
-        crowd = F.lit(depth == MAX_DEPTH) | (F.col("parent_n").isNotNull() & (F.col("n") > 0.5 * F.col("parent_n")))
+        crowd = F.lit(depth == MAX_DEPTH) | (F.col("parent_n").isNotNull() & (F.col("n") > CROWD * F.col("parent_n")))
         crowds.append(large.where(crowd).select("node", "id", "n"))
         large = large.where(~crowd)
         if depth == MAX_DEPTH or large.isEmpty():
@@ -295,20 +356,16 @@ def _link(reps: DataFrame, named: DataFrame, kind: str, words: int, similarity:
     leaves = leaves.repartition("node").sortWithinPartitions("node")
     pairs = leaves.mapInArrow(_leaves(similarity), f"a {kind}, b {kind}")
 
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = durable(pairs, "pairs")
     crowd = durable(_union(crowds), "crowds")
-    dense = not crowd.isEmpty()
-    if dense:
-        pivots = crowd.groupBy("node").agg(F.min("id").alias("p"), F.max("id").alias("q"))
-        met = crowd.join(pivots, "node")
-        pairs = pairs.union(met.select("p", "id")).union(met.select("q", "id")).toDF("a", "b")
-    links = durable(_confirmed(pairs, named, kind, words, similarity), "links")
-    star = components(links)
-    for most in (FIRST_PARTNERS, None) if dense else ():
-        found = durable(_confirmed(_rest(crowd, star, eight, kind, similarity, most), named, kind, words, similarity), "links")
-        if not found.isEmpty():
-            links = links.union(found)
-            star = components(links)
-    return star
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    if crowd.isEmpty():
+        texts = durable(_texts(ids.distinct(), named), "texts")
+        return components(_confirmed(pairs, texts, kind, words, similarity))
+    texts = durable(_texts(ids.union(crowd.select("id")).distinct(), named), "texts")
+    links = _confirmed(pairs, texts, kind, words, similarity)
+    return components(links.union(_crowd_links(crowd, eight, texts, kind, words, similarity)))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -324,33 +381,38 @@ def _eight_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low, pa.binary())], ["id", "n_shingles", "sketch"])
 
 
-def _rest(crowd: DataFrame, star: DataFrame, eight: DataFrame, kind: str, similarity: float, most: int | None) -> DataFrame:
-    """Candidates between the components that meet in a crowd."""
-    member = crowd.join(star.withColumnRenamed("node", "who"), F.col("id") == F.col("who"), "left")
-    member = member.select("node", "id", "n", F.coalesce("component", "id").alias("component"))
-    sizes = member.groupBy("node", "component").agg(F.count(F.lit(1)).alias("size"))
-    main = sizes.groupBy("node").agg(F.max(F.struct("size", "component")).alias("m"), F.count(F.lit(1)).alias("parts"))
-    main = main.where("parts > 1").select("node", F.col("m.component").alias("main"))
-    split = durable(member.join(main, "node").join(eight, "id"), "crowd")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    columns = ("node", "block", "outsider", "id", "component", "n_shingles", "sketch")
-    inside = split.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("outsider", F.lit(False)).select(*columns)
-    outside = split.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("outsider", F.lit(True)).select(*columns)
-    rows = inside.union(outside).repartition("node", "block").sortWithinPartitions("node", "block", F.desc("outsider"))
-    return rows.mapInArrow(_outsiders(similarity, most), f"a {kind}, b {kind}")
+def _crowd_links(crowd: DataFrame, eight: DataFrame, texts: DataFrame, kind: str, words: int, similarity: float) -> DataFrame:
+    """Links (u, v) that connect what is connected among the members of each crowd."""
+    # nodes with the same least member are one crowd
+    pivots = crowd.groupBy("node").agg(F.min("id").alias("crowd"))
+    member = crowd.join(pivots, "node").select("crowd", "id").distinct()
+    sets = texts.join(member.select("id").distinct(), "id", "left_semi").mapInArrow(_sets(words), f"id {kind}, set binary")
+    sizes = member.groupBy("crowd").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    member = durable(member.join(sizes, "crowd").join(eight.select("id", "sketch"), "id").join(sets, "id"), "crowd-members")
+    columns = ("crowd", "block", "visitor", "id", "sketch", "set")
+
+    def dealt(rows: DataFrame, visitors: DataFrame, *more: str) -> DataFrame:
+        """Members in blocks, and the visitors of a crowd in each of its blocks."""
+        inside = rows.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("visitor", F.lit(False))
+        visit = visitors.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("visitor", F.lit(True))
+        both = inside.select(*columns, *more).union(visit.select(*columns, *more))
+        return both.repartition("crowd", "block").sortWithinPartitions("crowd", "block")
+
+    first = dealt(member, member.where("id = crowd")).mapInArrow(_insiders(similarity), f"crowd {kind}, id {kind}, inside boolean")
+    flagged = durable(member.join(first, ["crowd", "id"]), "crowd-flagged")
+    rest = dealt(flagged, flagged.where("not inside"), "inside").mapInArrow(_outsiders(similarity), f"u {kind}, v {kind}")
+    return flagged.where("inside").select(F.col("id").alias("u"), F.col("crowd").alias("v")).where("u <> v").union(rest)
+
+
+def _texts(ids: DataFrame, named: DataFrame) -> DataFrame:
+    """(id, text) of these ids; texts that a bitmap of bounded size rules out are not shuffled."""
+    wanted = repeat_filter(ids.select(F.xxhash64("id").alias("h")), "h", times=1)
+    return named.where("id is not null").where(wanted(F.xxhash64("id"))).join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
-def _confirmed(pairs: DataFrame, named: DataFrame, kind: str, words: int, similarity: float) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, kind: str, words: int, similarity: float) -> DataFrame:
     """The links (u, v) among candidate pairs (a, b), by the full sets of their texts."""
-    pairs = durable(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    hashed = ids.select("id", F.xxhash64("id").alias("h"))
-    wanted = repeat_filter(hashed, "h", times=1)
-    texts = named.where("id is not null").where(wanted(F.xxhash64("id"))).join(ids, "id", "left_semi").dropDuplicates(["id"])
-    texts = durable(texts, "texts")
-    left = texts.toDF("a", "text_a")
-    right = texts.toDF("b", "text_b")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(_confirm(words, similarity), f"u {kind}, v {kind}")
 
 

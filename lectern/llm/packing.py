@@ -29,7 +29,7 @@ END_ID = 1
 #: Lengths over this part of the capacity are large, and dealt into so many groups. The plan that needs
 #: the fewest sequences is used.
 SETTINGS = ((1 / 5, 6), (1 / 5, 10), (1 / 3, 6), (1 / 3, 10), (1 / 5, 14), (1 / 3, 14))
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_200_000
 PIECES = "id {id}, piece int, start long, length long, ids_crc32 long"
 
 _words: dict[str, dict[bytes, bytes]] = {}
@@ -55,13 +55,23 @@ def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
     """
     known = _words.setdefault(path, {})
     split = [x.split() for x in texts]
-    new = list(set().union(*split).difference(known))
+    new = set().union(*split).difference(known)
     if new:
-        if len(known) + len(new) > CACHED_WORDS:
+        if len(known) + 2 * len(new) > CACHED_WORDS:
             known.clear()
-            new = list(set().union(*split))
-        found = _tokenizer(path).encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        known.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(new, found))
+            new = set().union(*split)
+        # letters and a stop or comma after them are tokens apart, and case is dropped
+        parts = {}
+        for word in new:
+            body = word.rstrip(b".,")
+            if body.isalpha():
+                parts[word] = (body.lower(), word[len(body) :])
+        apart = {x for pair in parts.values() for x in pair}
+        whole = [w for w in (new - parts.keys() | apart) - known.keys() if w]
+        found = _tokenizer(path).encode_batch_fast([w.decode("utf-8", "replace") for w in whole], add_special_tokens=False)
+        known.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(whole, found))
+        known[b""] = b""
+        known.update((w, known[body] + known[tail]) for w, (body, tail) in parts.items())
     return [b"".join([known[w] for w in words]) for words in split]
 
 

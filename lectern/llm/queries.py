@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm._shared import read_table
 from lectern.llm.exact_dedup import exact_groups
+from lectern.llm.line_dedup import dropped_lines
 from lectern.llm.near_dedup import near_groups
 from lectern.llm.packing import pack_documents
 from lectern.llm.pii import find_personal_data, listed
@@ -109,3 +110,37 @@ FROM n JOIN g ON n.t = g.t
 @_query
 def op9_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+@_query
+def op10_deletion_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dropped_lines(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_copies", "n_near", F.array_join(F.transform("dropped", lambda k: k.cast("string")), ",").alias("dropped"))
+
+
+ORACLES["op10_deletion_neighbourhood"] = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents
+), w AS (
+  SELECT doc_id, line_no, doc_id * 10000000 + line_no AS place,
+    list_filter(regexp_split_to_array(lower(line), '[ 	
+]+'), lambda x: x <> '') AS words FROM l
+), k AS (
+  SELECT *, array_to_string(words, ' ') AS key, len(words) AS n FROM w
+), d AS (
+  SELECT key, any_value(words) AS words, any_value(n) AS n, min(place) AS first FROM k WHERE n > 0 GROUP BY key
+), v AS (
+  SELECT key, first, i, n - 1 AS m, array_to_string(list_concat(words[1:i - 1], words[i + 1:]), ' ') AS variant
+  FROM (SELECT key, first, n, words, unnest(range(1, n + 1)) AS i FROM d)
+), near AS (
+  SELECT a.key FROM v a JOIN v b ON a.variant = b.variant AND a.i = b.i AND a.m = b.m AND b.first < a.first
+  UNION SELECT a.key FROM v a JOIN d b ON a.variant = b.key AND b.first < a.first AND b.n = a.m
+  UNION SELECT b.key FROM v a JOIN d b ON a.variant = b.key AND a.first < b.first AND b.n = a.m
+), j AS (
+  SELECT k.doc_id, k.line_no, k.n, CASE WHEN k.n = 0 THEN 'kept' WHEN d.first < k.place THEN 'copy' WHEN near.key IS NOT NULL THEN 'near' ELSE 'kept' END AS verdict
+  FROM k LEFT JOIN d ON k.key = d.key AND k.n > 0 LEFT JOIN near ON near.key = k.key AND k.n > 0
+)
+SELECT doc_id, count(*) FILTER (n > 0) AS n_lines, count(*) FILTER (verdict = 'copy') AS n_copies, count(*) FILTER (verdict = 'near') AS n_near,
+  coalesce(string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) FILTER (verdict <> 'kept'), '') AS dropped
+FROM j GROUP BY doc_id
+"""
