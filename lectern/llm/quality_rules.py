@@ -7,8 +7,9 @@ holdout, the good documents of the stratum: with k of n rejected, the exact bino
     P(Bin(n, a) <= k)
 
 is the p-value of "this cutoff rejects more than the share a of good documents". Testing goes on while
-the p-value is at most delta / (strata * rules); the last cutoff that passes is used, and a rule with
-none rejects nothing. Testing in a fixed order needs no correction within a rule, and the Bonferroni
+the p-value is at most delta / (strata * rules). All cutoffs that pass are safe together; of them the one
+is used that best tells the stratum's labelled good from its bad (the most lenient of equals), and a rule
+with none rejects nothing. Testing in a fixed order needs no correction within a rule, and the Bonferroni
 division corrects for the strata and rules. Each rule gets an equal part a = alpha / rules, so that with
 probability 1 - delta no stratum loses more than the share alpha of its good documents to all rules
 together. Exact copies in the holdout are not independent; remove them first where that matters.
@@ -65,9 +66,9 @@ def text_facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     stratum = F.lower(F.col(stratum_col)) if stratum_col in docs.columns else F.lit(None).cast("string")
     named = docs.select(F.col(id_col).alias("id"), F.when(stratum.rlike("^[a-z]{2}$"), stratum).otherwise("other").alias("stratum"), plain_text(F.col(text_col)).alias("text"))
-    words = f"array(filter(split(text, '{SPACES}', -1), x -> x <> ''))"
+    words = f"""array(filter(split(text, r"{SPACES}", -1), x -> x <> ''))"""
     of_words = F.expr(f"element_at(transform({words}, w -> named_struct('n', size(w), 'distinct', size(array_distinct(w)), 'again', {_repeated('w')})), 1)")
-    lines = r"array(filter(split(text, '\n', -1), x -> translate(x, ' \t\u000B\f\r', '') <> ''))"
+    lines = "array(filter(split(text, '\n', -1), x -> translate(x, ' \t\x0b\f\r', '') <> ''))"
     of_lines = F.expr(f"element_at(transform({lines}, l -> named_struct('n', size(l), 'distinct', size(array_distinct(l)))), 1)")
     without = lambda chars: F.length(F.translate("text", chars, ""))
     facts = named.select(
@@ -109,25 +110,30 @@ def controlled_cutoffs(facts: DataFrame, labels: DataFrame, alpha: float = ALPHA
     The holdout of a stratum is its documents labelled 1 that pass the base rules; of repeated labels of
     an id the largest counts. Strata without any are not tested.
     """
-    good = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("label")).where("label = 1")
-    holdout = facts.where(~base_failed()).join(good, F.col("id") == F.col("__id"), "left_semi")
+    own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("label"))
+    holdout = facts.where(~base_failed()).join(own, F.col("id") == F.col("__id"))
     # the first candidate that rejects a document; all stricter ones do too
     first = lambda rule: F.expr(f"size(filter(array({', '.join(map(str, cutoffs(rule)))}), c -> c >= {RULES[rule][0]}))")
-    each = holdout.select("stratum", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), first(r).alias("at")) for r in RULES])).alias("x"))
-    # one row per stratum, rule and candidate: a table of bounded size
-    counts = durable(each.groupBy("stratum", "x.rule", "x.at").agg(F.count(F.lit(1)).alias("docs")), "rule-counts")
-    strata = counts.select("stratum").distinct().count()
-    if not strata:
-        return counts.selectExpr("stratum", "rule", "docs as holdout", "at as cutoff", "docs as false_rejections", "0D as p_value")
-    totals = counts.groupBy("stratum", "rule").agg(F.sum("docs").alias("n"), F.collect_list(F.struct("at", "docs")).alias("by"))
-    candidates = totals.select("stratum", "rule", "n", "by", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))).alias("step"))
-    tested = candidates.select("stratum", "rule", "n", "step", F.expr("aggregate(filter(by, b -> b.at <= step), 0L, (a, b) -> a + b.docs)").alias("k"))
+    each = holdout.select("stratum", "label", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), first(r).alias("at")) for r in RULES])).alias("x"))
+    # one row per stratum, rule, candidate and label: a table of bounded size
+    counts = durable(each.groupBy("stratum", "x.rule", "x.at", "label").agg(F.count(F.lit(1)).alias("docs")), "rule-counts")
+    strata = counts.where("label = 1").select("stratum").distinct().count()
+    totals = counts.groupBy("stratum", "rule").agg(
+        F.sum(F.when(F.col("label") == 1, F.col("docs")).otherwise(0)).alias("n"),
+        F.sum(F.when(F.col("label") == 0, F.col("docs")).otherwise(0)).alias("bad"),
+        F.collect_list(F.struct("at", "label", "docs")).alias("by"),
+    )
+    rejected = lambda label: F.expr(f"aggregate(filter(by, b -> b.at <= step and b.label = {label}), 0L, (a, b) -> a + b.docs)")
+    candidates = totals.where("n > 0").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))))
+    tested = candidates.select("stratum", "rule", "n", "bad", "step", rejected(1).alias("k"), rejected(0).alias("b"))
     tested = tested.withColumn("p_value", binomial_tail("n", "k", alpha / len(RULES)))
-    failed = F.col("p_value") > delta / (strata * len(RULES))
-    run = tested.groupBy("stratum", "rule").agg(F.first("n").alias("holdout"), F.min(F.when(failed, F.col("step"))).alias("stop"), F.collect_list(F.struct("step", "k", "p_value")).alias("tests"))
-    last = run.withColumn("step", F.coalesce("stop", F.lit(STEPS)) - 1).where("step >= 0").withColumn("test", F.element_at(F.filter("tests", lambda t: t["step"] == F.col("step")), 1))
-    cut = reduce(lambda c, r: c.when(F.col("rule") == r, F.element_at(F.array(*map(F.lit, cutoffs(r))), F.col("step") + 1)), RULES, F)
-    return last.select("stratum", "rule", "holdout", cut.alias("cutoff"), F.col("test.k").alias("false_rejections"), "test.p_value")
+    failed = F.col("p_value") > delta / (max(strata, 1) * len(RULES))
+    # how far the shares rejected of bad and of good are apart
+    tests = F.struct((F.col("b") * F.col("n") - F.col("k") * F.col("bad")).alias("apart"), (-F.col("step")).alias("lenient"), "step", "k", "p_value")
+    run = tested.groupBy("stratum", "rule").agg(F.first("n").alias("holdout"), F.min(F.when(failed, F.col("step"))).alias("stop"), F.collect_list(tests).alias("tests"))
+    best = run.withColumn("test", F.array_max(F.filter("tests", lambda t: F.col("stop").isNull() | (t["step"] < F.col("stop"))))).where("test is not null")
+    cut = reduce(lambda c, r: c.when(F.col("rule") == r, F.element_at(F.array(*map(F.lit, cutoffs(r))), F.col("test.step") + 1)), RULES, F)
+    return best.select("stratum", "rule", "holdout", cut.alias("cutoff"), F.col("test.k").alias("false_rejections"), "test.p_value")
 
 
 def quality_verdicts(

@@ -49,16 +49,18 @@ def op2_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _rules_sql() -> str:
     """The cutoffs' tests in SQL: all terms of the binomial tail, by lgamma."""
     share = ALPHA / len(RULES)
-    signals = " UNION ALL ".join(f"SELECT doc_id, lang, good, '{r}' AS rule, {RULES[r][0].replace(' div ', ' // ')} AS signal FROM f WHERE NOT base_failed" for r in RULES)
+    signals = " UNION ALL ".join(f"SELECT doc_id, lang, quality, '{r}' AS rule, {RULES[r][0].replace(' div ', ' // ')} AS signal FROM f WHERE NOT base_failed" for r in RULES)
     steps = " UNION ALL ".join(f"SELECT '{r}' AS rule, {k} AS step, {c} AS cut" for r in RULES for k, c in enumerate(cutoffs(r)))
     term = f"exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share}) + (n - i) * ln({1 - share}))"
     return rf"""
 WITH w AS (
   SELECT doc_id, lang, coalesce(text, '') AS t,
     list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	
-]+'), lambda x: x <> '') AS words,
+
+]+'), lambda x: x <> '') AS words,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	
-]')) AS lines
+
+]')) AS lines
   FROM documents
 ), g AS (
   SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i:i + 2]) AS n FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)
@@ -66,21 +68,23 @@ WITH w AS (
   SELECT doc_id, count(DISTINCT i) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS i FROM g WHERE n > 1) GROUP BY doc_id
 ), c AS (
   SELECT w.doc_id, lang, len(words) AS n_words, length(regexp_replace(t, '[ 	
-]', '', 'g')) AS word_chars,
+
+]', '', 'g')) AS word_chars,
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals,
     len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(list_distinct(words)) AS n_distinct, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM w LEFT JOIN r ON w.doc_id = r.doc_id
 ), f AS (
-  SELECT c.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(quality = 1, false) AS good FROM c LEFT JOIN labels ON labels.doc_id = c.doc_id
+  SELECT c.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, quality FROM c LEFT JOIN labels ON labels.doc_id = c.doc_id
 ), s AS ({signals}), steps AS ({steps}
 ), k AS (
-  SELECT lang, s.rule, step, cut, count(*) AS n, count(*) FILTER (signal > cut) AS k FROM s JOIN steps ON s.rule = steps.rule WHERE good GROUP BY ALL
+  SELECT lang, s.rule, step, cut, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 0) AS bad,
+    count(*) FILTER (quality = 1 AND signal > cut) AS k, count(*) FILTER (quality = 0 AND signal > cut) AS b FROM s JOIN steps ON s.rule = steps.rule GROUP BY ALL HAVING n > 0
 ), p AS (
   SELECT *, CASE WHEN k >= n * {share} THEN 1 ELSE (SELECT sum({term}) FROM unnest(range(0, k + 1)) AS u(i)) END AS p_value FROM k
 ), stop AS (
   SELECT lang, rule, min(step) FILTER (p_value > {DELTA} / ((SELECT count(DISTINCT lang) FROM k) * {len(RULES)})) AS stop FROM p GROUP BY ALL
 ), cuts AS (
-  SELECT p.lang, p.rule, min(cut) AS cut FROM p JOIN stop ON p.lang = stop.lang AND p.rule = stop.rule WHERE stop IS NULL OR step < stop GROUP BY ALL
+  SELECT p.lang, p.rule, arg_max(cut, (b * n - k * bad) * 1000 - step) AS cut FROM p JOIN stop ON p.lang = stop.lang AND p.rule = stop.rule WHERE stop IS NULL OR step < stop GROUP BY ALL
 ), out AS (
   SELECT DISTINCT doc_id FROM s JOIN cuts ON s.lang = cuts.lang AND s.rule = cuts.rule WHERE signal > cut
 )
