@@ -1,10 +1,328 @@
-"""Registered queries over the review operators."""
+"""Registered queries over the review operators, each with its SQL.
+
+The driver's tables stand in for sessions: ``documents.source`` is a session and doc_id the upload order,
+``labels`` the analyzers' answers, ``events`` the progress logs of a user's session, ``conversations``
+the chat. Texts are compared by their md5.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.functions import text as T
+from lectern.operators import analysis, assemble, chat, progress, verdict
+from lectern.operators.analysis import ANALYZERS
+from lectern.sources import intake
+from lectern.sources.shared import shared_folder
+from lectern.streaming import log_tail
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+FENCE = T.FENCE
+
+
+def _query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- intake and text ---------------------------------------------------------------------------
+
+_FIRST = "first_docs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ord FROM documents) WHERE ord <= 3)"
+
+
+@_query(f"""WITH {_FIRST}, c AS (
+  SELECT source, count(*) AS n_docs, string_agg('===== Document ' || ord || ': doc_' || doc_id || '.pdf =====' || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY ord) AS t
+  FROM first_docs GROUP BY source) SELECT source, n_docs, length(t) AS n_chars, md5(t) AS text_md5 FROM c""")
+def session_concat(spark, sf_dir):
+    files = intake.first_files(_table(spark, sf_dir, "documents"), "source", "doc_id").withColumn("name", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")))
+    return assemble.assemble(files, "source", "name", "text").select("source", "n_docs", F.length("parsed_text").alias("n_chars"), F.md5("parsed_text").alias("text_md5"))
+
+
+_KIND = "CASE lang WHEN 'en' THEN 'application/pdf; v=1' WHEN 'fr' THEN '' WHEN 'de' THEN NULL ELSE 'text/plain' END"
+
+
+@_query(f"""SELECT batch_id, count(*) AS n_files, count(*) <= 3 AND bool_and(kind IS NULL OR kind = '' OR kind LIKE 'application/pdf%') AND bool_and(lower(name) LIKE '%.pdf') AS accepted
+FROM (SELECT doc_id // 3 AS batch_id, {_KIND} AS kind, 'd' || doc_id || CASE WHEN doc_id % 11 = 0 THEN '.PDF' WHEN doc_id % 17 = 0 THEN '.txt' ELSE '.pdf' END AS name FROM documents) GROUP BY batch_id""")
+def intake_gate(spark, sf_dir):
+    name = "concat('d', doc_id, CASE WHEN doc_id % 11 = 0 THEN '.PDF' WHEN doc_id % 17 = 0 THEN '.txt' ELSE '.pdf' END)"
+    uploads = _table(spark, sf_dir, "documents").select(F.expr("doc_id div 3").alias("batch_id"), F.expr(_KIND).alias("kind"), F.expr(name).alias("name"))
+    return intake.intake_gate(uploads, "batch_id", "name", "kind")
+
+
+@_query("SELECT doc_id, md5(text[1:3000]) AS prefix_md5, length(text[1:3000]) AS n FROM documents")
+def doc_prefix_3000(spark, sf_dir):
+    short = T.prefix(F.col("text"), 3000)
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(short).alias("prefix_md5"), F.length(short).alias("n"))
+
+
+@_query("""SELECT doc_id, CASE WHEN lang = 'es' THEN 404 WHEN coalesce(text, '') = '' THEN 400 END AS error_code, md5(text[1:150000]) AS context_md5 FROM documents""")
+def chat_context_prefix(spark, sf_dir):
+    code = chat.chat_precondition(F.lit(True), F.col("lang") != "es", F.col("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", code.alias("error_code"), F.md5(T.prefix(F.col("text"), 150_000)).alias("context_md5"))
+
+
+_WRAP = f"""CASE doc_id % 6 WHEN 0 THEN 'pre {FENCE}json' || chr(10) || text || chr(10) || '{FENCE} post' WHEN 1 THEN '{FENCE}' || chr(10) || text || '{FENCE}'
+  WHEN 2 THEN '{FENCE}python' || chr(10) || text || '{FENCE}' WHEN 3 THEN '{FENCE}json' || text WHEN 4 THEN text ELSE 'A {FENCE}json' || text || '{FENCE} B {FENCE}jsony{FENCE}' END"""
+_STRIP = r"'^[\s\x0B]+|[\s\x0B]+$', '', 'g'"
+_FENCED = rf"""CASE WHEN contains(x, '{FENCE}json') THEN regexp_replace(split_part(split_part(x, '{FENCE}json', 2), '{FENCE}', 1), {_STRIP})
+  WHEN contains(x, '{FENCE}') THEN regexp_replace(split_part(x, '{FENCE}', 2), {_STRIP}) ELSE x END"""
+
+
+@_query(f"SELECT doc_id, md5({_FENCED}) AS body_md5, length({_FENCED}) AS n FROM (SELECT doc_id, {_WRAP} AS x FROM documents)")
+def fenced_extract(spark, sf_dir):
+    wrapped = _table(spark, sf_dir, "documents").select("doc_id", F.expr(_WRAP).alias("x"))
+    return wrapped.select("doc_id", T.fenced_body(F.col("x")).alias("body")).select("doc_id", F.md5("body").alias("body_md5"), F.length("body").alias("n"))
+
+
+_BRACED = "CASE doc_id % 4 WHEN 0 THEN 'Sure: {\"n\": {\"c\": ' || n_chars || '}} ok' WHEN 1 THEN '{\"n\": ' || n_chars WHEN 2 THEN n_chars || '} end' ELSE 'no json ' || n_chars END"
+
+
+@_query(rf"""SELECT doc_id, CASE WHEN contains(o, '}}') THEN regexp_extract(o, '^(?s)(.*\}})', 1) ELSE o END AS body
+FROM (SELECT doc_id, CASE WHEN contains(x, '{{') THEN x[strpos(x, '{{'):] ELSE x END AS o FROM (SELECT doc_id, {_BRACED} AS x FROM documents))""")
+def brace_trim(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.expr(_BRACED).alias("x")).select("doc_id", T.brace_trim(F.col("x")).alias("body"))
+
+
+# --- analyses and verdicts -----------------------------------------------------------------------
+
+_SEVERITY = "CASE WHEN toxic = 1 THEN 'high' WHEN quality = 0 THEN 'medium' ELSE 'low' END"
+_LIST = ", ".join(f"('{a}', {k}, '{v[0]}', '{v[1]}')" for k, (a, v) in enumerate(ANALYZERS.items()))
+
+
+def _responses(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(source, doc_id, analyzer, response, error): a fenced answer for labelled documents, words for others, an error for some."""
+    joined = docs.join(labels, "doc_id", "left")
+    each = joined.select("*", F.explode(F.array(*[F.struct(F.lit(a).alias("analyzer"), F.lit(k).alias("k")) for k, a in enumerate(ANALYZERS)])).alias("a"))
+    answer = F.concat(F.lit(f'{FENCE}json\n{{"severity": "'), F.expr(_SEVERITY), F.lit('", "compliant": '), F.when(F.expr(_SEVERITY) == "low", "true").otherwise("false"), F.lit(f"}}\n{FENCE}"))
+    return each.select(
+        "source", "doc_id", "a.analyzer",
+        F.when(F.col("quality").isNull(), F.concat(F.lit("I could not read document "), F.col("doc_id").cast("string"))).otherwise(answer).alias("response"),
+        F.when((F.col("doc_id") + F.col("a.k")) % 13 == 0, "timeout").alias("error"),
+    )
+
+
+def _recovered_sql(docs: str) -> str:
+    return f"""recovered AS (
+  SELECT source, d.doc_id, a.name AS analyzer, quality IS NOT NULL AND (d.doc_id + k) % 13 <> 0 AS parsed,
+    CASE WHEN (d.doc_id + k) % 13 = 0 THEN error WHEN quality IS NULL THEN bad ELSE {_SEVERITY} END AS severity,
+    CASE WHEN quality IS NULL OR (d.doc_id + k) % 13 = 0 THEN a.name = 'market_scope' ELSE {_SEVERITY} = 'low' END AS compliant
+  FROM {docs} d LEFT JOIN labels l ON d.doc_id = l.doc_id, (VALUES {_LIST}) a(name, k, bad, error))"""
+
+
+@_query(f"WITH {_recovered_sql('documents')} SELECT doc_id, analyzer, parsed, severity, compliant FROM recovered")
+def json_recover(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("source", "doc_id")
+    return analysis.recover(_responses(docs, _table(spark, sf_dir, "labels"))).select("doc_id", "analyzer", "parsed", "severity", "compliant")
+
+
+def _merged(spark, sf_dir) -> DataFrame:
+    docs = intake.first_files(_table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id")
+    return analysis.merge_sessions(analysis.recover(_responses(docs, _table(spark, sf_dir, "labels"))), "source")
+
+
+_RANK = "CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
+_PIVOT = ", ".join(f"CASE max({_RANK}) FILTER (analyzer = '{a}') WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' END AS {a}" for a in ANALYZERS)
+_MERGED = f"""{_FIRST}, {_recovered_sql('first_docs')}, merged AS (
+  SELECT source, {_PIVOT}, count(DISTINCT analyzer) AS n_analyzers, count(DISTINCT analyzer) FILTER (parsed) AS n_parsed FROM recovered GROUP BY source)"""
+
+
+@_query(f"WITH {_MERGED} SELECT * FROM merged")
+def analysis_merge(spark, sf_dir):
+    return _merged(spark, sf_dir)
+
+
+def _verdicts(spark, sf_dir) -> DataFrame:
+    return verdict.verdicts(_merged(spark, sf_dir), "source")
+
+
+_FINDINGS = " UNION ALL ".join(f"SELECT source, {k} AS k, '{verdict.NAMES[a]}' AS category, '{a}' AS analyzer, {a} AS severity FROM merged WHERE {a} IN ('medium', 'high')" for k, a in enumerate(ANALYZERS))
+_VERDICT = f"""{_MERGED}, findings AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY k) AS finding_no FROM ({_FINDINGS})), verdict AS (
+  SELECT merged.source, CASE WHEN bool_or(coalesce(severity, '') = 'high') THEN 'FAIL' ELSE 'PASS' END AS status, round(100 * any_value(n_parsed) / 6)::INT AS confidence,
+    count(severity) AS n_findings, count(severity) FILTER (severity = 'high') AS n_high, coalesce(string_agg(category, ' and ' ORDER BY finding_no) FILTER (finding_no <= 2), '') AS top
+  FROM merged LEFT JOIN findings ON merged.source = findings.source GROUP BY merged.source)"""
+_TITLE = "CASE status WHEN 'PASS' THEN 'Review Passed' ELSE 'Review Failed' END"
+_INTRO = "'The review is complete with the status ' || status || CASE WHEN top = '' THEN '.' ELSE ', mainly for ' || top || '.' END"
+
+
+@_query(f"WITH {_VERDICT} SELECT source, status, {_TITLE} AS title, confidence, n_findings, n_high FROM verdict")
+def verdict_by_session(spark, sf_dir):
+    high = F.size(F.filter("findings", lambda f: f["severity"] == "high"))
+    return _verdicts(spark, sf_dir).select("source", "status", "title", "confidence", F.size("findings").alias("n_findings"), high.alias("n_high"))
+
+
+@_query(f"""WITH {_VERDICT} SELECT source, finding_no, category, severity, item_no, CASE item_no WHEN 1 THEN 'Review of ' || analyzer ELSE 'Severity ' || severity END AS item
+FROM findings, (VALUES (1), (2)) i(item_no)""")
+def findings_unnest(spark, sf_dir):
+    return verdict.unnest_findings(_verdicts(spark, sf_dir), "source")
+
+
+@_query(f"WITH {_VERDICT} SELECT source, top AS categories FROM verdict")
+def top2_categories(spark, sf_dir):
+    return _verdicts(spark, sf_dir).select("source", verdict.top_categories().alias("categories"))
+
+
+@_query(f"SELECT doc_id, severity, upper(severity) AS shown, CASE severity WHEN 'high' THEN 'High Risk' WHEN 'medium' THEN 'Medium Risk' ELSE 'Low Risk' END AS label FROM (SELECT doc_id, {_SEVERITY} AS severity FROM labels)")
+def severity_labels(spark, sf_dir):
+    label = F.create_map(*[F.lit(x) for pair in verdict.LABELS.items() for x in pair])[F.col("severity")]
+    return _table(spark, sf_dir, "labels").select("doc_id", F.expr(_SEVERITY).alias("severity")).select("doc_id", "severity", F.upper("severity").alias("shown"), F.coalesce(label, "severity").alias("label"))
+
+
+_ADVICE = ", ".join(f"('{s}', {k}, '{x}')" for s, lines in verdict.ADVICE.items() for k, x in enumerate(lines, 1))
+
+
+@_query(f"WITH {_VERDICT} SELECT source, n, recommendation FROM verdict JOIN (VALUES {_ADVICE}) a(s, n, recommendation) ON s = status")
+def recommendations(spark, sf_dir):
+    return verdict.recommendations(_verdicts(spark, sf_dir), "source")
+
+
+@_query(f"WITH {_VERDICT} SELECT source, {_INTRO} AS intro FROM verdict")
+def verdict_intro(spark, sf_dir):
+    return _verdicts(spark, sf_dir).select("source", verdict.intro().alias("intro"))
+
+
+@_query(f"""WITH {_VERDICT} SELECT source, 0 AS line_no, 'title' AS section, {_TITLE} AS text FROM verdict UNION ALL SELECT source, 1, 'status', 'Status: ' || status FROM verdict
+UNION ALL SELECT source, 2, 'summary', {_INTRO} FROM verdict UNION ALL SELECT source, 2 + finding_no, 'finding', finding_no || '. ' || category || ' [' || upper(severity) || ']' FROM findings""")
+def report_lines(spark, sf_dir):
+    return verdict.report_lines(_verdicts(spark, sf_dir), "source")
+
+
+@_query(f"WITH {_VERDICT} SELECT source, action, CASE WHEN action = 'generate' AND status = 'PASS' THEN 'presentation' ELSE 'chat' END AS route FROM (SELECT *, CASE WHEN length(source) % 2 = 0 OR n_high = 0 THEN 'generate' ELSE 'chat_only' END AS action FROM verdict)")
+def review_route(spark, sf_dir):
+    found = verdict_by_session(spark, sf_dir)
+    reviews = found.select("source", F.when((F.length("source") % 2 == 0) | (F.col("n_high") == 0), "generate").otherwise("chat_only").alias("action"))
+    route = F.when((F.col("action") == "generate") & (F.col("status") == "PASS"), "presentation").otherwise("chat")
+    return found.join(reviews, "source").select("source", "action", route.alias("route"))
+
+
+# --- progress logs ---------------------------------------------------------------------------------
+
+
+def _logs(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "user_id", F.col("event_type").alias("agent"), F.col("props").alias("message"), "ts", (F.col("event_type") == "error").alias("failed"))
+
+
+@_query("""WITH l AS (SELECT user_id, event_type AS agent, arg_max(props, event_id) AS message, min(event_id) AS first_seq, max(event_id) AS last_seq FROM events GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY first_seq) AS lane, CASE WHEN last_seq = max(last_seq) OVER (PARTITION BY user_id) AND user_id % 3 <> 0 THEN 'active' ELSE 'complete' END AS status FROM l""")
+def agent_lanes(spark, sf_dir):
+    return progress.agent_lanes(_logs(spark, sf_dir), "user_id", "agent", complete=F.col("user_id") % 3 == 0)
+
+
+@_query("SELECT event_id, user_id, value FROM events")
+def log_dedup(spark, sf_dir):
+    events = _table(spark, sf_dir, "events").select("event_id", "user_id", "value", F.lit(1).alias("seq"))
+    replayed = events.where("user_id % 5 = 0").withColumn("value", F.lit(-1.0)).withColumn("seq", F.lit(2))
+    return progress.first_by_id(events.union(replayed), "event_id", "seq").select("event_id", "user_id", "value")
+
+
+@_query("SELECT event_id AS seq, event_type AS agent, status FROM events, (VALUES ('active'), ('complete')) s(status)")
+def active_complete_logs(spark, sf_dir):
+    return progress.active_and_complete(_logs(spark, sf_dir)).select("seq", "agent", "status")
+
+
+_FACTS = """facts AS (SELECT user_id, count(*) AS n_logs, count(*) FILTER (event_type = 'error') AS n_errors, (epoch(max(ts))::BIGINT - epoch(min(ts))::BIGINT) AS span_s,
+  bool_or(event_type = 'purchase') AS has_verdict FROM (SELECT * REPLACE (date_trunc('second', ts) AS ts) FROM events) GROUP BY user_id)"""
+
+
+def _facts(spark, sf_dir) -> DataFrame:
+    logs = _logs(spark, sf_dir).withColumn("ts", F.date_trunc("second", F.col("ts").cast("timestamp")))
+    return progress.thread_facts(logs, "user_id", "ts").join(logs.groupBy("user_id").agg(F.bool_or(F.col("agent") == "purchase").alias("has_verdict")), "user_id")
+
+
+@_query(f"WITH {_FACTS} SELECT c_custkey AS user_id, coalesce(n_logs, 0) AS n_logs, CASE WHEN has_verdict THEN 'complete' WHEN n_logs > 0 THEN 'processing' ELSE 'not_started' END AS status FROM customer LEFT JOIN facts ON c_custkey = user_id")
+def session_status(spark, sf_dir):
+    sessions = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
+    joined = sessions.join(_facts(spark, sf_dir), "user_id", "left")
+    return joined.select("user_id", F.coalesce("n_logs", F.lit(0)).alias("n_logs"), progress.session_status(F.col("n_logs") > 0, F.coalesce("has_verdict", F.lit(False))).alias("status"))
+
+
+@_query(f"WITH {_FACTS} SELECT user_id, span_s, span_s > 300 AS timed_out FROM facts")
+def timeout_sessions(spark, sf_dir):
+    return _facts(spark, sf_dir).select("user_id", "span_s", "timed_out")
+
+
+@_query(f"WITH {_FACTS} SELECT user_id, CASE WHEN has_verdict THEN 'complete' WHEN n_errors > 0 THEN 'error' WHEN span_s > 300 THEN 'timeout' ELSE 'open' END AS event FROM facts")
+def terminal_event(spark, sf_dir):
+    return _facts(spark, sf_dir).select("user_id", progress.terminal_event(F.col("has_verdict"), F.col("n_errors"), F.col("timed_out")).alias("event"))
+
+
+@_query(r"SELECT event_id, event_type AS event, props || chr(10) || value AS data FROM (SELECT event_id, event_type, props, CAST(CAST(value * 100 AS BIGINT) AS VARCHAR) AS value FROM events)")
+def sse_frames(spark, sf_dir):
+    frame = F.concat(F.lit(": keep-alive\r\nevent: first\r\nevent: "), "event_type", F.lit("\r\ndata: "), "props", F.lit("\ndata:"), F.round(F.col("value") * 100).cast("long").cast("string"))
+    parsed = _table(spark, sf_dir, "events").select("event_id", chat.parse_frame(frame).alias("f"))
+    return parsed.select("event_id", "f.event", "f.data")
+
+
+@_query()
+def stream_log_tail(spark, sf_dir):
+    schema = _table(spark, sf_dir, "events").schema
+    stream = log_tail.once(log_tail.log_stream(spark, sf_dir, "events.parquet", schema), "event_id")
+    return log_tail.drain(stream.select("event_id", "user_id", "event_type"), shared_folder(spark))
+
+
+# --- chat --------------------------------------------------------------------------------------------
+
+
+@_query("SELECT conv_id, count(*) AS n_deltas, md5(string_agg(text, '' ORDER BY turn)) AS response_md5 FROM conversations WHERE text <> '' GROUP BY conv_id")
+def chat_reassemble(spark, sf_dir):
+    return chat.reassemble(_table(spark, sf_dir, "conversations"), "conv_id", "turn", "text").select("conv_id", "n_deltas", F.md5("response").alias("response_md5"))
+
+
+@_query("SELECT conv_id, turn, CASE role WHEN 'user' THEN 'user' ELSE 'ai' END AS type FROM conversations")
+def chat_role_type(spark, sf_dir):
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", chat.message_type(F.col("role")).alias("type"))
+
+
+_MARKED = "CASE turn % 5 WHEN 0 THEN '# ' WHEN 1 THEN '* ' WHEN 2 THEN '-- ' WHEN 3 THEN '### ' ELSE '' END || text || chr(10) || chr(10) || '- **note** ' || role"
+_TRIM = lambda x: rf"regexp_replace({x}, {_STRIP})"
+
+
+@_query(rf"""WITH l AS (SELECT conv_id, turn, unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) - 1 AS line_no FROM (SELECT conv_id, turn, {_MARKED} AS x FROM conversations)
+), k AS (SELECT conv_id, turn, line_no, {_TRIM('line')} AS t FROM l
+), c AS (SELECT *, CASE WHEN t LIKE '### %' THEN 'h3' WHEN t LIKE '## %' THEN 'h2' WHEN t LIKE '# %' THEN 'h1' WHEN t LIKE '*%' AND t NOT LIKE '**%' OR t LIKE '-%' AND t NOT LIKE '--%' THEN 'bullet' WHEN t = '' THEN 'blank' ELSE 'paragraph' END AS kind FROM k)
+SELECT conv_id, turn, line_no, kind, md5(CASE WHEN kind IN ('h1', 'h2', 'h3') THEN {_TRIM("regexp_replace(t, '^#+ ', '')")} WHEN kind = 'bullet' THEN {_TRIM('t[2:]')} ELSE t END) AS text_md5 FROM c""")
+def markdown_lines(spark, sf_dir):
+    lines = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.expr(_MARKED), "\n", -1)).alias("line_no", "line"))
+    return lines.select("conv_id", "turn", "line_no", T.markdown_class(F.col("line")).alias("c")).select("conv_id", "turn", "line_no", "c.kind", F.md5("c.text").alias("text_md5"))
+
+
+@_query("""SELECT conv_id, turn, pos, pos % 2 = 1 AS bold, md5(part) AS text_md5 FROM (SELECT conv_id, turn, unnest(s) AS part, generate_subscripts(s, 1) - 1 AS pos
+FROM (SELECT conv_id, turn, string_split('**' || role || ':** ' || text || ' **end**', '**') AS s FROM conversations))""")
+def bold_spans(spark, sf_dir):
+    parts = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(T.bold_parts(F.concat(F.lit("**"), "role", F.lit(":** "), "text", F.lit(" **end**")))).alias("pos", "p"))
+    return parts.select("conv_id", "turn", "pos", "p.bold", F.md5("p.text").alias("text_md5"))
+
+
+@_query("SELECT conv_id, turn, CASE WHEN length(q) < 1 OR length(q) > 5000 THEN 'bad_length' WHEN trim(q) = '' THEN 'empty' ELSE 'ok' END AS verdict FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 3 THEN '   ' WHEN 2 THEN repeat(text, 9) ELSE text END AS q FROM conversations)")
+def query_gate(spark, sf_dir):
+    asked = F.expr("CASE turn % 4 WHEN 3 THEN '   ' WHEN 2 THEN repeat(text, 9) ELSE text END")
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", chat.query_gate(asked).alias("verdict"))
+
+
+# --- pages ---------------------------------------------------------------------------------------------
+
+_MESSAGE = "CASE page_id % 3 WHEN 0 THEN 'File ' || page_id || ' is too large' WHEN 1 THEN 'No such Path: ' || page_id ELSE 'Cannot read ' || url END"
+
+
+@_query(f"SELECT page_id, CASE WHEN lower(m) LIKE '%path%' OR contains(m, '/') OR contains(m, chr(92)) THEN 'Invalid file format or size' ELSE m END AS message FROM (SELECT page_id, {_MESSAGE} AS m FROM pages)")
+def error_redact(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", F.expr(_MESSAGE).alias("m")).select("page_id", T.redact_error(F.col("m")).alias("message"))
+
+
+@_query(r"""SELECT page_id, CASE WHEN s = '' THEN 'document.pdf' WHEN length(s) > 255 THEN left(s, 200) || right(s, 50) ELSE s END AS name
+FROM (SELECT page_id, ltrim(regexp_replace(string_split(rtrim(u, '/'), '/')[-1], '[^a-zA-Z0-9._-]', '_', 'g'), '.') AS s FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN url || '/../.we ird.pdf' WHEN 1 THEN repeat('a', 300) || '.pdf' ELSE url || '/' END AS u FROM pages))""")
+def safe_filename(spark, sf_dir):
+    path = F.expr("CASE page_id % 3 WHEN 0 THEN url || '/../.we ird.pdf' WHEN 1 THEN repeat('a', 300) || '.pdf' ELSE url || '/' END")
+    return _table(spark, sf_dir, "pages").select("page_id", T.safe_filename(path).alias("name"))
