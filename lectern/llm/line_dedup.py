@@ -29,27 +29,37 @@ from lectern.llm._shared import SPACES, durable, plain_text
 # A sequence's hash is sum(hash(word) * B**place) modulo a prime, twice. The products stay below 2**62.
 PRIMES = (2147483629, 2147483587)
 BASES = (1000003, 998244353)
-#: Places are below 2**PLACE_BITS; powers of the bases come from a place's binary digits.
-PLACE_BITS = 31
+#: Places are below 2**PLACE_BITS; powers of the bases come from a place's digits.
+PLACE_BITS, DIGIT = 31, 7
 #: Candidate lines are broadcast up to so many (some 100 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_LINES = 500_000
 SALTS = 32
 
 
 def _power(k: int, place: Column) -> Column:
-    """BASES[k] ** place modulo PRIMES[k]."""
-    p, factor, out = PRIMES[k], BASES[k], F.lit(1).cast("long")
-    for bit in range(PLACE_BITS):
-        out = F.pmod(out * F.when(F.shiftright(place, bit).bitwiseAND(F.lit(1)) == 1, F.lit(factor)).otherwise(F.lit(1)).cast("long"), F.lit(p))
-        factor = factor * factor % p
+    """BASES[k] ** place modulo PRIMES[k], from tables of the place's digits of ``DIGIT`` bits."""
+    p, out = PRIMES[k], None
+    for low in range(0, PLACE_BITS, DIGIT):
+        table = F.array(*[F.lit(pow(BASES[k], d << low, p)).cast("long") for d in range(1 << min(DIGIT, PLACE_BITS - low))])
+        digit = F.get(table, F.shiftright(place, low).bitwiseAND(F.lit((1 << DIGIT) - 1)))
+        # most lines are short: the upper digits are 0
+        out = digit if out is None else F.when(place < (1 << low), out).otherwise(F.pmod(out * digit, F.lit(p)))
     return out
 
 
+def _raw_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, line_no from 0, line)."""
+    split = F.split(plain_text(F.col(text_col)), "\n", -1)
+    return docs.select(F.col(id_col).alias("id"), F.posexplode(split).alias("line_no", "line"))
+
+
+def _words_of(line: str) -> Column:
+    return F.filter(F.split(F.lower(line), SPACES, -1), lambda w: w != "").alias("words")
+
+
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, line_no from 0, words) of every line; words are lower-cased, a blank line has none."""
-    split = F.split(plain_text(F.col(text_col)), "\n", -1)
-    each = docs.select(F.col(id_col).alias("id"), F.posexplode(split).alias("line_no", "line"))
-    return each.select("id", "line_no", F.filter(F.split(F.lower("line"), SPACES, -1), lambda w: w != "").alias("words"))
+    return _raw_lines(docs, id_col, text_col).select("id", "line_no", _words_of("line"))
 
 
 def _places(lines: DataFrame) -> DataFrame:
@@ -123,10 +133,12 @@ def near_lines(docs: DataFrame, distinct: DataFrame, id_col: str = "doc_id", tex
     wanted = durable(_candidates(distinct).join(distinct.select("k1", "k2", "at"), ["k1", "k2"]), "line-candidates")
     small = wanted.count() <= BROADCAST_LINES
     places = wanted.select("k1", "k2", "at", F.col("at.id").alias("id"), F.col("at.line_no").alias("line_no"))
-    # a line's words are read again where it stands first
-    lines = lines_of(docs, id_col, text_col).where(F.size("words") > 0)
-    found = lines.join(F.broadcast(places) if small else places, ["id", "line_no"])
-    words = durable(found.select("k1", "k2", "at", "words").dropDuplicates(["k1", "k2"]), "line-words")
+    # a line's words are read again where it stands first, and only there
+    found = _raw_lines(docs, id_col, text_col).join(F.broadcast(places) if small else places, ["id", "line_no"])
+    found = found.select("k1", "k2", "at", _words_of("line"))
+    # an id that stands on several rows has several lines at a place
+    same = (F.xxhash64(F.lit(1), "words") == F.col("k1")) & (F.xxhash64(F.lit(2), "words") == F.col("k2"))
+    words = durable(found.where(same).dropDuplicates(["k1", "k2"]), "line-words")
 
     variants = durable(_variants(words), "line-variants")
     shared = variants.groupBy("h").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("h")
