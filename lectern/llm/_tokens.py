@@ -71,6 +71,13 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return hashes, bounds, last | before << 8 | third << 16
 
 
+def small(batches, rows: int = 512):
+    """The same rows in batches of ``rows`` at most, so that few texts are held as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def chunks(texts: list[bytes], size: int = 1 << 20):
     """(first, last) of consecutive texts that together have about ``size`` bytes, one at least."""
     a, held = 0, 0

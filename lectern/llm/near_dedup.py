@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm._shared import durable, plain_text, with_group_facts
-from lectern.llm._tokens import chunks, mix, shingle_hashes, word_hashes
+from lectern.llm._tokens import chunks, mix, shingle_hashes, small, word_hashes
 from lectern.llm.components import components
 from lectern.llm.exact_dedup import repeat_filter
 
@@ -82,7 +82,7 @@ def _sketched(words: int, trees: int):
     """(id, text) to (id, n_shingles, key, tokens, nodes): what the joins need of a document."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [x.lower() for x in batch.column(1).cast(pa.binary()).to_pylist()]
             for a, b in chunks(texts):
                 hashes, bounds, _ = word_hashes(texts[a:b])
@@ -261,7 +261,7 @@ def _sets(words: int):
     """(id, text) to (id, set): the full shingle set as sorted 64-bit hashes."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [x.lower() for x in batch.column(1).cast(pa.binary()).to_pylist()]
             for a, b in chunks(texts):
                 hashes, bounds, _ = word_hashes(texts[a:b])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm._shared import durable, plain_text
-from lectern.llm._tokens import chunks, word_hashes
+from lectern.llm._tokens import chunks, small, word_hashes
 
 FEATURES = (
     "log_bytes", "log_words", "mean_word", "capitals", "digits", "symbols", "shouts", "marks", "wide", "distinct_words",
@@ -73,7 +73,7 @@ def features(texts: list[bytes]) -> np.ndarray:
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text) to (id, x)."""
-    for batch in batches:
+    for batch in small(batches):
         x = features(batch.column(1).cast(pa.binary()).to_pylist())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float32()))], ["id", "x"])
 
@@ -231,6 +231,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col
     def score(text: pd.Series) -> pd.Series:
         if model is None or not len(text):
             return pd.Series(np.full(len(text), 0.5))
-        return pd.Series(model.score(features([x.encode() for x in text])))
+        parts = [features([x.encode() for x in text.iloc[a : a + 512]]) for a in range(0, len(text), 512)]
+        return pd.Series(model.score(np.concatenate(parts)))
 
     return docs.where(score(plain_text(F.col(text_col))) >= threshold)
