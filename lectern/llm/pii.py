@@ -1,23 +1,30 @@
 """Personal data: patterns, and information-theoretic sanitisation of the terms that give it away.
 
-Patterns find e-mail addresses, IP addresses, card and phone numbers. Each distinct value found is a
-protected entity. A term (a word near it) that keeps company with it discloses it in part: over the
-corpus, with p(.) the share of documents,
+Patterns find e-mail addresses, IP addresses, card and phone numbers. Each distinct value found, as it is
+written most plainly (an address in lower case, a number's digits), is a protected entity, and so is the
+domain of an e-mail address. A term (a word) of a document that holds it discloses it in part: with p(.)
+the share of different texts of the corpus,
 
-    disclosure(term, entity) = log(p(term, entity) / (p(term) p(entity))) / -log p(entity)
+    disclosure(term, entity) = log(p(entity | term) / p(entity)) / -log p(entity)
 
 is the pointwise mutual information as a part of the entity's own information; it is 1 when the term
-occurs only where the entity does. Terms seen with an entity in enough different contexts are
-generalised from ``generalise`` on and removed from ``remove`` on, in the documents that hold the entity.
-Documents without personal data are never touched.
+occurs only where the entity does. Most values stand in one document only, so nothing is asked to repeat;
+instead the counts are smoothed by ``support`` texts that hold the term and the entity at its usual rate,
 
-Built from DataFrame and SQL functions only. Texts are never shuffled; only documents with findings take
-part in the co-occurrence, and the counts of the terms in question cover every document.
+    p(entity | term) = (n(term, entity) + support * p(entity)) / (n(term) + support).
+
+Terms are generalised from ``generalise`` on and removed from ``remove`` on, in the documents that hold the
+entity: of a value in one document, the rarest terms are generalised, and removed once more texts bear it
+out or the corpus is large. Documents without personal data are never touched.
+
+Built from DataFrame and SQL functions only. Texts are never shuffled, unless more than
+``BROADCAST_TERMS`` of them have copies; only documents with findings take part in the co-occurrence, and
+the counts of the terms in question cover every document.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm._shared import durable, plain_text
@@ -36,11 +43,11 @@ NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){1
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalise": "[TERM]", "remove": ""}
 SPAN = "array<struct<start:int,ord:int,kind:string,stop:int>>"
-#: Context: words of letters within so many characters of an entity, and so many of them on each side.
-NEAR, WORDS = 160, 8
+#: A term: a word of letters, two at least.
 WORD = r"[\p{L}][\p{L}\p{M}'-]+"
+SALTS = 32
 SUPPORT, GENERALISE, REMOVE = 3, 0.7, 0.85
-#: The counted terms are broadcast up to so many; beyond, they are joined by a shuffle.
+#: The counted terms, and the texts that have copies, are broadcast up to so many; beyond, they are joined by a shuffle.
 BROADCAST_TERMS = 200_000
 
 
@@ -95,63 +102,61 @@ def listed(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def _contexts(found: DataFrame) -> DataFrame:
-    """One row per entity mentioned: row key, entity, fingerprint of its context, and the terms' spans."""
-    mention = found.select("row", "text", F.explode("base").alias("m")).select(
-        "row",
-        F.concat("m.kind", F.lit(":"), F.lower(F.expr("substring(text, m.start + 1, m.stop - m.start)"))).alias("entity"),
-        F.expr(f"greatest(0, m.start - {NEAR})").alias("left_at"),
-        F.expr(f"substring(text, greatest(0, m.start - {NEAR}) + 1, m.start - greatest(0, m.start - {NEAR}))").alias("left"),
-        F.expr("m.stop").alias("right_at"),
-        F.expr(f"substring(text, m.stop + 1, {NEAR})").alias("right"),
-        F.expr(f"m.stop + {NEAR} < length(text)").alias("cut"),
-    )
-    spans = mention.select(
-        "row", "entity", "left", "right", "left_at", "right_at",
-        matches("left", "w", WORD, None, 0, offset="left_at").alias("before"),
-        matches("right", "w", WORD, None, 0, offset="right_at").alias("after"),
-        "cut",
-    )
-    # a word that the window's edge may have cut is left out
-    before = F.expr(f"slice(reverse(filter(before, s -> s.start > left_at or left_at = 0)), 1, {WORDS})")
-    after = F.expr(f"slice(filter(after, s -> not cut or s.stop < right_at + {NEAR}), 1, {WORDS})")
-    terms = F.concat(
-        F.transform(before, lambda s: F.struct(s["start"], s["stop"], F.lower(F.expr("left").substr(s["start"] - F.col("left_at") + 1, s["stop"] - s["start"])).alias("term"))),
-        F.transform(after, lambda s: F.struct(s["start"], s["stop"], F.lower(F.expr("right").substr(s["start"] - F.col("right_at") + 1, s["stop"] - s["start"])).alias("term"))),
-    )
-    return spans.select("row", "entity", F.xxhash64(F.lower("left"), F.lower("right")).alias("context"), terms.alias("terms"))
-
-
-def disclosing_terms(found: DataFrame, texts: DataFrame, contexts: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
-    """(entity, term, kind): terms that disclose an entity by at least ``generalise``."""
-    pair = contexts.select("row", "entity", "context", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term"))
-    # per context first: a context that thousands of copies repeat is one
-    per_context = pair.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("rows"), F.min("row").alias("row"))
-    # evidence: different contexts in different documents
-    often = per_context.groupBy("entity", "term").agg(F.countDistinct("row").alias("contexts"), F.sum("rows").alias("together")).where(F.col("contexts") >= support)
-    often = durable(often, "pii-pairs")
-    terms = durable(often.select("term").distinct(), "pii-terms")
-    n_terms = terms.count()
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    if n_terms <= BROADCAST_TERMS:
-        words = words.join(F.broadcast(terms), "term", "left_semi")
-        with_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-    else:
-        with_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("with_term")).join(terms, "term", "left_semi")
-    with_entity = contexts.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
-    total = texts.count() if n_terms else 1
-    scored = often.join(with_term, "term").join(with_entity, "entity")
-    share = lambda c: F.least(F.col(c) / F.lit(float(total)), F.lit(1.0))
-    information = -F.log(share("with_entity"))
-    mutual = F.log(F.least("together", "with_term", "with_entity") / F.col("with_term") / share("with_entity"))
-    disclosure = F.when(information > 0, mutual / information).otherwise(F.lit(0.0))
+def _terms(text: str) -> Column:
+    return F.transform(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), F.lower)
+
+
+def _entities(found: DataFrame) -> DataFrame:
+    """(print, entity): the protected values of each text, as plainly written as can be, and the domains of addresses."""
+    value = "lower(substring(text, m.start + 1, m.stop - m.start))"
+    plain = f"case m.kind when 'email' then {value} when 'ip' then regexp_replace({value}, '(^|[.])0+(?=[0-9])', '$1') else {_digits(value)} end"
+    each = found.select("print", "text", F.explode("base").alias("m")).select("print", F.col("m.kind").alias("kind"), F.expr(plain).alias("value"))
+    keys = F.array(F.concat_ws(":", "kind", "value"), F.when(F.col("kind") == "email", F.concat(F.lit("domain:"), F.substring_index("value", "@", -1))))
+    return each.select("print", F.explode(F.array_compact(keys)).alias("entity")).distinct()
+
+
+def _classes(entities: DataFrame) -> DataFrame:
+    """(print, class, with_entity): entities that stand in the same texts are one class, as all their counts are equal."""
+    salted = entities.withColumn("salt", F.pmod("print", F.lit(SALTS)).cast("int"))
+    # an entity may stand in a third of all texts: they are summed up in sub-groups first
+    marks = [F.bit_xor(F.xxhash64(F.lit(seed), "print")).alias(f"x{seed}") for seed in (1, 2)]
+    parts = salted.groupBy("entity", "salt").agg(F.count(F.lit(1)).alias("n"), *marks)
+    facts = parts.groupBy("entity").agg(F.sum("n").alias("with_entity"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"))
+    per_salt = parts.select("entity", "salt").join(facts.select("entity", "with_entity", F.struct("with_entity", "x1", "x2").alias("class")), "entity")
+    return salted.join(per_salt, ["entity", "salt"]).select("print", "class", "with_entity").distinct()
+
+
+def _with_term(texts: DataFrame, prints: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, with_term): the number of different texts that hold each of ``terms``."""
+    copied = durable(prints.where("n > 1").select("print", F.lit(True).alias("copied")), "pii-copied")
+    held = texts.join(F.broadcast(copied) if copied.count() <= BROADCAST_TERMS else copied, "print", "left")
+    # copies count once: their terms are told apart by text, those of other texts need not be
+    words = held.select(F.when(F.col("copied"), F.col("print")).alias("of"), F.explode(F.array_distinct(_terms("text"))).alias("term"))
+    count = lambda w: w.groupBy("term", "of").agg(F.count(F.lit(1)).alias("n")).groupBy("term").agg(F.sum(F.when(F.col("of").isNull(), F.col("n")).otherwise(1)).alias("with_term"))
+    if terms.count() <= BROADCAST_TERMS:
+        return count(words.join(F.broadcast(terms), "term", "left_semi"))
+    return count(words).join(terms, "term", "left_semi")
+
+
+def disclosing_terms(held: DataFrame, texts: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
+    """(class, term, kind): terms that disclose a class of entities by at least ``generalise``; ``held``: (print, class, with_entity, term)."""
+    prints = durable(texts.groupBy("print").agg(F.count(F.lit(1)).alias("n")), "pii-prints")
+    total = float(max(prints.count(), 1))
+    together = held.groupBy("class", "with_entity", "term").agg(F.count(F.lit(1)).alias("together"))
+    terms = durable(held.select("term").distinct(), "pii-terms")
+    scored = together.join(_with_term(texts, prints, terms), "term")
+    entity = F.col("with_entity") / F.lit(total)
+    information = -F.log(entity)
+    given = (F.col("together") + F.lit(float(support)) * entity) / (F.col("with_term") + F.lit(float(support)))
+    disclosure = F.when(information > 0, F.log(given / entity) / information).otherwise(F.lit(0.0))
     kind = F.when(disclosure >= remove, "remove").when(disclosure >= generalise, "generalise")
-    return scored.select("entity", "term", kind.alias("kind")).where("kind is not null")
+    return scored.select("class", "term", kind.alias("kind")).where("kind is not null")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     named = docs.select(F.col(id_col).alias("id"), plain_text(F.col(text_col)).alias("text"))
-    return named.withColumn("row", _row(F.col("id"), F.col("text")))
+    # copies have one fingerprint, whatever their ids
+    return named.withColumn("row", _row(F.col("id"), F.col("text"))).withColumn("print", F.xxhash64(F.lower("text")))
 
 
 def _row(own: Column, text: Column) -> Column:
@@ -160,13 +165,20 @@ def _row(own: Column, text: Column) -> Column:
 
 def _extra_spans(found: DataFrame, texts: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
     """(row, extra): the spans of disclosing terms, in rows that have any."""
-    contexts = durable(_contexts(found.where(F.size("base") > 0).dropDuplicates(["row"])), "pii-contexts")
-    flagged = disclosing_terms(found, texts, contexts, support, generalise, remove)
-    mentions = contexts.select("row", "entity", F.explode("terms").alias("t")).select("row", "entity", "t.start", "t.stop", "t.term")
+    own = found.where(F.size("base") > 0).dropDuplicates(["row"])
+    once = own.dropDuplicates(["print"])
+    classes = _classes(durable(_entities(own), "pii-entities"))
+    held = durable(classes.join(once.select("print", F.explode(F.array_distinct(_terms("text"))).alias("term")), "print"), "pii-held")
+    flagged = disclosing_terms(held, texts, support, generalise, remove)
     removed, generalised = KINDS.index("remove"), KINDS.index("generalise")
-    hits = mentions.join(flagged, ["entity", "term"])
     # a term of two entities takes the stronger kind
-    hits = hits.groupBy("row", "start", "stop").agg(F.max(F.when(F.col("kind") == "remove", removed).otherwise(generalised)).alias("ord"))
+    hits = held.join(flagged, ["class", "term"]).groupBy("print", "term").agg(F.max(F.when(F.col("kind") == "remove", removed).otherwise(generalised)).alias("ord"))
+    pieces = F.arrays_zip(F.split("text", F.lit(WORD), -1).alias("gap"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("word"))
+    each = own.select("row", "print", F.posexplode(pieces).alias("i", "piece")).where("piece.word is not null")
+    upto = Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    places = each.select("row", "print", "piece.word", F.sum(F.length("piece.gap") + F.length("piece.word")).over(upto).cast("int").alias("stop"))
+    places = places.select("row", "print", F.lower("word").alias("term"), (F.col("stop") - F.length("word")).alias("start"), "stop")
+    hits = places.join(hits, ["print", "term"])
     span = F.struct("start", "ord", F.when(F.col("ord") == removed, "remove").otherwise("generalise").alias("kind"), "stop")
     return durable(hits.groupBy("row").agg(F.collect_list(span).alias("extra")), "pii-extra")
 
@@ -181,15 +193,15 @@ def find_personal_data(docs: DataFrame, support: int = SUPPORT, generalise: floa
     """One row per input row: id, ``base`` spans, and ``spans`` (base and disclosing terms).
 
     A span is (start, ord, kind, stop), in code points, the end exclusive; spans are sorted by start, then
-    in the order of ``KINDS``. Null and empty texts have no spans. Rows equal in id and text have the same
-    spans and count once as contexts. A term that overlaps a pattern's match is not listed. An empty table
+    in the order of ``KINDS``. Null and empty texts have no spans. Equal texts, letters' case
+    aside, count once. A term that overlaps a pattern's match is not listed. An empty table
     gives an empty result. Other columns are not read.
     """
     named = _keyed(docs, id_col, text_col)
-    based = named.select("id", "row", base_spans("text").alias("base"), "text")
+    based = named.select("id", "row", "print", base_spans("text").alias("base"), "text")
     # of documents without findings the text isn't kept
     found = durable(based.withColumn("text", F.when(F.size("base") > 0, F.col("text"))), "pii-found")
-    extra = _extra_spans(found, named.select("text"), support, generalise, remove)
+    extra = _extra_spans(found, named.select("print", "text"), support, generalise, remove)
     small = found.select("id", "row", "base")
     with_any = small.where(F.size("base") > 0).join(extra, "row", "left")
     both = with_any.select("id", "base", _all_spans().alias("spans")).unionByName(small.where(F.size("base") == 0).select("id", "base", F.col("base").alias("spans")))
@@ -211,9 +223,9 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERA
     """
     names = docs.columns
     named = _keyed(docs, id_col, text_col)
-    based = named.select("id", "row", base_spans("text").alias("base"), "text")
+    based = named.select("id", "row", "print", base_spans("text").alias("base"), "text")
     found = durable(based.where(F.size("base") > 0), "pii-found")
-    extra = _extra_spans(found, named.select("text"), support, generalise, remove)
+    extra = _extra_spans(found, named.select("print", "text"), support, generalise, remove)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("own"), plain_text(F.col(text_col)).alias("text"), F.col(id_col).alias("id"))
     packed = packed.select("own", "text", _row(F.col("id"), F.col("text")).alias("row"), base_spans("text").alias("base"))
     clean = packed.where(F.size("base") == 0).select("own.*")

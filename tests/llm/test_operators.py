@@ -119,6 +119,26 @@ def test_personal_data(docs, none):
     assert pii.find_personal_data(none).count() == 0 and pii.sanitise(none).count() == 0
 
 
+PLAIN = " ".join(f"common{chr(97 + k)}" for k in range(20))
+
+
+def _spans(spark, texts):
+    """Per text what is replaced besides the patterns' matches."""
+    rows = [(k, t) for k, t in enumerate(texts)]
+    got = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    return {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.stop]) for s in r.spans if s not in r.base] for r in got}
+
+
+def test_terms_that_disclose_values_which_never_repeat(spark):
+    """Each address and number stands in one text only; copies of a text count once."""
+    firm = [f"Commona Zorbix commonb p{chr(97 + k)}@zorb.example commonc" for k in range(12)]
+    rare = "commona Quillfeather commonb +49 30 1234567"
+    got = _spans(spark, firm + [rare] * 40 + [f"{PLAIN} {n}" for n in range(600)])
+    assert all(got[k] == [("remove", "Zorbix")] for k in range(12))
+    assert all(got[k] == [("generalise", "Quillfeather")] for k in range(12, 52))
+    assert not any(got[k] for k in range(52, 652))
+
+
 def test_shards(docs, none):
     got = sharding.byte_shards(docs, 4).collect()
     total = sum(r["size"] for r in got)
