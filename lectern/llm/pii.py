@@ -43,8 +43,8 @@ NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){1
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalise": "[TERM]", "remove": ""}
 SPAN = "array<struct<start:int,ord:int,kind:string,stop:int>>"
-#: A term: a word of letters, two at least.
-WORD = r"[\p{L}][\p{L}\p{M}'-]+"
+#: A term: a word of letters and digits.
+WORD = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}'-]*+"
 SALTS = 32
 SUPPORT, GENERALISE, REMOVE = 3, 0.7, 0.85
 #: The counted terms, and the texts that have copies, are broadcast up to so many; beyond, they are joined by a shuffle.

@@ -139,6 +139,15 @@ def test_terms_that_disclose_values_which_never_repeat(spark):
     assert not any(got[k] for k in range(52, 652))
 
 
+def test_terms_far_from_the_value_go_everywhere(spark):
+    """A term is masked wherever it stands in the document, with digits and of one letter too."""
+    far = " ".join([PLAIN] * 40)
+    held = f"Quillfeather KX-4471 {far} jo@zorb.example {PLAIN} quillfeather {far} \u00fe kx-4471"
+    got = _spans(spark, [held] + [f"{PLAIN} {n}" for n in range(600)])
+    assert got[0] == [("generalise", t) for t in ("Quillfeather", "KX-4471", "quillfeather", "\u00fe", "kx-4471")]
+    assert not any(got[k] for k in range(1, 601))
+
+
 def test_shards(docs, none):
     got = sharding.byte_shards(docs, 4).collect()
     total = sum(r["size"] for r in got)
