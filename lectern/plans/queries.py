@@ -268,8 +268,9 @@ def sse_frames(spark, sf_dir):
 @_query()
 def stream_log_tail(spark, sf_dir):
     schema = _table(spark, sf_dir, "events").schema
-    stream = log_tail.once(log_tail.log_stream(spark, sf_dir, "events.parquet", schema), "event_id")
-    return log_tail.drain(stream.select("event_id", "user_id", "event_type"), shared_folder(spark))
+    stream = log_tail.table_stream(spark, sf_dir, "events.parquet", schema)
+    # what there is ends, and its files come in any order: repeats go afterwards, so that no row is late
+    return log_tail.drain(stream.select("event_id", "user_id", "event_type"), shared_folder(spark)).dropDuplicates(["event_id"])
 
 
 # --- chat --------------------------------------------------------------------------------------------

@@ -23,6 +23,13 @@ def test_stream_equals_batch(spark):
     assert got.count() == got.select("event_id").distinct().count() == spark.read.parquet(f"{SMALL}/events.parquet").count()
 
 
+def test_stream_of_part_files_in_any_order(spark, tmp_path):
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    events.unionByName(events.limit(50)).repartitionByRange(130, events.ts.desc()).write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["stream_log_tail"](spark, str(tmp_path))
+    assert got.count() == got.select("event_id").distinct().count() == events.select("event_id").distinct().count()
+
+
 def _column(spark, values, f):
     rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, x string")
     return [r[0] for r in rows.orderBy("k").select(f(F.col("x"))).collect()]
