@@ -28,6 +28,11 @@ def fenced_body(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(FENCE + "json")), strip(tagged)).when(F.contains(text, F.lit(FENCE)), strip(_between(text, FENCE))).otherwise(text)
 
 
+def compiled_body(text: Column) -> Column:
+    """The body of a compiler's answer: as :func:`fenced_body`, always stripped, from the first ``{`` to the last ``}``."""
+    return brace_trim(strip(fenced_body(text)))
+
+
 def brace_trim(text: Column) -> Column:
     """From the first ``{`` to the last ``}``; an end without its brace stays."""
     first = F.locate("{", text)
@@ -55,11 +60,63 @@ def markdown_class(line: Column) -> Column:
     t = strip(line)
     bullet = (t.startswith("*") & ~t.startswith("**")) | (t.startswith("-") & ~t.startswith("--"))
     kind = F.when(t.startswith("### "), "h3").when(t.startswith("## "), "h2").when(t.startswith("# "), "h1").when(bullet, "bullet").when(t == "", "blank").otherwise("paragraph")
-    body = F.when(kind.isin("h1", "h2", "h3"), strip(F.regexp_replace(t, "^#+ ", ""))).when(kind == "bullet", strip(F.substring(t, F.lit(2), F.length(t)))).otherwise(t)
+    body = F.when(kind.isin("h1", "h2", "h3"), F.regexp_replace(t, "^#+ ", "")).when(kind == "bullet", strip(F.substring(t, F.lit(2), F.length(t)))).otherwise(t)
     return F.struct(kind.alias("kind"), body.alias("text"))
 
 
+def markdown_lines(text: Column) -> Column:
+    """Array of (kind, text) of a message's lines; a blank last line is dropped, an empty text has none."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    classed = F.transform(lines, markdown_class)
+    last = F.element_at(classed, -1)
+    return F.when(last["kind"] == "blank", F.slice(classed, F.lit(1), F.size(classed) - 1)).otherwise(classed)
+
+
 def bold_parts(text: Column) -> Column:
-    """Array of (bold, text): the parts of a line, cut at ``**...**`` spans."""
-    parts = F.split(text, r"\*\*", -1)
-    return F.transform(parts, lambda x, k: F.struct((k % 2 == 1).alias("bold"), x.alias("text")))
+    """Array of (bold, text): the parts of a line, cut at ``**...**`` spans; empty parts are dropped.
+
+    ``**name:** **`` is mended to ``**name:**`` first. Marks without a partner are plain text.
+    """
+    mended = F.regexp_replace(text, r"\*\*([^*]+):\*\*\s*\*\*", "**$1:**")
+    span = r"\*\*[^*]+\*\*"
+    plain, bold = F.split(mended, span, -1), F.regexp_extract_all(mended, F.lit(span), F.lit(0))
+    part = lambda is_bold, x: F.struct(F.lit(is_bold).alias("bold"), x.alias("text"))
+    pairs = F.zip_with(plain, bold, lambda p, b: F.array(part(False, p), part(True, F.substring(b, F.lit(3), F.length(b) - 4))))
+    return F.filter(F.flatten(pairs), lambda x: F.coalesce(x["text"], F.lit("")) != "")
+
+
+def valid_thread_id(text: Column) -> Column:
+    """Whether a text is a UUID: 32 hexadecimal digits, with or without dashes, braces and the urn prefix."""
+    bare = F.regexp_replace(F.btrim(F.regexp_replace(text, "urn:|uuid:", ""), F.lit("{}")), "-", "")
+    return F.coalesce(bare.rlike("^[0-9a-fA-F]{32}$"), F.lit(False))
+
+
+def upload_message(n_files: Column, first_name: Column) -> Column:
+    """Struct (content, file_name): what the user is shown to have asked with an upload."""
+    many = n_files > 1
+    # Fixed values
+    content = F.when(many, F.concat(F.lit("Please analyze these procurement documents ("), n_files.cast("string"), F.lit(" files)"))).otherwise("Please analyze this procurement document")
+    name = F.when(many, F.concat(first_name, F.lit(" +"), (n_files - 1).cast("string"), F.lit(" more"))).otherwise(first_name)
+    return F.struct(content.alias("content"), name.alias("file_name"))
+
+
+def follow_up(status: Column) -> Column:
+    """The question that is asked after a verdict, by its status."""
+    return F.when(status == "FAIL", "Which steps, in which order, would mend the findings and reach compliance?").otherwise("How is compliance kept up, and what else is good practice here?")
+
+
+def http_error(status: Column, status_text: Column, body: Column) -> Column:
+    """The text of a failed response: its error, else its detail, else the status line."""
+    said = lambda key: F.nullif(F.get_json_object(body, f"$.{key}"), F.lit(""))
+    return F.coalesce(said("error"), said("detail"), F.concat(F.lit("HTTP "), status.cast("string"), F.lit(": "), status_text))
+
+
+def presentation_title(thread: Column) -> Column:
+    """A presentation is named after the first 8 characters of its session."""
+    return F.concat(F.lit("Procurement Analysis Report - "), prefix(thread, 8))
+
+
+def presentation_link(response: Column, base: str) -> Column:
+    """The address in a presentation service's JSON answer: url, webUrl, docUrl, or built from the id; null if it has none."""
+    said = lambda key: F.get_json_object(response, f"$.{key}")
+    return F.coalesce(said("url"), said("webUrl"), said("docUrl"), F.concat(F.lit(base.rstrip("/") + "/"), said("id")))

@@ -2,41 +2,104 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.strict_json import strict_json
+from lectern.functions.strict_json import parse_json
 from lectern.functions.text import fenced_body
 
-# The analyzers, and the severity each falls back to on bad JSON and on an exception.
-ANALYZERS = {
-    "spec_check": ("medium", "high"),
-    "lcca": ("medium", "high"),
-    "market_scope": ("low", "medium"),
-    "green": ("low", "medium"),
-    "tatak_pinoy": ("low", "medium"),
-    "compliance": ("low", "medium"),
+# The fields of each analyzer's record, their types, and what they hold when an answer isn't
+# JSON and when the analysis failed. {} stands for the error's text.
+RECORDS = {
+    "spec_check": {
+        "compliant": ("boolean", False, False),
+        "issues": ("array<string>", ["Failed to parse analysis results"], ["Analysis error: {}"]),
+        "severity": ("string", "medium", "high"),
+        "recommendations": ("array<string>", [], []),
+    },
+    "lcca": {
+        "tco_considered": ("boolean", False, False),
+        "cost_factors_identified": ("array<string>", [], []),
+        "missing_considerations": ("array<string>", ["Failed to parse analysis"], ["Analysis error: {}"]),
+        "severity": ("string", "medium", "high"),
+        "recommendations": ("array<string>", [], []),
+    },
+    "market_scope": {
+        "abc_reasonable": ("boolean", True, True),
+        "market_price_range": ("string", "Unable to determine", "Analysis unavailable"),
+        "supplier_availability": ("string", "unknown", "unknown"),
+        "issues": ("array<string>", ["Failed to parse analysis"], ["Analysis error: {}"]),
+        "severity": ("string", "low", "medium"),
+        "recommendations": ("array<string>", [], []),
+    },
+    "green": {
+        "green_criteria_included": ("boolean", False, False),
+        "environmental_considerations": ("array<string>", [], []),
+        "missing_criteria": ("array<string>", ["Failed to parse analysis"], ["Analysis error: {}"]),
+        "severity": ("string", "low", "medium"),
+        "recommendations": ("array<string>", [], []),
+    },
+    "tatak_pinoy": {
+        "domestic_preference_applied": ("boolean", False, False),
+        "local_content_considered": ("boolean", False, False),
+        "compliance_issues": ("array<string>", ["Failed to parse analysis"], ["Analysis error: {}"]),
+        "opportunities": ("array<string>", [], []),
+        "severity": ("string", "low", "medium"),
+        "recommendations": ("array<string>", [], []),
+    },
+    "compliance": {
+        "recommended_modality": ("string", "Competitive Bidding", "Competitive Bidding"),
+        "justification": ("string", "Default procurement mode", "Analysis error occurred"),
+        "procurement_characteristics": ("array<string>", [], []),
+        "compliance_requirements": ("array<string>", ["Failed to parse analysis"], ["Analysis error: {}"]),
+        "severity": ("string", "low", "medium"),
+        "recommendations": ("array<string>", [], []),
+    },
 }
+ANALYZERS = tuple(RECORDS)
 SEVERITIES = ("low", "medium", "high")
 
 
-def fallback_severity(analyzer, failed):
-    """The severity a response counts as when it can't be read; ``failed``: the call itself failed."""
-    bad = F.create_map(*[F.lit(x) for k, v in ANALYZERS.items() for x in (k, v[0])])
-    error = F.create_map(*[F.lit(x) for k, v in ANALYZERS.items() for x in (k, v[1])])
-    return F.when(failed, error[analyzer]).otherwise(bad[analyzer])
+def record_schema(analyzer: str) -> str:
+    return ", ".join(f"{name} {kind}" for name, (kind, *_) in RECORDS[analyzer].items())
+
+
+def _filled(value, error: Column) -> Column:
+    if isinstance(value, list):
+        return F.array(*[_filled(x, error) for x in value]).cast("array<string>")
+    if isinstance(value, str) and "{}" in value:
+        return F.concat(F.lit(value.replace("{}", "")), error)
+    return F.lit(value)
+
+
+def fallback_record(analyzer: Column, error: Column) -> Column:
+    """The JSON record that stands for an answer which can't be read; ``error``: null if it just isn't JSON."""
+    out = F.lit(None).cast("string")
+    for name, fields in RECORDS.items():
+        record = lambda at: F.to_json(F.struct(*[_filled(v[at], error).alias(k) for k, v in fields.items()]))  # noqa: E731, B023
+        out = F.when(analyzer == name, F.when(error.isNull(), record(1)).otherwise(record(2))).otherwise(out)
+    return out
 
 
 def recover(responses: DataFrame, response: str = "response", error: str = "error") -> DataFrame:
-    """Adds ``body`` (canonical JSON or null), ``parsed``, ``severity`` and ``compliant`` to (analyzer, response, error)."""
-    body = responses.withColumn("body", strict_json(fenced_body(F.col(response))))
-    failed = F.col(error).isNotNull()
-    parsed = F.col("body").isNotNull() & ~failed
-    return body.select(
-        "*", parsed.alias("parsed"),
-        F.when(parsed, F.get_json_object("body", "$.severity")).otherwise(fallback_severity(F.col("analyzer"), failed)).alias("severity"),
-        F.when(parsed, F.get_json_object("body", "$.compliant") == "true").otherwise(F.col("analyzer").isin("market_scope")).alias("compliant"),
-    )
+    """Adds ``record`` (JSON, never null), ``parsed``, ``severity`` and ``compliant`` to (analyzer, response, error).
+
+    Any JSON value is a record as it is. What isn't JSON, and no answer at all, gives the analyzer's first
+    fallback; a failed call, or JSON that can't be read for another reason, its second.
+    """
+    read = responses.withColumn("read", parse_json(fenced_body(F.col(response))))
+    failed = F.coalesce(F.col(error), F.col("read.error"))
+    parsed = F.col("read.body").isNotNull() & F.col(error).isNull()
+    found = read.withColumn("parsed", parsed).withColumn("record", F.when(parsed, F.col("read.body")).otherwise(fallback_record(F.col("analyzer"), failed)))
+    # the first field of four of the records says whether all is well; the first fallback of two isn't false
+    verdict = F.coalesce(*[F.get_json_object("record", f"$.{next(iter(fields))}") for fields in RECORDS.values()])
+    return found.drop("read").withColumns({"severity": F.get_json_object("record", "$.severity"), "compliant": verdict == "true"})
+
+
+def typed_records(recovered: DataFrame, analyzer: str, *keys: str) -> DataFrame:
+    """``keys`` and the typed fields of one analyzer's records; a field of another type is null."""
+    own = recovered.where(F.col("analyzer") == analyzer).withColumn("r", F.from_json("record", record_schema(analyzer)))
+    return own.select(*keys, *[F.col(f"r.{name}").alias(name) for name in RECORDS[analyzer]])
 
 
 def rank_of(severity):
@@ -49,7 +112,8 @@ def merge_sessions(recovered: DataFrame, thread: str) -> DataFrame:
     Disjoint keys of a merge are a pivot with known columns: one partial aggregation, one shuffle.
     """
     worst = [F.max(F.when(F.col("analyzer") == a, rank_of(F.col("severity")))).alias(a) for a in ANALYZERS]
-    merged = recovered.groupBy(thread).agg(*worst, F.countDistinct("analyzer").alias("n_analyzers"), F.countDistinct(F.when(F.col("parsed"), F.col("analyzer"))).alias("n_parsed"))
+    any_of = lambda what: [F.max(F.when(F.col("analyzer") == a, what).otherwise(0)) for a in ANALYZERS]
+    merged = recovered.groupBy(thread).agg(*worst, sum(any_of(F.lit(1)), F.lit(0)).alias("n_analyzers"), sum(any_of(F.col("parsed").cast("int")), F.lit(0)).alias("n_parsed"))
     name = lambda a: F.get(F.array(*map(F.lit, SEVERITIES)), F.col(a) - 1).alias(a)
     return merged.select(thread, *[name(a) for a in ANALYZERS], "n_analyzers", "n_parsed")
 

@@ -13,6 +13,11 @@ def assemble(files: DataFrame, thread: str, name: str, text: str) -> DataFrame:
     return grouped.select(thread, F.size("parts").alias("n_docs"), F.array_join(F.col("parts.part"), "\n\n").alias("parsed_text"))
 
 
+def parsed_or_error(text, error):
+    """A document's text, or what its parser said in its place: the review goes on with that."""
+    return F.when(error.isNotNull(), F.concat(F.lit("Error parsing PDF: "), error)).otherwise(text)
+
+
 def paged(pages, first: int = 1):
     """A Column: the array of page texts under page headings."""
     return F.array_join(F.transform(pages, lambda p, k: F.concat(F.lit("--- Page "), (k + first).cast("string"), F.lit(" ---\n"), p)), "\n\n")

@@ -5,19 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.strict_json import strict_json
+from lectern.operators.chat import event
+
 TIMEOUT_S = 300
 
 
-def agent_lanes(logs: DataFrame, thread: str, agent: str, complete=None) -> DataFrame:
-    """One row per (thread, agent): last message, first and last ``seq``, ``lane`` in first-seen order, ``status``.
+# What agents are called where their progress is shown; others keep their names.
+DISPLAY_NAMES = {
+    "PDF Parser": "Document Extraction",
+    "Specification Validator": "Specification Validation",
+    "LCCA Analyzer": "Cost Analysis",
+    "Market Researcher": "Market Research",
+    "Sustainability Analyst": "Sustainability Check",
+    "Domestic Preference Checker": "Tatak Pinoy Verification",
+    "Modality Advisor": "Compliance Review",
+    "Report Compiler": "Report Generation",
+    "Gamma Generator": "Final Processing",
+}
+
+
+def display_name(agent):
+    names = F.create_map(*[F.lit(x) for pair in DISPLAY_NAMES.items() for x in pair])
+    return F.coalesce(names[agent], agent)
 
-    The agent that owns a thread's last row is active unless ``complete`` holds. Only one row per lane
-    reaches the windows.
+
+def agent_lanes(logs: DataFrame, thread: str, agent: str, complete=None, ts: str | None = None) -> DataFrame:
+    """One row per (thread, agent): last message, first and last ``seq`` (and time), ``lane`` in first-seen order, ``status``.
+
+    The agent that owns a thread's last row is active unless ``complete`` holds; what the logs say of their
+    own status doesn't count. The aggregate keeps sequence numbers only, which hashes; the messages are
+    joined back by the last of them. Only one row per lane reaches the windows.
     """
-    lanes = logs.groupBy(thread, agent).agg(F.max_by("message", "seq").alias("message"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    lanes = logs.groupBy(thread, agent).agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    of = lambda side: logs.select(thread, agent, F.col("seq").alias(f"{side}_seq"), *([F.col(ts).alias(f"{side}_ts")] if ts else []), *(["message"] if side == "last" else []))
+    found = lanes.join(of("last"), [thread, agent, "last_seq"])
+    found = found.join(of("first"), [thread, agent, "first_seq"]) if ts else found
     last = F.col("last_seq") == F.max("last_seq").over(Window.partitionBy(thread))
     done = F.lit(False) if complete is None else complete
-    return lanes.select("*", F.row_number().over(Window.partitionBy(thread).orderBy("first_seq")).alias("lane"), F.when(last & ~done, "active").otherwise("complete").alias("status"))
+    times = ["first_ts", "last_ts"] if ts else []
+    lane = F.row_number().over(Window.partitionBy(thread).orderBy("first_seq")).alias("lane")
+    return found.select(thread, agent, "message", "first_seq", "last_seq", *times, lane, F.when(last & ~done, "active").otherwise("complete").alias("status"))
+
+
+def append_logs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Logs of parallel agents, one after the other; a side that isn't there is empty."""
+    return left.unionByName(right)
 
 
 def first_by_id(logs: DataFrame, key: str, order: str) -> DataFrame:
@@ -46,3 +79,30 @@ def terminal_event(has_verdict, n_errors, timed_out):
 
 def session_status(has_logs, has_verdict):
     return F.when(has_verdict, "complete").when(has_logs, "processing").otherwise("not_started")
+
+
+def analysis_events(logs: DataFrame, sessions: DataFrame, thread: str) -> DataFrame:
+    """(thread, seq, event, data): a session's logs, and then how it ends.
+
+    ``logs`` has (thread, seq, id, agent, message, timestamp, status), ``sessions`` one row a session:
+    (thread, report, error, timed_out). A report comes before a task's error, and that before the timeout;
+    a report that isn't JSON is an error. A session with none of these is open and has no end yet.
+    """
+    log = logs.select(thread, "seq", event("thinking_log", **{k: F.col(k) for k in ("id", "agent", "message", "timestamp", "status")}).alias("e"))
+    read = sessions.withColumn("body", strict_json(F.col("report")))
+    some = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    said = lambda text: F.array(event("error", error=text))
+    verdict = F.array(F.struct(F.lit("verdict").alias("event"), F.col("body").alias("data")), event("complete", status=F.lit("awaiting_review")))
+    end = F.when(some("report") & F.col("body").isNotNull(), verdict).when(some("report"), said(F.lit("Invalid verdict format")))
+    end = end.when(F.col("error").isNotNull(), said(F.coalesce("error", F.lit("Unknown error")))).when(F.col("timed_out"), said(F.lit("Analysis timeout")))
+    # behind every log
+    ends = read.select(thread, F.posexplode(end).alias("k", "e")).select(thread, (F.lit((1 << 63) - 3) + F.col("k")).alias("seq"), "e")
+    return log.unionByName(ends).select(thread, "seq", "e.event", "e.data")
+
+
+def status_of(has_state, report, link, n_logs):
+    """Struct (status, has_verdict, has_gamma, thinking_logs_count) of a session; empty texts count as none."""
+    some = lambda c: F.coalesce(c, F.lit("")) != ""
+    return F.struct(
+        session_status(has_state, some(report)).alias("status"), some(report).alias("has_verdict"), some(link).alias("has_gamma"), F.coalesce(n_logs, F.lit(0)).alias("thinking_logs_count")
+    )

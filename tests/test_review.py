@@ -5,10 +5,13 @@ from conftest import SMALL, same_rows
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.functions.strict_json import strict_json
-from lectern.operators import analysis, chat, progress
+from lectern.functions.strict_json import flat_content, strict_json
+from lectern.operators import analysis, assemble, chat, model, progress, review, verdict
 from lectern.plans.queries import ORACLES, QUERIES
-from lectern.sources import intake
+from lectern.sources import intake, pdf
+from lectern.sources.settings import Settings
+from lectern.sources.shared import shared_folder
+from lectern.streaming import events
 
 FENCE = T.FENCE
 
@@ -70,10 +73,11 @@ def test_intake(spark):
 
 
 def test_stored_names(spark):
-    rows = [("t", 1, "a.pdf"), ("t", 2, "a.pdf"), ("t", 3, "a_1.pdf"), ("u", 1, "a.pdf"), ("u", 2, "a.pdf"), ("u", 3, "a.pdf"), ("v", 1, "x.PDF")]
+    rows = [("t", 1, "a.pdf"), ("t", 2, "a.pdf"), ("t", 3, "a_1.pdf"), ("u", 1, "a.pdf"), ("u", 2, "a.pdf"), ("u", 3, "a.pdf"), ("v", 1, "x.PDF"), ("v", 2, "x.PDF"), ("w", 1, ".pdf"), ("w", 2, ""), ("w", 3, "a.tar.gz")]
     got = intake.stored_names(spark.createDataFrame(rows, "t string, o int, n string"), "t", "o", "n")
     assert {(r.t, r.o): r.stored for r in got.collect()} == {
-        ("t", 1): "a.pdf", ("t", 2): "a_1.pdf", ("t", 3): "a_1_1.pdf", ("u", 1): "a.pdf", ("u", 2): "a_1.pdf", ("u", 3): "a_2.pdf", ("v", 1): "x.PDF",
+        ("t", 1): "a.pdf", ("t", 2): "a_1.pdf", ("t", 3): "a_1_1.pdf", ("u", 1): "a.pdf", ("u", 2): "a_1.pdf", ("u", 3): "a_2.pdf", ("v", 1): "x.PDF", ("v", 2): "x_1.PDF",
+        ("w", 1): "pdf.pdf", ("w", 2): "document_2.pdf", ("w", 3): "a.tar.pdf",
     }
 
 
@@ -84,7 +88,136 @@ def test_merge_maps(spark):
 
 def test_frames_and_lanes(spark):
     frames = [": c\r\nevent: a\r\nevent: b\r\ndata: 1\r\ndata:2", "data: x", ""]
-    assert [tuple(x) for x in _column(spark, frames, chat.parse_frame)] == [("b", "1\n2"), ("message", "x"), ("message", "")]
+    assert [tuple(x) for x in _column(spark, frames, chat.parse_frame)] == [("b", "1\n2"), ("message", "x"), ("message", None)]
     logs = spark.createDataFrame([(1, "t", "PDF", "m1"), (2, "t", "PDF", "m2"), (3, "t", "Spec", "m3"), (4, "t", "Spec", "m4")], "seq long, t string, agent string, message string")
     got = {r.agent: (r.message, r.lane, r.status) for r in progress.agent_lanes(logs, "t", "agent").collect()}
     assert got == {"PDF": ("m2", 1, "complete"), "Spec": ("m4", 2, "active")}
+
+
+def test_json_that_cannot_be_read(spark):
+    """Nesting without end and numbers without end take the second fallback; other bad JSON the first."""
+    rows = [(0, "spec_check", "[" * 200_000, None), (1, "green", "9" * 5000, None), (2, "lcca", "{'a': 1}", None), (3, "lcca", "[1]", "timeout"), (4, "compliance", None, None), (5, "lcca", "[NaN]", None), (6, "lcca", '{"severity": "high"}', None)]
+    got = {r.k: r for r in analysis.recover(spark.createDataFrame(rows, "k int, analyzer string, response string, error string")).collect()}
+    assert [got[k].parsed for k in range(7)] == [False] * 5 + [True] * 2
+    assert [got[k].severity for k in range(7)] == ["high", "medium", "medium", "high", "low", None, "high"]
+    assert json.loads(got[0].record)["issues"][0].startswith("Analysis error: maximum recursion") and json.loads(got[3].record)["missing_considerations"] == ["Analysis error: timeout"]
+    for k, analyzer, *_ in rows[:5]:
+        at = 2 if k in (0, 1, 3) else 1
+        want = {name: v[at] for name, v in analysis.RECORDS[analyzer].items()}
+        assert {n: v for n, v in json.loads(got[k].record).items() if "error: " not in str(v)} == {n: v for n, v in want.items() if "{}" not in str(v)}
+
+
+def test_compiled_verdicts(spark):
+    answers = ['Sure: {"status":"PASS","title":"t"} ok', f'x {FENCE}json\n {{"status": "F", "title": ""}} {FENCE}', '{"status":"PASS"}', "no json", "[1]", "5", '["status", "title"]', "[" * 200_000, None]
+    rows = spark.createDataFrame([(k, a) for k, a in enumerate(answers)], "k int, response string").withColumn("error", F.lit(None).cast("string"))
+    got = [r.verdict for r in verdict.compile_verdicts(rows).orderBy("k").collect()]
+    titles = ["t", "", "Analysis Incomplete", "Analysis Incomplete", "Analysis Incomplete", "System Error During Analysis", None, "System Error During Analysis", "Analysis Incomplete"]
+    assert [v.title if v else None for v in got] == titles
+    assert [v.confidence for v in got if v and v.findings] == [50, 50, 50, 0, 0, 50]
+
+
+def test_bold_and_markdown(spark):
+    parts = lambda x: [(p.bold, p.text) for p in x]
+    cases = {"a ** b": [(False, "a ** b")], "**x:** ** y": [(True, "x:"), (False, " y")], "p **q** r": [(False, "p "), (True, "q"), (False, " r")], "": []}
+    assert [parts(x) for x in _column(spark, cases, T.bold_parts)] == list(cases.values())
+    lines = {"# H": ["h1"], "#H": ["paragraph"], "* x\n\n": ["bullet", "blank"], "***x": ["paragraph"], "---": ["paragraph"], "": [], "a\n\nb\n  ": ["paragraph", "blank", "paragraph"]}
+    assert [[c.kind for c in x] for x in _column(spark, lines, T.markdown_lines)] == list(lines.values())
+
+
+def test_contents(spark):
+    cases = {None: "", '"a"': "a", '[{"text": "b"}, {"content": ["c", null]}, 5, true]': "bc5True", '{"text": 1}': "", "plain": "plain", "[" * 200_000: "[" * 200_000}
+    assert _column(spark, cases, flat_content) == list(cases.values())
+
+
+def test_model_is_asked_once_for_equal_prompts(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            asked.add(len(b))
+            yield b[["prompt_hash"]].assign(response=b["prompt"].str.upper(), error=None)
+
+    rows = spark.createDataFrame([(k, f"p{k % 3}") for k in range(30)], "k int, prompt string")
+    got = model.run_model(rows, count)
+    assert {(r.k, r.response) for r in got.collect()} == {(k, f"P{k % 3}") for k in range(30)} and got.count() == 30 and asked.value == 3
+    replayed = model.stub_model(spark.createDataFrame([(1, "r", None)], "k int, response string, error string"), rows, ["k"])
+    assert {r.k: (r.response, r.error) for r in replayed.where("k < 3").collect()} == {0: (None, "no answer recorded"), 1: ("r", None), 2: (None, "no answer recorded")}
+
+
+def test_template_values_are_not_looked_at_again(spark):
+    assert _column(spark, ["{query} %s"], lambda c: model.chat_prompt(c, F.lit("{document}"), F.lit("q")))[0].count("q\n") == 1
+
+
+def test_chat_stream_equals_batch(spark, tmp_path):
+    rows = [("m", -1, "start", None, 5), ("m", 0, "delta", "He", 6), ("m", 1, "delta", "", 6), ("n", -1, "start", None, 7), ("m", 2, "delta", "llo", 8), ("m", 3, "complete", None, 9), ("n", 0, "delta", "x", 9), ("n", 1, "gone", None, 9), ("o", -1, "start", None, 1), ("o", 0, "error", "died", 2)]
+    schema = "message_id string, seq long, kind string, delta string, timestamp long"
+    for k in range(0, len(rows), 3):  # several micro-batches
+        spark.createDataFrame(rows[k : k + 3], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    events.chat_sink(stream, f"{tmp_path}/out", once=True).awaitTermination()
+    got = sorted((json.loads(r.data)["message_id"], r.seq, r.event, r.data) for r in events.events_of(spark, f"{tmp_path}/out").collect())
+    assert [(m, e) for m, _, e, _ in got] == [("m", "chat_start"), ("m", "chat_delta"), ("m", "chat_delta"), ("m", "chat_complete"), ("n", "chat_start"), ("n", "chat_delta"), ("o", "chat_start"), ("o", "error")]
+    assert json.loads(got[3][3])["response"] == "Hello" and json.loads(got[-1][3])["error"] == "died"
+
+
+def test_replayed_log_stream_is_the_same(spark, tmp_path):
+    """A reconnect reads from the start again: after removal of repeated ids nothing changes."""
+    logs = spark.read.parquet(f"{SMALL}/events.parquet").select(F.col("event_id").alias("seq"), "user_id")
+    to_events = lambda batch: batch.select("user_id", "seq", chat.event("thinking_log", id=F.col("seq")).alias("e")).select("user_id", "seq", "e.*")
+    for _ in range(2):
+        logs.write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(logs.schema).parquet(f"{tmp_path}/in")
+    events.event_sink(stream, to_events, f"{tmp_path}/out", once=True).awaitTermination()
+    sent = events.events_of(spark, f"{tmp_path}/out").drop("batch")
+    assert sent.count() == 2 * logs.count() and progress.first_by_id(sent, "seq", "user_id").count() == logs.count()
+
+
+def test_sessions_time_out_on_the_clock(spark, tmp_path):
+    import time
+
+    spark.createDataFrame([("a", False), ("b", False), ("b", True)], "thread string, over boolean").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("thread string, over boolean").parquet(f"{tmp_path}/in")
+    query = events.timeouts(stream, "thread", "over", seconds=2).writeStream.format("memory").queryName("timed").outputMode("append").trigger(processingTime=events.POLL).start()
+    try:
+        until = time.time() + 60
+        while spark.table("timed").count() < 2 and time.time() < until:
+            time.sleep(0.5)
+        assert {(r.thread, r.event) for r in spark.table("timed").collect()} == {("a", "error"), ("b", "complete")}
+    finally:
+        query.stop()
+
+
+def test_pdf_source(spark, tmp_path):
+    for name, content in (("a.PDF", b"one|two"), ("b.pdf", b"broken"), ("c.txt", b"x")):
+        (tmp_path / name).write_bytes(content)
+
+    def reader(content):
+        if content == b"broken":
+            raise ValueError("no pages")
+        return content.decode().split("|"), {"title": "t"}
+
+    got = {r.path.rsplit("/", 1)[1]: r for r in pdf.read_pdfs(pdf.pdf_files(spark, str(tmp_path)), reader).collect()}
+    assert set(got) == {"a.PDF", "b.pdf"} and got["a.PDF"].text == "--- Page 1 ---\none\n\n--- Page 2 ---\ntwo" and (got["a.PDF"].n_pages, got["a.PDF"].title) == (2, "t")
+    assert got["b.pdf"].error == "Failed to parse PDF: no pages" and got["b.pdf"].text is None
+    text = spark.createDataFrame([("t", None), (None, "e")], "t string, e string").select(assemble.parsed_or_error(F.col("t"), F.col("e"))).collect()
+    assert [r[0] for r in text] == ["t", "Error parsing PDF: e"]
+
+
+def test_settings_and_sessions(spark):
+    assert Settings.of(environment={"LECTERN_TIMEOUT_SECONDS": "7", "LECTERN_OTHER": "x"}) == Settings(timeout_seconds=7)
+    ids = ["0" * 32, "{12345678-1234-1234-1234-123456789abc}", "urn:uuid:12345678123412341234123456789ABC", "12345", "", None, "z" * 32]
+    assert _column(spark, ids, T.valid_thread_id) == [True, True, True, False, False, False, False]
+    assert intake.new_threads(spark.range(3)).where(T.valid_thread_id(F.col("thread_id"))).count() == 3
+    assert shared_folder(spark) == shared_folder(spark)
+
+
+def test_waiting_sessions(spark):
+    found = review.pause(spark.createDataFrame([(1, "PASS"), (2, "FAIL"), (3, "PASS")], "t int, status string"))
+    reviews = spark.createDataFrame([(1, "generate_gamma"), (1, "chat_only"), (2, "chat_only")], "t int, action string")
+    assert {(r.t, r.state, r.route) for r in review.resume(found, reviews, "t").collect()} == {(1, "complete", "presentation"), (2, "complete", "end"), (3, "awaiting_review", None)}
+
+
+def test_incomplete_session_has_a_finding(spark):
+    rows = analysis.recover(spark.createDataFrame([(1, "lcca", "{}", None)], "t int, analyzer string, response string, error string"))
+    got = verdict.verdicts(analysis.merge_sessions(rows, "t"), "t").first()
+    assert (got.status, got.title, got.confidence, got.findings[0].category, got.findings[0].severity) == ("FAIL", "Analysis Incomplete", 50, "System Error", "high")
