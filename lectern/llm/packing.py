@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -23,107 +24,128 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm._shared import durable, plain_text
+from lectern.llm._tokens import small
 
 CAPACITY = 4096
 END_ID = 1
 #: Lengths over this part of the capacity are large, and dealt into so many groups. The plan that needs
 #: the fewest sequences is used.
 SETTINGS = ((1 / 5, 6), (1 / 5, 10), (1 / 3, 6), (1 / 3, 10), (1 / 5, 14), (1 / 3, 14))
-CACHED_WORDS = 1_200_000
+#: Words remembered in a worker: so many that were met once, and so many that came again.
+CACHED_WORDS = 150_000
 PIECES = "id {id}, piece int, start long, length long, ids_crc32 long"
 
-_words: dict[str, dict[bytes, bytes]] = {}
 _tokenizers: dict[str, object] = {}
 
 
 def _tokenizer(path: str):
+    """The library's tokenizer, with its own defaults: a special token's string in a text is that token."""
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
         from tokenizers import Tokenizer
 
-        made = Tokenizer.from_file(path)
-        made.encode_special_tokens = True  # the special tokens' strings in a text are ordinary text
-        _tokenizers[path] = made
+        _tokenizers[path] = Tokenizer.from_file(path)
     return _tokenizers[path]
 
 
-#: Marks that end a word of letters as a token run of their own.
+#: Marks that may follow a word of letters; they are tokens of their own.
 MARKS = b".,!?;:#$%&*|<>()[]{}\"/\\+=~^_@-"
-#: New words are encoded so many at a time, with this word between them.
-TOGETHER, BETWEEN = 256, "\u03c9"
 
 
-def _encoded(words: list[bytes], path: str) -> list[bytes]:
-    """The ids of each word, which is encoded among others: one call for each takes twice the time.
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write each byte as: printable Latin-1 as itself, the rest from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
-    A group whose separators can't be told from its words is encoded word by word.
-    """
-    own = _tokenizer(path)
-    mark = own.encode(BETWEEN, add_special_tokens=False).ids
-    texts = [w.decode("utf-8", "replace") for w in words]
-    groups = [texts[a : a + TOGETHER] for a in range(0, len(texts), TOGETHER)]
-    out: list[bytes] = []
-    for group, found in zip(groups, own.encode_batch_fast([f" {BETWEEN} ".join(g) for g in groups], add_special_tokens=False)):
-        ids = np.array(found.ids, "<u4")
-        cuts = np.flatnonzero(ids == mark[0]) if len(mark) == 1 else ids[:0]
-        if len(cuts) == len(group) - 1:
-            flat, at = ids.tobytes(), [-1, *cuts.tolist(), len(ids)]
-            out += [flat[4 * a + 4 : 4 * b] for a, b in zip(at[:-1], at[1:])]
-        else:
-            out += [np.array(x.ids, "<u4").tobytes() for x in own.encode_batch_fast(group, add_special_tokens=False)]
-    return out
+
+_LETTERS = _byte_letters()
 
 
-def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
-    """The ids of each UTF-8 text as little-endian 32-bit numbers.
+class WordMemory:
+    """Ids of words. The tokenizer drops white space and never joins across it, so a word is encoded by itself.
 
-    The tokenizer drops white space and never joins across it, so each word is encoded once and
-    remembered; the memory of words is bounded and is emptied when full.
+    A word of Latin letters, lower-cased, is one piece of the tokenizer's cutting, and the marks after it
+    are others: such words go to the merges directly. All other words go through the whole tokenizer.
+    Words that come again are kept apart from those met once, so that the many rare ones don't drive them
+    out; either part is emptied when it is full.
     """
-    known = _words.setdefault(path, {})
-    split = [x.split() for x in texts]
-    new = set().union(*split).difference(known)
-    if new:
-        if len(known) + 2 * len(new) > CACHED_WORDS:
-            known.clear()
-            new = set().union(*split)
-        # letters and the marks after them are tokens apart, and case is dropped
-        parts = {}
-        for word in new:
+
+    def __init__(self, path: str, most: int = CACHED_WORDS):
+        self.own, self.most = _tokenizer(path), most
+        self.often: dict[bytes, bytes] = {}
+        self.once: dict[bytes, bytes] = {}
+        self.bodies: dict[str, bytes] = {}
+        self.tails: dict[bytes, bytes] = {b"": b""}
+
+    def _whole(self, words: list[bytes]) -> list[bytes]:
+        got = self.own.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [np.array(x.ids, "<u4").tobytes() for x in got]
+
+    def _encoded(self, words: set[bytes]) -> dict[bytes, bytes]:
+        out, whole = {}, []
+        if len(self.bodies) > self.most:
+            self.bodies.clear()
+        for word in words:
             body = word.rstrip(MARKS)
             if body.isalpha():
-                parts[word] = (body.lower(), word[len(body) :])
-            elif len(body) < len(word) and body.decode("utf-8", "replace").isalpha():
-                parts[word] = (body, word[len(body) :])
-        apart = {x for pair in parts.values() for x in pair}
-        whole = [w for w in (new - parts.keys() | apart) - known.keys() if w]
-        known.update(zip(whole, _encoded(whole, path)))
-        known[b""] = b""
-        known.update((w, known[body] + known[tail]) for w, (body, tail) in parts.items())
-    return [b"".join([known[w] for w in words]) for words in split]
+                letters = body.lower().decode()
+            else:
+                letters = body.decode("utf-8", "replace").lower()
+                if not letters.isalpha() or max(letters) >= "\u0250" or not unicodedata.is_normalized("NFC", letters):
+                    whole.append(word)
+                    continue
+                letters = letters.encode().decode("latin-1").translate(_LETTERS)
+            ids = self.bodies.get(letters)
+            if ids is None:
+                ids = self.bodies[letters] = np.array([x.id for x in self.own.model.tokenize(letters)], "<u4").tobytes()
+            tail = word[len(body) :]
+            if tail not in self.tails:
+                if len(self.tails) > 10_000:
+                    self.tails = {b"": b""}
+                self.tails[tail] = self._whole([tail])[0]
+            out[word] = ids + self.tails[tail]
+        out.update(zip(whole, self._whole(whole)))
+        return out
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each UTF-8 text as little-endian 32-bit numbers."""
+        split = [x.split() for x in texts]
+        words = set().union(*split)
+        new = words.difference(self.often)
+        again = new.intersection(self.once)
+        if len(self.often) + len(again) > self.most:
+            self.often.clear()
+            new, again = words, words.intersection(self.once)
+        for word in again:
+            self.often[word] = self.once.pop(word)
+        fresh = self._encoded(new - again)
+        if len(self.once) + len(fresh) > self.most:
+            self.once.clear()
+        self.once.update(fresh)
+        often, once = self.often, self.once
+        return [b"".join([often[w] if w in often else once[w] for w in ws]) for ws in split]
 
 
 def _pieces(path: str, capacity: int, end_id: int, keep_ids: bool):
     end = np.array([end_id], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = part.column(0).to_pylist()
-                out = []
-                for doc, got in zip(ids, token_bytes(part.column(1).cast(pa.binary()).to_pylist(), path)):
-                    got += end
-                    for k, a in enumerate(range(0, len(got), 4 * capacity)):
-                        own = got[a : a + 4 * capacity]
-                        out.append((doc, k, a // 4, len(own) // 4, zlib.crc32(own), own))
-                cols = list(zip(*out))
-                arrays = [pa.array(cols[0], part.column(0).type), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:5])]
-                names = ["id", "piece", "start", "length", "ids_crc32"]
-                if keep_ids:
-                    arrays.append(pa.array([np.frombuffer(x, "<u4").astype("<i4") for x in cols[5]], pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(arrays, names)
+        memory = WordMemory(path)  # it goes with the partition
+        for part in small(batches):
+            out = []
+            for doc, got in zip(part.column(0).to_pylist(), memory.ids(part.column(1).cast(pa.binary()).to_pylist())):
+                got += end
+                for k, a in enumerate(range(0, len(got), 4 * capacity)):
+                    own = got[a : a + 4 * capacity]
+                    out.append((doc, k, a // 4, len(own) // 4, zlib.crc32(own), own if keep_ids else b""))
+            cols = list(zip(*out))
+            arrays = [pa.array(cols[0], part.column(0).type), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:5])]
+            names = ["id", "piece", "start", "length", "ids_crc32"]
+            if keep_ids:
+                arrays.append(pa.array([np.frombuffer(x, "<u4").astype("<i4") for x in cols[5]], pa.list_(pa.int32())))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
     return pieces
 
