@@ -2,67 +2,70 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.sources.shared import discard, durable, shared_folder
+
+__all__ = ["SPACES", "bitmap", "discard", "durable", "join_facts", "maybe_in", "plain_text", "read_table", "shared_folder", "with_counts"]
+
 #: A run of the six ASCII white-space characters, as a Java pattern.
 SPACES = "[ \\t\\n\\x0B\\f\\r]+"
 
-_local: dict[str, str] = {}
 
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset (local tests, a single machine) a temporary folder is used.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _local:
-        _local[app] = "file://" + tempfile.mkdtemp(prefix="lectern-")
-    return _local[app]
+def plain_text(column: Column) -> Column:
+    """Null counts as the empty text."""
+    return F.coalesce(column.cast("string"), F.lit(""))
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back.
+def with_counts(rows: DataFrame, key: str, value: str, more=None, salts: int = 32) -> DataFrame:
+    """Adds ``n`` (rows) and ``least`` (smallest ``value``) of each row's group of equal ``key``, and its ``salt``.
 
-    This cuts the lineage: a lost executor costs a re-read, never a recomputation of what came
-    before. The files go when the application ends.
+    A group may hold a third of all rows, so each group is dealt over ``salts`` sub-groups: they are
+    aggregated first, and the facts return to the rows by (key, salt). ``more`` may turn the facts into
+    others, one row per key, with the column ``key``.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lectern-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(F.col(value)), F.lit(salts)).cast("int"))
+    parts = salted.groupBy(key, "salt").agg(F.count(F.lit(1)).alias("part_n"), F.min(value).alias("part_least"))
+    facts = parts.groupBy(key).agg(F.sum("part_n").alias("n"), F.min("part_least").alias("least"))
+    per_salt = parts.select(key, "salt").join(more(facts) if more else facts, key)
+    return salted.join(per_salt, [key, "salt"])
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Positions of a native bitmap: at most BITMAP_BITS / 64 rows of two numbers, some 16 MB, are broadcast.
+BITMAP_BITS = 1 << 25
+#: A key with more than this part of all rows is hot; there are HOT of them at most.
+HOT = 1000
 
 
-def plain_text(column: Column) -> Column:
-    """Null counts as the empty text."""
-    return F.coalesce(column.cast("string"), F.lit(""))
+def _slot(hashes: str) -> Column:
+    return F.expr(f"cast(shiftright(pmod({hashes}, {BITMAP_BITS}L), 6) as int)")
 
 
-def with_group_facts(rows: DataFrame, key: str, id_col: str, salts: int = 32, more=None) -> DataFrame:
-    """Adds ``keep_id`` (smallest id) and ``group_size`` of each row's group of equal ``key``.
+def _bit(hashes: str) -> str:
+    return f"cast(pmod({hashes}, 64L) as int)"
 
-    A group may hold a third of all rows, so each group is dealt over ``salts`` sub-groups: they are
-    aggregated first, and the facts return to the rows by (key, salt). ``more`` may add columns to the
-    facts, one row per key.
+
+def bitmap(keys: DataFrame, hashes: str) -> DataFrame:
+    """(slot, bits): the positions that the 64-bit hashes of a column hit. Of bounded size, whatever the keys."""
+    return keys.select(_slot(hashes).alias("slot"), F.expr(f"shiftleft(1L, {_bit(hashes)})").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+
+
+def maybe_in(rows: DataFrame, hashes: str, marked: DataFrame) -> DataFrame:
+    """The rows with a column ``maybe``: false where a bitmap says that the hash isn't among its keys."""
+    joined = rows.withColumn("slot", _slot(hashes)).join(F.broadcast(marked), "slot", "left")
+    return joined.withColumn("maybe", F.expr(f"coalesce(shiftrightunsigned(bits, {_bit(hashes)}) & 1L = 1L, false)")).drop("slot", "bits")
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
+    """Inner or left join of rows with facts (one row per key, ``n``: how many of ``total`` rows it has).
+
+    The facts of hot keys, ``HOT`` at most, are broadcast; no other key fills a task.
     """
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int"))
-    parts = salted.groupBy(key, "__salt").agg(F.min(id_col).alias("__least"), F.count(F.lit(1)).alias("__rows"))
-    facts = parts.groupBy(key).agg(F.min("__least").alias("keep_id"), F.sum("__rows").alias("group_size"))
-    facts = more(facts) if more else facts
-    per_salt = parts.select(key, "__salt").join(facts, key)
-    return salted.join(per_salt, [key, "__salt"]).drop("__salt")
+    hot = facts.where(F.col("n") * HOT > total)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(facts.where(F.col("n") * HOT <= total), keys, how)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest).drop("n")

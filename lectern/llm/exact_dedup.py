@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._shared import SPACES, durable, plain_text, with_group_facts
+from lectern.llm._shared import SPACES, durable, plain_text, with_counts
 
 PROBES = 3
 BITS_PER_ROW = 12
@@ -125,8 +125,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     maybe = repeat_filter(hashed, "h", max_filter_bits)(F.col("h"))
     flagged = hashed.withColumn("maybe", maybe)
     alone = flagged.where(~F.col("maybe")).select("id", "sha", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    repeated = with_group_facts(flagged.where("maybe").select("id", "sha"), "sha", "id")
-    both = alone.unionByName(repeated.select("id", "sha", "keep_id", "group_size"))
+    repeated = with_counts(flagged.where("maybe").select("id", "sha"), "sha", "id")
+    both = alone.unionByName(repeated.select("id", "sha", F.col("least").alias("keep_id"), F.col("n").alias("group_size")))
     return both.select(
         F.col("id").alias(id_col),
         "keep_id",

@@ -3,22 +3,24 @@
 A document is the set of its word shingles; two are linked when their Jaccard similarity reaches
 ``similarity``. Documents with equal word sequences are one class, and only classes are compared.
 
-Each class has ``MINWISE`` minwise tokens. In a tree, a node chooses two of the token positions by its
-own hash, and a class goes to one child node for each, the one of its token there. At similarity J a
-pair stays together in a child with probability J, so with two children it survives any depth in a tree
-with probability 0.94 or more at J = 0.8; independent trees are repeated until ``recall`` is reached.
-Branching goes on only where a node is large:
-
-* a node of at most ``LEAF`` classes is compared exhaustively, in one vectorised task step;
-* a larger node branches again;
-* a node that hardly shrinks is a crowd of near copies. All its members are compared with a pivot; those
-  that it doesn't link are compared with all members, in blocks. Only links that connect something new
-  within a block are emitted, so a crowd of n gives a multiple of n of them, and none between components
-  is lost.
-
-Comparisons of minwise sketches only choose candidates. Every link is confirmed on the full shingle
-sets, which are rebuilt from the texts of candidates alone: a bitmap of bounded size lets the texts of
-all other documents stay where they are.
+Each class has minwise tokens. In a tree, a node chooses token positions by its own hash, and a class
+goes to one child node for each, the one of its token there. A node chooses 1 / similarity positions on
+average: a pair at the threshold then stays together in one child on average, at any depth, while pairs
+below it die out with the depth, however many documents share a template. Independent trees are repeated
+until ``recall`` is reached. Branching goes on where a node is large:
+
+* a node of at most ``LEAF`` classes is compared exhaustively; if many of its pairs may be similar, its
+  members are handed on instead, to be compared by their full sets, which takes a row a member, not a pair;
+* a node of at most ``NODE`` classes is branched on in one task, in numpy, a larger one by a join;
+* a node most of whose classes are like its least one is a crowd of near copies, which branching doesn't
+  part. All its members are compared with that pivot; the few that it doesn't link are compared with all
+  members, in blocks. Only links that connect something new within a block are emitted, so a crowd of n
+  gives a multiple of n of them, and none between components is lost.
+
+Comparisons of minwise sketches only choose candidates; of those in a node that are alike beyond doubt a
+spanning forest is enough. Every link is confirmed on the full shingle sets, which are rebuilt from the
+texts of candidates alone: a bitmap of bounded size lets the texts of all other documents stay where
+they are.
 """
 
 from __future__ import annotations
@@ -33,20 +35,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._shared import durable, plain_text, with_group_facts
-from lectern.llm._tokens import chunks, mix, shingle_hashes, small, word_hashes
+from lectern.llm._shared import discard, durable, plain_text, with_counts
+from lectern.llm._tokens import chunks, mix, shingle_hashes, small, words_of
 from lectern.llm.components import components
 from lectern.llm.exact_dedup import repeat_filter
 
-MINWISE = 128
-CHILDREN = 2
-LEAF = 48
-MAX_DEPTH = 4
-#: A node that keeps more than this part of its parent is a crowd.
-CROWD = 0.35
+#: Minwise tokens of a sketch, of which 8 bits are kept, and how many of them are kept whole to branch by.
+MINWISE, TOKENS = 256, 64
+LEAF, NODE = 48, 4096
+#: Trees are repeated for pairs at the threshold that are parted by so many levels; and the deepest level.
+DEPTH, DEEPEST = 5, 40
+#: A node that is like its pivot in this part or more is a crowd.
+CROWD = 0.9
+#: A leaf with more candidates than so many a member is handed on as a crowd.
+MANY = 2
 BLOCK = 1024
 #: Standard deviations of a sketch's estimate that a candidate may lie below the threshold.
-SLACK = 4.5
+SLACK = 4.0
+#: Bytes of sets that a task remembers while it confirms links.
+REMEMBERED = 32 << 20
 
 _FACTOR = (mix(np.arange(1, MINWISE + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _SHIFT = (mix(np.arange(1001, MINWISE + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -54,21 +61,26 @@ _SHIFT = (mix(np.arange(1001, MINWISE + 1001, dtype=np.uint64)) >> np.uint64(32)
 
 def trees_for(recall: float, similarity: float) -> int:
     """How many independent trees reach the recall for a pair that is just similar enough."""
+    whole, part = divmod(1 / similarity, 1)
     lost = 0.0
-    for _ in range(200):
-        lost = (1 - similarity * (1 - lost)) ** CHILDREN
+    for _ in range(DEPTH):
+        one = 1 - similarity * (1 - lost)
+        lost = one**whole * (1 - part + part * one)
     return max(1, math.ceil(math.log(1 - recall) / math.log(max(lost, 1e-12))))
 
 
-def chosen(nodes: np.ndarray) -> list[np.ndarray]:
-    """The token positions that each node's children go by."""
-    return [mix(nodes + np.uint64(7919 * (j + 1))) % np.uint64(MINWISE) for j in range(CHILDREN)]
-
-
-def children(nodes: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Per row the hashes of its child nodes; ``tokens`` has one row of minwise tokens a row."""
-    rows = np.arange(len(nodes))
-    return np.stack([mix(mix(nodes ^ mix(at + np.uint64(1))) + tokens[rows, at.astype(np.int64)].astype(np.uint64)) for at in chosen(nodes)], axis=1)
+def children(nodes: np.ndarray, tokens: np.ndarray, similarity: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, child node of each): what each row's node has it go to; ``tokens`` has one row of tokens a row."""
+    whole, part = divmod(1 / similarity, 1)
+    out = []
+    for j in range(int(whole) + 1):
+        rows = np.arange(len(nodes))
+        if j == whole:  # some nodes choose one position more
+            rows = rows[mix(nodes + np.uint64(104729)) < np.uint64(part * 2.0**63) * np.uint64(2)]
+        own = nodes[rows]
+        at = mix(own + np.uint64(7919 * (j + 1))) % np.uint64(TOKENS)
+        out.append((rows, mix(mix(own ^ mix(at + np.uint64(1 + TOKENS * j))) + tokens[rows, at.astype(np.int64)].astype(np.uint64))))
+    return out
 
 
 def minwise(sets: list[np.ndarray]) -> np.ndarray:
@@ -78,97 +90,200 @@ def minwise(sets: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.minimum.reduceat(flat * a + b, cuts) for a, b in zip(_FACTOR, _SHIFT)], axis=1)
 
 
-def _sketched(words: int, trees: int):
-    """(id, text) to (id, n_shingles, key, tokens, nodes): what the joins need of a document."""
+def _sketched(words: int, similarity: float, trees: int):
+    """(id, row, text) to what the joins need of a document."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            texts = [x.lower() for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            texts = [x.lower() for x in batch.column(2).cast(pa.binary()).to_pylist()]
             for a, b in chunks(texts):
-                hashes, bounds, _ = word_hashes(texts[a:b])
+                hashes, bounds, *_ = words_of(texts[a:b])
                 sets = shingle_hashes(hashes, bounds, words)
                 sizes = np.array([len(s) for s in sets])
                 some = np.flatnonzero(sizes)
                 keys: list = [None] * len(sets)
                 tokens: list = [None] * len(sets)
+                sketch: list = [None] * len(sets)
                 nodes: list = [None] * len(sets)
                 if len(some):
                     got = minwise([sets[k] for k in some])
-                    roots = [children(np.full(len(some), mix(np.array([t + 1], np.uint64))[0]), got) for t in range(trees)]
-                    first = np.concatenate(roots, axis=1).view(np.int64)
+                    roots = mix(np.arange(1, trees + 1, dtype=np.uint64))
+                    owner, first = [], []
+                    for root in roots:
+                        for rows, child in children(np.full(len(some), root), got, similarity):
+                            owner.append(rows)
+                            first.append(child)
+                    who, first = np.concatenate(owner), np.concatenate(first).view(np.int64)
+                    order = np.argsort(who, kind="stable")
+                    cuts = np.searchsorted(who[order], np.arange(len(some) + 1))
+                    whole, low = got[:, :TOKENS].astype("<u4"), got.astype(np.uint8)
                     for row, k in enumerate(some):
                         keys[k] = hashlib.blake2b(hashes[bounds[k] : bounds[k + 1]].tobytes(), digest_size=16).digest()
-                        tokens[k] = got[row].astype("<u4").tobytes()
-                        nodes[k] = first[row]
+                        tokens[k], sketch[k] = whole[row].tobytes(), low[row].tobytes()
+                        nodes[k] = first[order[cuts[row] : cuts[row + 1]]]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.binary()), pa.array(nodes, pa.list_(pa.int64()))],
-                    ["id", "n_shingles", "key", "tokens", "nodes"],
-                )
+                    [
+                        batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.binary()),
+                        pa.array(sketch, pa.binary()), pa.array(nodes, pa.list_(pa.int64())),
+                    ],
+                    ["id", "row", "n_shingles", "key", "tokens", "sketch", "nodes"],
+                )
 
     return sketched
 
 
-def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, node, n, tokens) to (id, node, parent_n): one row for each child node."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        nodes = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-        tokens = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u4").reshape(-1, MINWISE)
-        down = children(nodes, tokens).view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([batch.column(0)] * CHILDREN), pa.array(down.T.ravel()), pa.concat_arrays([batch.column(2)] * CHILDREN)], ["id", "node", "parent_n"]
-        )
+def _matrix(column: pa.Array, kind: str, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
 
+def _estimate(equal: np.ndarray) -> np.ndarray:
+    """The similarity that sketches which agree in ``equal`` positions point to; 8 bits agree by chance now and then."""
+    return (equal / MINWISE - 1 / 256) / (1 - 1 / 256)
 
-def _bytes_of(column: pa.Array) -> np.ndarray:
-    """Eight bits of each minwise token."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, MINWISE)
+
+def _error(similarity: float) -> float:
+    return SLACK * math.sqrt(similarity * (1 - similarity) / MINWISE)
+
+
+def _fits(sizes_a, sizes_b, similarity: float) -> np.ndarray:
+    return np.minimum(sizes_a, sizes_b) >= similarity * np.maximum(sizes_a, sizes_b) - 1e-9
 
 
 def _like(sizes_a, sizes_b, equal: np.ndarray, similarity: float) -> np.ndarray:
     """Whether sketches that agree in ``equal`` positions, of sets of these sizes, may be similar enough."""
-    least = similarity - SLACK * math.sqrt(similarity * (1 - similarity) / MINWISE)
-    estimate = (equal / MINWISE - 1 / 256) / (1 - 1 / 256)
-    return (estimate >= least) & (np.minimum(sizes_a, sizes_b) >= similarity * np.maximum(sizes_a, sizes_b) - 1e-9)
+    return (_estimate(equal) >= similarity - _error(similarity)) & _fits(sizes_a, sizes_b, similarity)
 
 
-def _leaves(similarity: float):
-    """Rows (node, id, n_shingles, sketch), a node's together: the pairs of each node that may be similar."""
+def _branch(similarity: float):
+    """(c, node, salt, pivot, n_shingles, tokens, sketch, pivot_sketch, pivot_n) to (c, node, salt, pivot, like, kids)."""
 
-    def compare(rows: pa.Table) -> pa.RecordBatch:
-        nodes = rows.column(0).to_numpy()
-        sizes = rows.column(2).to_numpy()
-        sketches = _bytes_of(rows.column(3))
-        cuts = np.flatnonzero(np.diff(nodes, prepend=nodes[0] - 1))
-        left, right = [], []
-        for a, b in zip(cuts, [*cuts[1:], len(nodes)]):
-            if b - a < 2:
-                continue
-            i, j = np.triu_indices(b - a, 1)
-            equal = np.count_nonzero(sketches[a + i] == sketches[a + j], axis=1)
-            hit = _like(sizes[a + i], sizes[a + j], equal, similarity)
-            left.append(a + i[hit])
-            right.append(a + j[hit])
-        ids = rows.column(1).combine_chunks()
-        at = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (left, right)]
-        return pa.RecordBatch.from_arrays([ids.take(at[0]), ids.take(at[1])], ["a", "b"])
-
-    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+    def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
+            sizes, theirs = batch.column(4).to_numpy(), batch.column(8).to_numpy()
+            equal = np.count_nonzero(_matrix(batch.column(6), "u1", MINWISE) == _matrix(batch.column(7), "u1", MINWISE), axis=1)
+            like = (_estimate(equal) >= similarity) & _fits(sizes, theirs, similarity)
+            down = children(batch.column(1).to_numpy().view(np.uint64), _matrix(batch.column(5), "<u4", TOKENS), similarity)
+            who, kids = np.concatenate([x[0] for x in down]), np.concatenate([x[1] for x in down]).view(np.int64)
+            order = np.argsort(who, kind="stable")
+            cuts = pa.array(np.searchsorted(who[order], np.arange(batch.num_rows + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(like), pa.ListArray.from_arrays(cuts, pa.array(kids[order]))], ["c", "node", "salt", "pivot", "like", "kids"])
+
+    return branch
+
+
+class _Found:
+    """Candidate pairs and members of crowds, as they come up."""
+
+    def __init__(self, similarity: float, c: np.ndarray, sizes: np.ndarray, sketches: np.ndarray):
+        self.similarity, self.c, self.sizes, self.sketches = similarity, c, sizes, sketches
+        self.sure = similarity + _error(similarity)
+        self.crowd, self.a, self.b = [], [], []  # the crowd, a member, the pivot; or 0 and a pair
+
+    def add(self, crowd: int, a: np.ndarray, b: np.ndarray) -> None:
+        self.crowd.append(np.full(len(a), crowd, np.int64))
+        self.a.append(self.c[a])
+        self.b.append(self.c[b])
+
+    def twos(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Nodes of two rows each."""
+        equal = np.count_nonzero(self.sketches[i] == self.sketches[j], axis=1)
+        hit = _like(self.sizes[i], self.sizes[j], equal, self.similarity)
+        self.add(0, i[hit], j[hit])
+
+    def leaf(self, rows: np.ndarray) -> None:
+        """All pairs of a small node that may be similar; of those that surely are, a spanning forest."""
+        rows = rows[np.argsort(self.c[rows])]
+        n = len(rows)
+        i, j = np.triu_indices(n, 1)
+        equal = np.count_nonzero(self.sketches[rows[i]] == self.sketches[rows[j]], axis=1)
+        hit = _like(self.sizes[rows[i]], self.sizes[rows[j]], equal, self.similarity)
+        sure = hit & (_estimate(equal) >= self.sure)
+        if sure.any():
+            group = np.arange(n)
+            for k in np.flatnonzero(sure).tolist():
+                x, y = group[i[k]], group[j[k]]
+                if x == y:
+                    hit[k] = False
+                else:
+                    group[group == max(x, y)] = min(x, y)
+            hit &= sure | (group[i] != group[j])
+        if np.count_nonzero(hit) <= MANY * n:
+            self.add(0, rows[i[hit]], rows[j[hit]])
+        else:  # equal leaves of several nodes are one crowd; its number is below 0
+            crowd = int.from_bytes(hashlib.blake2b(self.c[rows].tobytes(), digest_size=8).digest(), "little") >> 1
+            self.add(-1 - crowd, rows, np.full(n, rows[0]))
+
+    def node(self, root: int, rows: np.ndarray, tokens: np.ndarray) -> None:
+        """Branches on until what is left is a leaf or a crowd."""
+        stack = [(np.uint64(root), rows, 0)]
+        while stack:
+            node, rows, depth = stack.pop()
+            if len(rows) <= LEAF:
+                self.leaf(rows)
+                continue
+            pivot = rows[np.argmin(self.c[rows])]
+            equal = np.count_nonzero(self.sketches[rows] == self.sketches[pivot], axis=1)
+            like = (_estimate(equal) >= self.similarity) & _fits(self.sizes[rows], self.sizes[pivot], self.similarity)
+            if depth == DEEPEST or like.mean() >= CROWD:
+                self.add(1 + int(self.c[pivot]), rows, np.full(len(rows), pivot))
+                continue
+            for at, child in children(np.full(len(rows), node), tokens[rows], self.similarity):
+                order = np.argsort(child, kind="stable")
+                cuts = np.flatnonzero(np.diff(child[order], prepend=child[order[0]] + np.uint64(1))) if len(at) else []
+                for x, y in zip(cuts, [*cuts[1:], len(at)]):
+                    if y - x > 1:
+                        stack.append((child[order[x]], rows[at[order[x:y]]], depth + 1))
+
+    def rows(self) -> np.ndarray:
+        """All (crowd, a, b), each once."""
+        each = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (self.crowd, self.a, self.b)]
+        return np.unique(np.stack(each, axis=1), axis=0)
+
+
+def _whole_nodes(compare):
+    """Calls ``compare`` with tables in which every node (column 0, sorted) is whole."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in small(batches, 4096):
             held = pa.concat_tables([held, pa.Table.from_batches([batch])]) if held is not None else pa.Table.from_batches([batch])
             nodes = held.column(0).to_numpy()
-            whole = int(np.searchsorted(nodes, nodes[-1]))  # the last node may go on
-            if whole:
-                yield compare(held.slice(0, whole))
-                held = held.slice(whole)
+            cut = int(np.searchsorted(nodes, nodes[-1]))  # the last node may go on
+            if cut:
+                yield compare(held.slice(0, cut))
+                held = held.slice(cut).combine_chunks()
         if held is not None and held.num_rows:
             yield compare(held)
 
-    return leaves
+    return whole
+
+
+def _nodes(similarity: float):
+    """Rows (node, c, n_shingles, sketch and, for nodes over ``LEAF``, tokens), a node's together: (crowd, member, pivot), or (0, a, b) of candidate pairs."""
+
+    def compare(rows: pa.Table) -> pa.RecordBatch:
+        nodes = rows.column(0).to_numpy()
+        found = _Found(similarity, rows.column(1).to_numpy(), rows.column(2).to_numpy(), _matrix(rows.column(3), "u1", MINWISE))
+        starts = np.flatnonzero(np.diff(nodes, prepend=nodes[0] - 1))
+        sizes = np.diff(np.append(starts, len(nodes)))
+        two = starts[sizes == 2]
+        found.twos(two, two + 1)
+        for a, n in zip(starts[sizes > 2], sizes[sizes > 2]):
+            at = np.arange(a, a + n)
+            if n <= LEAF:
+                found.leaf(at)
+            else:
+                tokens = _matrix(rows.column(4).slice(a, n), "<u4", TOKENS)
+                part = _Found(similarity, found.c[at], found.sizes[at], found.sketches[at])
+                part.node(int(nodes[a : a + 1].view(np.uint64)[0]), np.arange(n), tokens)
+                own = part.rows()
+                for to, column in zip((found.crowd, found.a, found.b), own.T):
+                    to.append(column)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in np.ascontiguousarray(found.rows().T)], ["crowd", "a", "b"])
+
+    return _whole_nodes(compare)
 
 
 def _linked(own: np.ndarray, sets: list[np.ndarray], whole: int) -> np.ndarray:
@@ -201,7 +316,7 @@ def _by_block(compare):
 
 
 def _insiders(similarity: float):
-    """Rows crowd, block, visitor, id, sketch, set; the visitor is the pivot. Which members link with it?"""
+    """Rows crowd, block, visitor, c, sketch, set; the visitor is the pivot. Which members link with it?"""
     whole = round(similarity * 1000)
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
@@ -210,13 +325,13 @@ def _insiders(similarity: float):
         sets = [np.frombuffer(x, "<u8") for x in rows.column(5).to_pylist()]
         inside = _linked(sets[pivot], [sets[m] for m in members], whole) if len(members) else np.zeros(0, bool)
         crowd, ids = rows.column(0).combine_chunks(), rows.column(3).combine_chunks()
-        return pa.RecordBatch.from_arrays([crowd.take(pa.array(members)), ids.take(pa.array(members)), pa.array(inside)], ["crowd", "id", "inside"])
+        return pa.RecordBatch.from_arrays([crowd.take(pa.array(members)), ids.take(pa.array(members)), pa.array(inside)], ["crowd", "c", "inside"])
 
     return _by_block(compare)
 
 
 def _outsiders(similarity: float):
-    """Rows crowd, block, visitor, id, sketch, set, inside; visitors are the crowd's outsiders.
+    """Rows crowd, block, visitor, c, sketch, set, inside; visitors are the crowd's outsiders.
 
     Links visitors with the block's members, the likeliest first. Members inside are one component
     already; a link between what is connected within the block is left out, so that the links of a
@@ -227,7 +342,7 @@ def _outsiders(similarity: float):
     def compare(rows: pa.Table) -> pa.RecordBatch:
         visitor = rows.column(2).to_numpy(zero_copy_only=False).astype(bool)
         who, members = np.flatnonzero(visitor), np.flatnonzero(~visitor)
-        sketches = _bytes_of(rows.column(4))
+        sketches = _matrix(rows.column(4), "u1", MINWISE)
         sets = [np.frombuffer(x, "<u8") for x in rows.column(5).to_pylist()]
         inside = rows.column(6).to_numpy(zero_copy_only=False).astype(bool)
         sizes = np.array([len(x) for x in sets])
@@ -258,15 +373,15 @@ def _outsiders(similarity: float):
 
 
 def _sets(words: int):
-    """(id, text) to (id, set): the full shingle set as sorted 64-bit hashes."""
+    """(c, text) to (c, set): the full shingle set as sorted 64-bit hashes."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             texts = [x.lower() for x in batch.column(1).cast(pa.binary()).to_pylist()]
             for a, b in chunks(texts):
-                hashes, bounds, _ = word_hashes(texts[a:b])
+                hashes, bounds, *_ = words_of(texts[a:b])
                 own = [x.astype("<u8").tobytes() for x in shingle_hashes(hashes, bounds, words)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(own, pa.binary())], ["id", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(own, pa.binary())], ["c", "set"])
 
     return sets
 
@@ -276,18 +391,21 @@ def _confirm(words: int, similarity: float):
     whole, part = round(similarity * 1000), 1000
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: OrderedDict = OrderedDict()  # the latest documents' sets: pivots come again and again
+        known: OrderedDict = OrderedDict()  # the latest documents' sets: some come again and again
+        held = 0
 
         def of(who, text: bytes) -> np.ndarray:
+            nonlocal held
             if who not in known:
-                hashes, bounds, _ = word_hashes([text.lower()])
+                hashes, bounds, *_ = words_of([text.lower()])
                 known[who] = shingle_hashes(hashes, bounds, words)[0]
-                if len(known) > 256:
-                    known.popitem(last=False)
+                held += known[who].nbytes
+                while held > REMEMBERED and len(known) > 1:
+                    held -= known.popitem(last=False)[1].nbytes
             known.move_to_end(who)
             return known[who]
 
-        for batch in batches:
+        for batch in small(batches):
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             linked = []
             for k, (i, j) in enumerate(zip(a, b)):
@@ -307,65 +425,83 @@ def near_groups(
     Words are lower-cased (A-Z) and split at ASCII white space. A text with fewer words than a shingle is
     one shingle; null texts, empty texts and texts of white space alone have none and are linked with
     nothing. ``component_id`` is the least id that links reach, ``kept`` says that it is the row's own.
-    An id that stands on several rows joins their texts; a row without an id is linked with nothing and
-    its ``component_id`` is null and ``kept`` true. An empty table gives an empty result. Columns other
-    than the two named ones are not read.
+    Rows that repeat an id are rows of their own, linked each by its own text; rows that repeat a text
+    are linked. A row without an id is linked with nothing and its ``component_id`` is null and ``kept``
+    true. An empty table gives an empty result. Columns other than the two named ones are not read.
     """
-    trees = trees_for(recall, similarity)
+    return _near_rows(docs, words, similarity, recall, id_col, text_col).select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, row, text); ``row`` tells rows of different ids or texts apart."""
     named = docs.select(F.col(id_col).alias("id"), plain_text(F.col(text_col)).alias("text"))
+    return named.select("id", F.xxhash64(F.col("id").cast("string"), "text").alias("row"), "text")
+
+
+def _near_rows(docs: DataFrame, words: int, similarity: float, recall: float, id_col: str, text_col: str) -> DataFrame:
+    """(id, row, n_shingles, component_id, kept) of every row."""
+    named = _keyed(docs, id_col, text_col)
     kind = named.schema["id"].dataType.simpleString()
-    base = durable(named.mapInArrow(_sketched(words, trees), f"id {kind}, n_shingles long, key binary, tokens binary, nodes array<long>"), "sketches")
+    base = named.mapInArrow(_sketched(words, similarity, trees_for(recall, similarity)), f"id {kind}, row long, n_shingles long, key binary, tokens binary, sketch binary, nodes array<long>")
+    base = durable(base, "near-sketches")
     full = base.where("key is not null and id is not null")
     lone = base.where("key is null or id is null")
 
-    # one representative a class of equal word sequences
-    reps = full.groupBy("key").agg(F.min(F.struct("id", "n_shingles", "tokens", "nodes")).alias("r")).select("r.*")
-    reps = durable(reps, "classes")
-    star = _link(reps, named, kind, words, similarity)
+    # one representative a class of equal word sequences, and a number for it
+    reps = full.groupBy("key").agg(F.min(F.struct("row", "n_shingles", "tokens", "sketch", "nodes")).alias("r"))
+    reps = durable(reps.select(F.monotonically_increasing_id().alias("c"), "key", "r.*"), "near-classes")
+    star = durable(_link(reps, named, words, similarity), "near-star")
+    member = star.union(star.select("component", "component")).distinct()
+
+    salted = with_counts(full.select("id", "row", "n_shingles", "key"), "key", "id", lambda facts: _reached(facts, reps.select("key", "c"), member))
+    both = salted.select("id", "row", "n_shingles", "component_id").unionByName(lone.select("id", "row", "n_shingles", F.col("id").alias("component_id")))
+    return both.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
-    def reached(facts: DataFrame) -> DataFrame:
-        return facts.join(star, facts.keep_id == star.node, "left").withColumn("component_id", F.coalesce("component", "keep_id")).drop("node", "component")
 
-    linked = with_group_facts(full.select("id", "n_shingles", "key"), "key", "id", more=reached)
-    both = linked.select("id", "n_shingles", "component_id").unionByName(lone.select("id", "n_shingles", F.col("id").alias("component_id")))
-    return both.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+def _reached(facts: DataFrame, classes: DataFrame, member: DataFrame) -> DataFrame:
+    """Adds ``component_id`` to the classes' facts (key, n, least)."""
+    found = facts.join(classes, "key").join(member.toDF("c", "component"), "c", "left").select("key", "least", "component")
+    alone = found.where("component is null").select("key", F.col("least").alias("component_id"))
+    linked = with_counts(found.where("component is not null").withColumnRenamed("least", "own"), "component", "own")
+    return alone.unionByName(linked.select("key", F.col("least").alias("component_id")))
 
 
-def _link(reps: DataFrame, named: DataFrame, kind: str, words: int, similarity: float) -> DataFrame:
+def _link(reps: DataFrame, named: DataFrame, words: int, similarity: float) -> DataFrame:
     """(node, component) of every class that is linked with a smaller one."""
-    rows = reps.select("id", F.explode("nodes").alias("node")).withColumn("parent_n", F.lit(None).cast("long"))
-    small: list[DataFrame] = []
+    rows = reps.select("c", F.explode("nodes").alias("node"))
+    shape = reps.select("c", "n_shingles", "sketch")
+    levels: list[DataFrame] = []
     crowds: list[DataFrame] = []
-    for depth in range(1, MAX_DEPTH + 1):
-        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        level = durable(rows.join(counts, "node"), f"level{depth}")
-        small.append(level.where(F.col("n") <= LEAF).select("node", "id"))
-        large = level.where(F.col("n") > LEAF)
-        # a child nearly as large as its parent is a crowd: branching doesn't part it
-        crowd = F.lit(depth == MAX_DEPTH) | (F.col("parent_n").isNotNull() & (F.col("n") > CROWD * F.col("parent_n")))
-        crowds.append(large.where(crowd).select("node", "id", "n"))
-        large = large.where(~crowd)
-        if depth == MAX_DEPTH or large.isEmpty():
+    for depth in range(1, DEEPEST + 1):
+        level = durable(with_counts(rows, "node", "c").where("n > 1"), f"near-level{depth}")
+        levels.append(level)
+        large = level.where(F.col("n") > NODE)
+        if large.isEmpty():
             break
-        tokens = large.join(reps.select("id", "tokens"), "id").select("id", "node", "n", "tokens")
-        rows = tokens.mapInArrow(_branch, f"id {kind}, node long, parent_n long")
-
-    sketches = reps.select("id", "n_shingles", F.col("tokens"))
-    eight = sketches.mapInArrow(_eight_bits, f"id {kind}, n_shingles long, sketch binary")
-    leaves = _union(small).join(eight, "id").select("node", "id", "n_shingles", "sketch")
-    leaves = leaves.repartition("node").sortWithinPartitions("node")
-    pairs = leaves.mapInArrow(_leaves(similarity), f"a {kind}, b {kind}")
-
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = durable(pairs, "pairs")
-    crowd = durable(_union(crowds), "crowds")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    if crowd.isEmpty():
-        texts = durable(_texts(ids.distinct(), named), "texts")
-        return components(_confirmed(pairs, texts, kind, words, similarity))
-    texts = durable(_texts(ids.union(crowd.select("id")).distinct(), named), "texts")
-    links = _confirmed(pairs, texts, kind, words, similarity)
-    return components(links.union(_crowd_links(crowd, eight, texts, kind, words, similarity)))
+        pivots = large.select("node", "salt", F.col("least").alias("pivot")).distinct().join(shape.toDF("pivot", "pivot_n", "pivot_sketch"), "pivot")
+        both = large.select("c", "node", "salt").join(reps.select("c", "n_shingles", "tokens", "sketch"), "c").join(pivots, ["node", "salt"])
+        both = both.select("c", "node", "salt", "pivot", "n_shingles", "tokens", "sketch", "pivot_sketch", "pivot_n")
+        branched = durable(both.mapInArrow(_branch(similarity), "c long, node long, salt int, pivot long, like boolean, kids array<long>"), f"near-branch{depth}")
+        parts = branched.groupBy("node", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("like").cast("int")).alias("alike"))
+        crowd = parts.groupBy("node").agg(((F.sum("alike") >= CROWD * F.sum("n")) | F.lit(depth == DEEPEST)).alias("crowd"))
+        judged = branched.join(parts.select("node", "salt").join(crowd, "node"), ["node", "salt"])
+        crowds.append(judged.where("crowd").select((F.col("pivot") + 1).alias("crowd"), "c", "pivot"))
+        rows = judged.where("not crowd").select("c", F.explode("kids").alias("node"))
+
+    rows = _union([x.where(F.col("n") <= NODE) for x in levels])
+    few = rows.where(F.col("n") <= LEAF).select("node", "c").join(shape, "c").select("node", "c", "n_shingles", "sketch", F.lit(b"").alias("tokens"))
+    more = rows.where(F.col("n") > LEAF).select("node", "c").join(reps.select("c", "n_shingles", "sketch", "tokens"), "c").select("node", "c", "n_shingles", "sketch", "tokens")
+    found = few.union(more).repartition("node").sortWithinPartitions("node").mapInArrow(_nodes(similarity), "crowd long, a long, b long")
+    least = lambda of: F.when(F.col("crowd") == 0, of("a", "b"))
+    found = found.select("crowd", least(F.least).otherwise(F.col("a")).alias("a"), least(F.greatest).otherwise(F.col("b")).alias("b"))
+    found = durable(found.distinct(), "near-found")
+    pairs = found.where("crowd = 0").select("a", "b")
+    crowd = durable(_union([*crowds, found.where("crowd <> 0").toDF("crowd", "c", "pivot")]).distinct(), "near-crowds")
+
+    ids = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).union(crowd.select("c")).distinct()
+    texts = durable(_texts(ids, reps, named), "near-texts", after=tuple(levels))
+    links = _confirmed(pairs, texts, words, similarity)
+    return components(links if crowd.isEmpty() else links.union(_crowd_links(crowd, shape, texts, words, similarity)))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -375,55 +511,51 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _eight_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        low = [x[::4] for x in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low, pa.binary())], ["id", "n_shingles", "sketch"])
-
-
-def _crowd_links(crowd: DataFrame, eight: DataFrame, texts: DataFrame, kind: str, words: int, similarity: float) -> DataFrame:
-    """Links (u, v) that connect what is connected among the members of each crowd."""
-    # nodes with the same least member are one crowd
-    pivots = crowd.groupBy("node").agg(F.min("id").alias("crowd"))
-    member = crowd.join(pivots, "node").select("crowd", "id").distinct()
-    sets = texts.join(member.select("id").distinct(), "id", "left_semi").mapInArrow(_sets(words), f"id {kind}, set binary")
-    sizes = member.groupBy("crowd").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    member = durable(member.join(sizes, "crowd").join(eight.select("id", "sketch"), "id").join(sets, "id"), "crowd-members")
-    columns = ("crowd", "block", "visitor", "id", "sketch", "set")
+def _crowd_links(crowd: DataFrame, shape: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (u, v) that connect what is connected among the members of each crowd; ``crowd``: (crowd, c, pivot)."""
+    sets = texts.join(crowd.select("c").distinct(), "c", "left_semi").mapInArrow(_sets(words), "c long, set binary")
+    sized = with_counts(crowd, "crowd", "c").select("crowd", "c", "pivot", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    member = durable(sized.join(shape.select("c", "sketch"), "c").join(sets, "c"), "near-members")
+    columns = ("crowd", "block", "visitor", "c", "sketch", "set")
 
     def dealt(rows: DataFrame, visitors: DataFrame, *more: str) -> DataFrame:
         """Members in blocks, and the visitors of a crowd in each of its blocks."""
-        inside = rows.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("visitor", F.lit(False))
+        inside = rows.withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int")).withColumn("visitor", F.lit(False))
         visit = visitors.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("visitor", F.lit(True))
         both = inside.select(*columns, *more).union(visit.select(*columns, *more))
         return both.repartition("crowd", "block").sortWithinPartitions("crowd", "block")
 
-    first = dealt(member, member.where("id = crowd")).mapInArrow(_insiders(similarity), f"crowd {kind}, id {kind}, inside boolean")
-    flagged = durable(member.join(first, ["crowd", "id"]), "crowd-flagged")
-    rest = dealt(flagged, flagged.where("not inside"), "inside").mapInArrow(_outsiders(similarity), f"u {kind}, v {kind}")
-    return flagged.where("inside").select(F.col("id").alias("u"), F.col("crowd").alias("v")).where("u <> v").union(rest)
+    first = dealt(member, member.where("c = pivot")).mapInArrow(_insiders(similarity), "crowd long, c long, inside boolean")
+    flagged = durable(member.join(first, ["crowd", "c"]), "near-flagged", after=(member,))
+    rest = dealt(flagged, flagged.where("not inside"), "inside").mapInArrow(_outsiders(similarity), "u long, v long")
+    return flagged.where("inside").select(F.col("c").alias("u"), F.col("pivot").alias("v")).where("u <> v").union(rest)
 
 
-def _texts(ids: DataFrame, named: DataFrame) -> DataFrame:
-    """(id, text) of these ids; texts that a bitmap of bounded size rules out are not shuffled."""
-    wanted = repeat_filter(ids.select(F.xxhash64("id").alias("h")), "h", times=1)
-    return named.where("id is not null").where(wanted(F.xxhash64("id"))).join(ids, "id", "left_semi").dropDuplicates(["id"])
+def _texts(ids: DataFrame, reps: DataFrame, named: DataFrame) -> DataFrame:
+    """(c, text) of these classes; texts that a bitmap of bounded size rules out are not shuffled."""
+    rows = durable(reps.select("c", "row").join(ids, "c", "left_semi"), "near-wanted")
+    wanted = repeat_filter(rows.select(F.col("row").alias("h")), "h", times=1)
+    return named.where(wanted(F.col("row"))).join(rows, "row").select("c", "text").dropDuplicates(["c"])
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, kind: str, words: int, similarity: float) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The links (u, v) among candidate pairs (a, b), by the full sets of their texts."""
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_confirm(words, similarity), f"u {kind}, v {kind}")
+    return both.mapInArrow(_confirm(words, similarity), "u long, v long")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns, without those that a smaller linked id stands for.
 
-    Rows that a bounded bitmap of the dropped ids clears are not shuffled.
+    Null and empty texts, and rows without an id, stay. Of rows that repeat an id each is judged by its own
+    text; rows that repeat both id and text stay or go together, so drop exact copies first. An empty
+    table gives an empty result. Rows that a bounded bitmap of the dropped ones clears are not shuffled.
     """
-    verdict = near_groups(docs, words, similarity, recall, id_col, text_col)
-    dropped = durable(verdict.where(~F.col("kept")).select(F.col(id_col).alias("__id")).distinct(), "near-dropped")
-    maybe = repeat_filter(dropped.select(F.xxhash64("__id").alias("h")), "h", times=1)
-    flagged = docs.withColumn("__maybe", F.coalesce(maybe(F.xxhash64(F.col(id_col))), F.lit(False)))
-    rest = flagged.where("__maybe").join(dropped, F.col(id_col) == F.col("__id"), "left_anti")
-    return flagged.where("not __maybe").unionByName(rest).drop("__maybe")
+    verdict = _near_rows(docs, words, similarity, recall, id_col, text_col)
+    dropped = durable(verdict.where(~F.col("kept")).select("row").distinct(), "near-dropped")
+    maybe = repeat_filter(dropped.select(F.col("row").alias("h")), "h", times=1)
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+    packed = docs.select(own, F.xxhash64(F.col(id_col).cast("string"), plain_text(F.col(text_col))).alias("row"))
+    flagged = packed.withColumn("maybe", maybe(F.col("row")))
+    rest = flagged.where("maybe").join(dropped, "row", "left_anti")
+    return flagged.where("not maybe").select("own.*").unionByName(rest.select("own.*"))

@@ -1,7 +1,6 @@
 """Quality classifier by positive-unlabelled learning with the non-negative unbiased risk.
 
-Trusted positives and the unlabelled corpus are compared; labelled negatives only help to estimate the
-class prior. With the logistic loss the unbiased risk  prior * E_P[l(f) - l(-f)] + E_U[l(-f)]  is convex
+Trusted positives and the unlabelled corpus are compared; labelled negatives aren't used. With the logistic loss the unbiased risk  prior * E_P[l(f) - l(-f)] + E_U[l(-f)]  is convex
 (l(f) - l(-f) = -f), so Newton steps minimise it: each step is one pass over the feature table, whose
 partial sums are added up by block before they reach the driver. A step is shortened, and the fit ends,
 where the implied risk of negatives  E_U[l(-f)] - prior * E_P[l(-f)]  would fall below zero.
@@ -12,17 +11,17 @@ Labels, language, source and id are never inputs of a score.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._shared import durable, plain_text
-from lectern.llm._tokens import chunks, small, word_hashes
+from lectern.llm._shared import discard, durable, plain_text
+from lectern.llm._tokens import chunks, slices, small, words_of
 
 FEATURES = (
     "log_bytes", "log_words", "mean_word", "capitals", "digits", "symbols", "shouts", "marks", "wide", "distinct_words",
@@ -51,26 +50,44 @@ def features(texts: list[bytes]) -> np.ndarray:
     for a, b in chunks(texts):
         part = texts[a:b]
         sizes = np.array([len(x) for x in part])
-        owner = np.repeat(np.arange(len(part)), sizes)
-        counts = np.bincount(owner * 9 + _CLASS[np.frombuffer(b"".join(part), np.uint8)], minlength=9 * len(part)).reshape(-1, 9).astype(float)
-        hashes, bounds, _ = word_hashes(part)
-        words = np.diff(bounds).astype(float)
-        triples = hashes[:-2] * np.uint64(3) + hashes[1:-1] * np.uint64(5) + hashes[2:] * np.uint64(7) if len(hashes) > 2 else hashes[:0]
+        counts = _byte_classes(part, sizes)
+        found = words_of(part, shape=True)
+        words = np.diff(found.bounds).astype(float)
         some, letters = np.maximum(words, 1), np.maximum(counts[:, 0] + counts[:, 3] + counts[:, 8] / 2, 1)
         for k, text in enumerate(part):
-            i, j = bounds[k], bounds[k + 1]
-            lines = [x for x in text.split(b"\n") if x.strip()]
-            split = text.split()
+            i, j = found.bounds[k], found.bounds[k + 1]
+            own = found.hashes[i:j]
+            triples = own[:-2] * np.uint64(3) + own[1:-1] * np.uint64(5) + own[2:] * np.uint64(7)
+            lines, different = _lines(text)
             out[a + k] = (
                 np.log1p(sizes[k]), np.log1p(words[k]), (sizes[k] - counts[k, 1] - counts[k, 2]) / some[k], counts[k, 3] / letters[k],
                 counts[k, 4] / max(sizes[k], 1), counts[k, 5] / some[k], counts[k, 6] / some[k], counts[k, 7] / some[k], counts[k, 8] / max(sizes[k], 1),
-                len(set(split)) / some[k], len(np.unique(triples[i : max(i, j - 2)])) / max(j - i - 2, 1), np.log1p(len(lines)),
-                words[k] / max(len(lines), 1), 1 - len(set(lines)) / max(len(lines), 1), max(map(len, split), default=0),
-                sum(w.isupper() for w in split) / some[k],
+                len(np.unique(own)) / some[k], len(np.unique(triples)) / max(j - i - 2, 1), np.log1p(lines),
+                words[k] / max(lines, 1), 1 - different / max(lines, 1), found.lengths[i:j].max(initial=0),
+                found.shouted[i:j].sum() / some[k],
             )
     return out
 
 
+def _byte_classes(texts: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """How many bytes of each class every text has."""
+    if len(texts) == 1:  # a text of any length, slice by slice
+        data = np.frombuffer(texts[0], np.uint8)
+        return sum((np.bincount(_CLASS[data[a:b]], minlength=9) for a, b in slices(data)), np.zeros(9, np.int64))[None, :].astype(float)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    return np.bincount(owner * 9 + _CLASS[np.frombuffer(b"".join(texts), np.uint8)], minlength=9 * len(texts)).reshape(-1, 9).astype(float)
+
+
+def _lines(text: bytes) -> tuple[int, int]:
+    """How many lines a text has that aren't blank, and how many different ones."""
+    n, seen = 0, set()
+    for line in io.BytesIO(text):
+        if line.strip():
+            n += 1
+            seen.add(hash(line.rstrip(b"\n")))
+    return n, len(seen)
+
+
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text) to (id, x)."""
     for batch in small(batches):
@@ -86,16 +103,14 @@ class QualityModel:
     weights: np.ndarray
     prior: float
 
-    def design(self, x: np.ndarray) -> np.ndarray:
-        """One column a feature's interval, and one that is always 1."""
-        columns = []
-        for k, cut in enumerate(self.cuts):
-            at = np.searchsorted(cut, x[:, k], side="left")
-            columns.append(np.eye(len(cut) + 1, dtype=np.float32)[at])
-        return np.concatenate([*columns, np.ones((len(x), 1), np.float32)], axis=1)
+    def columns(self, x: np.ndarray) -> np.ndarray:
+        """The columns that are 1 in each row: one a feature, for its interval, and the last, which always is."""
+        at = np.cumsum([0] + [len(cut) + 1 for cut in self.cuts[:-1]])
+        each = [first + np.searchsorted(cut, x[:, k], side="left") for k, (first, cut) in enumerate(zip(at, self.cuts))]
+        return np.stack([*each, np.full(len(x), len(self.weights) - 1)], axis=1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.design(x) @ self.weights, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.weights[self.columns(x)].sum(axis=1), -30, 30)))
 
 
 def _sums(model: QualityModel):
@@ -108,13 +123,15 @@ def _sums(model: QualityModel):
             if not batch.num_rows:
                 continue
             positive = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
-            x = model.design(batch.column(1).flatten().to_numpy().reshape(-1, len(FEATURES))).astype(float)
-            f = np.clip(x @ model.weights, -30, 30)
+            on = model.columns(batch.column(1).flatten().to_numpy().reshape(-1, len(FEATURES)))
+            f = np.clip(model.weights[on].sum(axis=1), -30, 30)
             p = 1 / (1 + np.exp(-f))
             loss = np.logaddexp(0, f)  # l(-f)
-            total[: d * d] += (x.T @ (x * (p * (1 - p))[:, None])).ravel()
-            total[d * d : d * d + d] += x.T @ p
-            total[d * d + d : d * d + 2 * d] += x[positive].sum(axis=0)
+            for k in range(on.shape[1]):  # row by row of the curvature, by pairs of columns that are 1 together
+                pairs = on[:, k : k + 1] * d + on
+                total[: d * d] += np.bincount(pairs.ravel(), np.repeat(p * (1 - p), on.shape[1]), minlength=d * d)
+            total[d * d : d * d + d] += np.bincount(on.ravel(), np.repeat(p, on.shape[1]), minlength=d)
+            total[d * d + d : d * d + 2 * d] += np.bincount(on[positive].ravel(), minlength=d)
             total[-4:] += (loss.sum(), loss[positive].sum(), len(f), positive.sum())
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
@@ -194,8 +211,11 @@ def held_out(id_column):
 
 
 def _fit_on(measured: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> QualityModel | None:
-    learn = durable(labelled(measured.where(~held_out(F.col("id"))), labels, id_col, label_col).select(F.coalesce(F.col("label") == 1, F.lit(False)).alias("positive"), "label", "x"), "pu-rows")
-    return fit(learn, None)
+    rows = labelled(measured.where(~held_out(F.col("id"))), labels, id_col, label_col).select(F.coalesce(F.col("label") == 1, F.lit(False)).alias("positive"), "x")
+    learn = durable(rows, "pu-rows")
+    model = fit(learn, None)
+    discard(learn)
+    return model
 
 
 def _measure(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -209,29 +229,36 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, i
     Fits on the rows that are not held out (crc32 of the id as text, modulo 5, is not 0), all of them as
     unlabelled text and those labelled 1 as positives. Null and empty texts have a score like any other;
     a null id is never held out and never labelled. With no positive label every score is 0.5. Labels
-    that are neither 0 nor 1 are ignored. An empty table gives an empty result. Other columns of ``docs``
-    are not read.
+    that are neither 0 nor 1 are ignored. Rows that repeat an id or a text are rows of their own; equal
+    texts score alike. An empty table gives an empty result. Other columns of ``docs`` are not read.
     """
     measured = durable(_measure(docs, id_col, text_col), "pu-features")
     model = _fit_on(measured, labels, id_col, label_col)
 
-    @F.pandas_udf("double")
-    def score(x: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.stack(x.to_list())) if model and len(x) else np.full(len(x), 0.5))
+    @F.arrow_udf("double")
+    def score(x: pa.Array) -> pa.Array:
+        return pa.array(model.score(x.flatten().to_numpy().reshape(-1, len(FEATURES))) if model and len(x) else np.full(len(x), 0.5))
 
     scored = measured.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), score("x").alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """The rows of ``docs``, with all columns, that score ``threshold`` or more; nothing is shuffled for it."""
-    model = _fit_on(durable(_measure(docs, id_col, text_col), "pu-features"), labels, id_col, label_col)
+    """The rows of ``docs``, with all columns, that score ``threshold`` or more; nothing is shuffled for it.
+
+    Null and empty texts are scored and judged like any other, rows that repeat an id or a text each by
+    themselves; ties with the threshold stay. Learning is as in :func:`quality_scores`; without a
+    positive label all rows stay. An empty table gives an empty result.
+    """
+    measured = durable(_measure(docs, id_col, text_col), "pu-features")
+    model = _fit_on(measured, labels, id_col, label_col)
+    discard(measured)
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
         if model is None or not len(text):
-            return pd.Series(np.full(len(text), 0.5))
-        parts = [features([x.encode() for x in text.iloc[a : a + 512]]) for a in range(0, len(text), 512)]
-        return pd.Series(model.score(np.concatenate(parts)))
+            return pa.array(np.full(len(text), 0.5))
+        parts = small([pa.RecordBatch.from_arrays([text.cast(pa.binary())], ["text"])])
+        return pa.array(np.concatenate([model.score(features(x.column(0).to_pylist())) for x in parts]))
 
     return docs.where(score(plain_text(F.col(text_col))) >= threshold)
