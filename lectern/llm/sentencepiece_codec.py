@@ -4,8 +4,9 @@ The encoder keeps, per word, an agenda of adjacent symbol pairs whose concatenat
 always merges the pair of the highest score, the leftmost of equals. No piece joins across the start of
 a run of escaped spaces or across a line end, so texts are cut there and each distinct chunk is merged
 once: many chunks side by side in numpy, very long ones with a heap. Chunks are remembered in a memory
-of bounded size. New chunks of every Arrow batch, and one whole text, are checked against the
-sentencepiece library; where they differ the library's ids are taken.
+of bounded size, which goes with the partition. New chunks of every Arrow batch, and one whole text in
+``SLICE``, are checked against the sentencepiece library. Where they differ the library's ids are taken
+and the row says so (``mended``), so that a fault of the agenda is seen.
 """
 
 from __future__ import annotations
@@ -20,12 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm._shared import plain_text
+from lectern.llm._tokens import small
 
 SPACE = "▁"
-CACHED_CHUNKS = 900_000
+CACHED_CHUNKS, SLICE = 400_000, 256
 #: Chunks of more characters than this are merged with a heap.
 SIDE_BY_SIDE = 48
 NONE = -np.inf
+#: A text that no normalisation but the escape of spaces leaves as it is.
+_NORMAL = "\uff21\ufb01  x e\u0301 \u2460\n y"
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*|[^{SPACE}\n]+")
 
 _codecs: dict[str, Codec] = {}
@@ -46,6 +50,8 @@ class Codec:
         self.ids = {p: i for i, p in enumerate(pieces) if normal[i]}
         self.byte = {int(p[1:-1], 16): i for i, p in enumerate(pieces) if lib.is_byte(i)}
         self.unknown = lib.unk_id()
+        if lib.normalize(_NORMAL) != SPACE + _NORMAL.replace(" ", SPACE):
+            raise ValueError("this vocabulary normalises texts; the encoder takes them as they are")
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids):
             raise ValueError("a piece of this vocabulary joins words or lines")
         pairs = {}
@@ -58,7 +64,11 @@ class Codec:
         self.pair_keys, self.pair_ids, self.pairs = keys, np.array([pairs[k] for k in keys.tolist()], np.int64), pairs
         self.surface = [bytes([int(p[1:-1], 16)]) if lib.is_byte(i) else b"" if lib.is_control(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.surface[self.unknown] = " ⁇ ".encode()
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {}
+        self.mended: set[str] = set()
 
     # --- merging ---
 
@@ -178,19 +188,24 @@ class Codec:
                 ids = ids[1:] if ids and ids[0] == alone else found[k]
             if full[k] != SPACE and ids != found[k]:
                 found[k] = ids
+                self.mended.add(names[k])
             self.known[names[k]] = np.array(found[k], "<i4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian 32-bit numbers."""
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """The ids of each text, as little-endian 32-bit numbers, and whether the library's took the place of the agenda's."""
         cut = [self.chunks_of(x) for x in texts]
         new = set().union(*cut).difference(self.known)
         if new:
             if len(self.known) + len(new) > CACHED_CHUNKS:
-                self.known.clear()
+                self.forget()
                 new = set().union(*cut)
             self.resolve(list(new))
         known = self.known
-        return [b"".join([known[c] for c in chunks]) for chunks in cut]
+        return [b"".join([known[c] for c in chunks]) for chunks in cut], [bool(self.mended) and not self.mended.isdisjoint(chunks) for chunks in cut]
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """The library's ids of whole texts."""
+        return [np.array(x, "<i4").tobytes() for x in self.library.encode(texts, num_threads=1)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces' surfaces and bytes in a row, without the space before the text."""
@@ -209,31 +224,41 @@ def codec(path: str) -> Codec:
 def _coded(path: str):
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = part.column(1).to_pylist()
-                got = own.encode(texts)
-                if at == 0 and texts and len(texts[0]) < 20_000 and np.frombuffer(got[0], "<i4").tolist() != own.library.encode(texts[0], num_threads=1):
-                    got = [np.array(x, "<i4").tobytes() for x in own.library.encode(texts, num_threads=1)]
-                flat = np.frombuffer(b"".join(got), "<i4")
-                cuts = np.cumsum([0] + [len(x) // 4 for x in got])
-                ids = flat.tolist()
-                decoded = [own.decode(ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat)), pa.array(decoded, pa.string())], ["id", "ids", "decoded"]
-                )
+        own.forget()
+        trusted = True
+        for part in small(batches, SLICE):
+            texts = part.column(1).to_pylist()
+            got, mended = own.encode(texts)
+            # the first text as a whole, there and back; once one differs, chunks aren't trusted any more
+            first = np.frombuffer(got[0], "<i4").tolist()
+            trusted = trusted and got[0] == own.whole(texts[:1])[0] and own.decode(first) == own.library.decode(first)
+            if not trusted:
+                theirs = own.whole(texts)
+                mended = [m or a != b for m, a, b in zip(mended, got, theirs)]
+                got = theirs
+            flat = np.frombuffer(b"".join(got), "<i4")
+            cuts = np.cumsum([0] + [len(x) // 4 for x in got])
+            ids = flat.tolist()
+            decode = own.decode if trusted else own.library.decode
+            decoded = [decode(ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat)), pa.array(decoded, pa.string()), pa.array(mended, pa.bool_())],
+                ["id", "ids", "decoded", "mended"],
+            )
+        own.forget()
 
     return coded
 
 
 def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, ``ids`` (without begin and end), ``decoded`` (the text of those ids).
+    """One row per input row: id, ``ids`` (without begin and end), ``decoded`` (the text of those ids), ``mended``.
+
+    ``mended`` says that the agenda's ids differed from the library's, which were taken.
 
     Whole texts are encoded, whatever their length. Null and empty texts have no ids and decode to the
     empty text. Rows are independent, so repeated rows and ids are kept. An empty table gives an empty
     result. Columns other than the two named ones are not read.
     """
     named = docs.select(F.col(id_col).alias("id"), plain_text(F.col(text_col)).alias("text"))
-    coded = named.mapInArrow(_coded(model), f"id {named.schema['id'].dataType.simpleString()}, ids array<int>, decoded string")
+    coded = named.mapInArrow(_coded(model), f"id {named.schema['id'].dataType.simpleString()}, ids array<int>, decoded string, mended boolean")
     return coded.withColumnRenamed("id", id_col)

@@ -64,7 +64,22 @@ def byte_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes ``docs`` with all columns under ``path/shard=K``; ids must be unique."""
-    where = byte_shards(docs, n_shards, id_col, text_col).select(F.col(id_col).alias("__id"), "shard", "slot")
-    joined = docs.join(where, F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id")
-    joined.repartition("shard", F.pmod(F.xxhash64("slot"), F.lit(64))).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Writes ``docs`` with all columns under ``path/shard=K``, within a shard in the order of its slots.
+
+    A column of ``docs`` called shard is written as ``shard_`` (with as many underscores as it takes).
+    Rows that repeat an id and a size and checksum of the text are interchangeable: each is written once.
+    Null ids and texts are written like any other; an empty table writes no rows.
+    """
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+    text = plain_text(F.col(text_col))
+    # the n-th of equal rows takes the n-th of their places
+    keys = ("id", "size", "text_crc32")
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("order")).alias("nth")
+    packed = docs.select(own, F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.monotonically_increasing_id().alias("order"))
+    where = byte_shards(docs, n_shards, id_col, text_col).select(F.col(id_col).alias("id"), "size", "text_crc32", "shard", "slot", F.col("slot").alias("order"))
+    rows, places = packed.select(*keys, nth, "own"), where.select(*[F.col(k).alias(f"{k}_") for k in keys], "shard", "slot", F.row_number().over(Window.partitionBy(*keys).orderBy("shard", "order")).alias("nth_"))
+    joined = rows.join(places, (F.col("nth") == F.col("nth_")) & F.col("id").eqNullSafe(F.col("id_")) & (F.col("size") == F.col("size_")) & (F.col("text_crc32") == F.col("text_crc32_")))
+    taken = {c.lower() for c in docs.columns}
+    name = lambda c: c if c.lower() != "shard" else next(x for k in range(1, 99) if (x := c + "_" * k).lower() not in taken)
+    dealt = joined.repartition("shard", F.pmod(F.xxhash64("slot"), F.lit(64))).sortWithinPartitions("shard", "slot")
+    dealt.select(*[F.col(f"own.`{c}`").alias(name(c)) for c in docs.columns], "shard").write.partitionBy("shard").parquet(path)
