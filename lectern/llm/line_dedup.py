@@ -1,8 +1,9 @@
 """Near-duplicate lines by a deletion-neighbourhood join.
 
-The unit is the word and the bound one edit: one word put in, taken out or changed. Every line names its
-deletion variants - itself, and itself without its i-th word for every i - as hashed keys. Two lines are
-within one edit exactly if
+The unit is the word and the bound one edit in ``WORDS_AN_EDIT`` words: one word put in, taken out or
+changed, if the longer line has so many words or more. Shorter lines are near to none; only exact copies of
+them count. Every line names its deletion variants - itself, and itself without its i-th word for every i -
+as hashed keys. Two lines are within one edit exactly if
 
 * one is a variant of the other without its i-th word (a word was put in or taken out), or
 * both have the same variant at the same i (a word was changed).
@@ -16,6 +17,9 @@ first and last half (of either rounding) no other line shares cannot be one edit
 leaves one half as it is; it emits no variants. Variants' hashes are prefix sums over exploded words, so
 a line of any length costs in proportion to its words. The neighbours found are verified word by word.
 
+Bitmaps of bounded size let the rows that can't meet any other stay where they are: halves that stand
+alone, lines that aren't candidates, and at last the lines that are neither copies nor near.
+
 Built from DataFrame and SQL functions only.
 """
 
@@ -24,16 +28,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm._shared import SPACES, durable, plain_text
+from lectern.llm._shared import SPACES, bitmap, durable, join_facts, maybe_in, plain_text
 
+WORDS_AN_EDIT = 5
 # A sequence's hash is sum(hash(word) * B**place) modulo a prime, twice. The products stay below 2**62.
 PRIMES = (2147483629, 2147483587)
 BASES = (1000003, 998244353)
 #: Places are below 2**PLACE_BITS; powers of the bases come from a place's digits.
 PLACE_BITS, DIGIT = 31, 7
-#: Candidate lines are broadcast up to so many (some 100 bytes each); beyond, they are joined by a shuffle.
-BROADCAST_LINES = 500_000
-SALTS = 32
+HALVES = ("first_n", "first_less", "last_n", "last_less")
 
 
 def _power(k: int, place: Column) -> Column:
@@ -63,33 +66,37 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _places(lines: DataFrame) -> DataFrame:
-    """(id, line_no, n, k1, k2, halves): two hashes of the words, and those of first and last halves.
+    """(id, line_no, n, k1, k2, HALVES): two hashes of the words, and those of first and last halves.
 
-    Halves are taken for n and for n - 1 words, so that a line and one with a word more share one.
+    Halves are taken for n and for n - 1 words, so that a line and one with a word more share one; lines
+    that are too short to be near any have none.
     """
-    half = lambda side, n, of: F.expr(f"xxhash64('{side}', {n}, {of})")
-    halves = F.array_distinct(
-        F.array(
-            half("F", "n div 2", "slice(words, 1, n div 2)"),
-            half("F", "(n - 1) div 2", "slice(words, 1, (n - 1) div 2)"),
-            half("L", "n - n div 2", "slice(words, n div 2 + 1, n)"),
-            half("L", "n - 1 - (n - 1) div 2", "slice(words, n - (n - 1 - (n - 1) div 2) + 1, n)"),
-        )
+    half = lambda side, n, of: F.expr(f"if(n >= {WORDS_AN_EDIT - 1}, xxhash64('{side}', {n}, {of}), null)")
+    halves = (
+        half("F", "n div 2", "slice(words, 1, n div 2)"),
+        half("F", "(n - 1) div 2", "slice(words, 1, (n - 1) div 2)"),
+        half("L", "n - n div 2", "slice(words, n div 2 + 1, n)"),
+        half("L", "n - 1 - (n - 1) div 2", "slice(words, n - (n - 1 - (n - 1) div 2) + 1, n)"),
     )
     sized = lines.withColumn("n", F.size("words"))
     own = [F.when(F.col("n") > 0, F.xxhash64(F.lit(seed), "words")).alias(f"k{seed}") for seed in (1, 2)]
-    return sized.select("id", "line_no", "n", *own, F.when(F.col("n") > 0, halves).alias("halves"))
+    return sized.select("id", "line_no", "n", *own, *[h.alias(name) for h, name in zip(halves, HALVES)])
 
 
 def _candidates(distinct: DataFrame) -> DataFrame:
-    """The distinct lines that share a half with another one."""
-    parts = distinct.select("k1", "k2", F.explode("halves").alias("half"))
-    shared = parts.groupBy("half").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("half")
-    return parts.join(shared, "half", "left_semi").select("k1", "k2").distinct()
+    """(k1, k2, at) of the distinct lines that share a half with another one."""
+    halves = F.explode(F.array_distinct(F.array(*HALVES)))
+    parts = distinct.where(F.col(HALVES[0]).isNotNull()).select("k1", "k2", "at", halves.alias("half"))
+    shared = durable(parts.groupBy("half").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("half"), "line-halves")
+    some = maybe_in(parts, "half", bitmap(shared, "half")).where("maybe").drop("maybe")
+    return durable(some.join(shared, "half", "left_semi").groupBy("k1", "k2").agg(F.min("at").alias("at")), "line-candidates", after=(shared,))
 
 
 def _variants(words: DataFrame) -> DataFrame:
-    """(h, i, k1, at): the hashed deletion variants of lines (k1, k2, at, words); i = -1: the line itself."""
+    """(h, i, k1, at): the hashed deletion variants of lines (k1, k2, at, words); i = -1: the line itself.
+
+    A line that is too short to be the longer of two near ones has only itself.
+    """
     each = words.select("k1", "k2", "at", F.posexplode("words").alias("i", "word"))
     line = Window.partitionBy("k1", "k2")
     upto = line.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -112,7 +119,8 @@ def _variants(words: DataFrame) -> DataFrame:
     total = [F.pmod(F.col(f"all{k}"), F.lit(p)) for k, p in enumerate(PRIMES)]
     shorter = F.struct(joined(*less, F.col("n") - 1).alias("h"), F.col("i").alias("i"))
     itself = F.struct(joined(*total, F.col("n")).alias("h"), F.lit(-1).alias("i"))
-    both = F.when(F.col("i") == 0, F.array(shorter, itself)).otherwise(F.array(shorter))
+    long = F.col("n") >= WORDS_AN_EDIT
+    both = F.array_compact(F.array(F.when(long, shorter), F.when(F.col("i") == 0, itself)))
     return summed.select("k1", "at", F.explode(both).alias("v")).select("v.h", "v.i", "k1", "at")
 
 
@@ -130,61 +138,71 @@ def within_one_edit(a: str, b: str) -> Column:
 
 def near_lines(docs: DataFrame, distinct: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k1, k2, near): distinct lines and the earliest place of another line within one edit, if it is earlier."""
-    wanted = durable(_candidates(distinct).join(distinct.select("k1", "k2", "at"), ["k1", "k2"]), "line-candidates")
-    small = wanted.count() <= BROADCAST_LINES
+    wanted = _candidates(distinct)
     places = wanted.select("k1", "k2", "at", F.col("at.id").alias("id"), F.col("at.line_no").alias("line_no"))
     # a line's words are read again where it stands first, and only there
-    found = _raw_lines(docs, id_col, text_col).join(F.broadcast(places) if small else places, ["id", "line_no"])
-    found = found.select("k1", "k2", "at", _words_of("line"))
+    lines = _raw_lines(docs, id_col, text_col).withColumn("place", F.xxhash64("id", "line_no"))
+    some = maybe_in(lines, "place", bitmap(wanted.select(F.xxhash64("at.id", "at.line_no").alias("place")), "place")).where("maybe")
+    found = some.select("id", "line_no", _words_of("line")).join(places, ["id", "line_no"]).select("k1", "k2", "at", "words")
     # an id that stands on several rows has several lines at a place
     same = (F.xxhash64(F.lit(1), "words") == F.col("k1")) & (F.xxhash64(F.lit(2), "words") == F.col("k2"))
-    words = durable(found.where(same).dropDuplicates(["k1", "k2"]), "line-words")
+    words = durable(found.where(same).dropDuplicates(["k1", "k2"]), "line-words", after=(wanted,))
 
     variants = durable(_variants(words), "line-variants")
-    shared = variants.groupBy("h").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("h")
-    meets = durable(variants.join(shared, "h", "left_semi"), "line-meets")
-    changed = meets.where("i >= 0").groupBy("h", "i").agg(F.min("at").alias("near"))
-    itself = meets.where("i < 0").select("h", F.col("at").alias("near"))
-    longer = meets.where("i >= 0").groupBy("h").agg(F.min("at").alias("near"))
-    shorter = meets.where("i >= 0").select("h", "i", "at")
+    total = variants.count()
+    edited = lambda what: F.min(F.when(what, F.col("at")))
+    facts = variants.groupBy("h").agg(
+        F.count(F.lit(1)).alias("n"), F.min("k1").alias("a"), F.max("k1").alias("b"), edited(F.col("i") >= 0).alias("longer"), edited(F.col("i") < 0).alias("itself")
+    )
+    facts = durable(facts.where("a <> b").select("h", "n", "longer", "itself"), "line-buckets")
+    met = durable(join_facts(variants, facts, ["h"], total), "line-meets", after=(facts, variants))
+    less = met.where("i >= 0").select("h", "i", "at")
+    changed = durable(less.groupBy("h", "i").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("near")).where("n > 1"), "line-changed")
     pairs = (
-        shorter.join(changed, ["h", "i"]).select("at", "near")
-        .union(shorter.select("h", "at").join(itself, "h").select("at", "near"))
-        .union(meets.where("i < 0").select("h", "at").join(longer, "h").select("at", "near"))
+        met.select("at", F.when(F.col("i") < 0, F.col("longer")).otherwise(F.col("itself")).alias("near"))
+        .union(join_facts(less, changed, ["h", "i"], total).select("at", "near"))
     )
-    nearest = pairs.where("near < at").groupBy("at").agg(F.min("near").alias("near"))
+    nearest = durable(pairs.where("near < at").groupBy("at").agg(F.min("near").alias("near")), "line-nearest", after=(met, changed))
+    # one line may be the nearest of very many: it goes to each of their sub-groups
+    dealt = nearest.withColumn("salt", F.pmod(F.xxhash64("at.id", "at.line_no"), F.lit(32)).cast("int"))
+    theirs = dealt.select("near", "salt").distinct().join(words.select(F.col("at").alias("near"), F.col("words").alias("theirs")), "near")
     mine = words.select("at", "k1", "k2", F.col("words").alias("mine"))
-    theirs = words.select(F.col("at").alias("near"), F.col("words").alias("theirs"))
-    return nearest.join(mine, "at").join(theirs, "near").where(within_one_edit("mine", "theirs")).select("k1", "k2", "near")
+    both = dealt.join(mine, "at").join(theirs, ["near", "salt"]).where(within_one_edit("mine", "theirs"))
+    return durable(both.select("k1", "k2", "near"), "line-near", after=(nearest, words))
 
 
 def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line: id, ``line_no``, ``n_words``, ``verdict`` and, unless it is kept, ``first`` (id, line_no).
 
     A line is a ``copy`` if the same words (lower-cased, split at ASCII white space) stand at an earlier
-    place, else ``near`` if an earlier line is one word apart, else ``kept``; places are ordered by id and
-    line number. An earlier line counts even if it goes itself. Blank lines are always kept; a null or
-    empty text is one blank line. Rows that repeat an id count as one document: their lines at equal
-    numbers share a place. A null id is earlier than any other. An empty table gives an empty result.
+    place, else ``near`` if an earlier line is one word apart and the longer of the two has
+    ``WORDS_AN_EDIT`` words or more, else ``kept``; places are ordered by id and line number. An earlier
+    line counts even if it goes itself. Blank lines are always kept; a null or empty text is one blank
+    line. Rows that repeat an id count as one document: their lines at equal numbers share a place. A null
+    id is earlier than any other. An empty table gives an empty result. Other columns are not read.
     """
     places = durable(_places(lines_of(docs, id_col, text_col)), "line-places")
-    worded = places.where("n > 0").withColumn("at", F.struct("id", "line_no")).withColumn("salt", F.pmod(F.xxhash64("id", "line_no"), F.lit(SALTS)).cast("int"))
-    # a line may be a third of all lines: its places are summed up in sub-groups first
-    parts = durable(worded.groupBy("k1", "k2", "salt").agg(F.min("at").alias("at"), F.first("halves").alias("halves")), "line-parts")
-    distinct = parts.groupBy("k1", "k2").agg(F.min("at").alias("at"), F.first("halves").alias("halves"))
+    worded = places.where("n > 0").withColumn("at", F.struct("id", "line_no"))
+    # a line may be a third of all lines: a task sends one row of it
+    distinct = worded.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"), *[F.min(h).alias(h) for h in HALVES])
     distinct = durable(distinct, "line-distinct")
-    near = durable(near_lines(docs, distinct, id_col, text_col), "line-near")
-    facts = distinct.select("k1", "k2", F.col("at").alias("first")).join(near, ["k1", "k2"], "left")
-    per_salt = parts.select("k1", "k2", "salt").join(facts, ["k1", "k2"])
-    judged = worded.join(per_salt, ["k1", "k2", "salt"])
+    near = near_lines(docs, distinct, id_col, text_col)
+    facts = distinct.select("k1", "k2", "n", F.col("at").alias("first")).join(near, ["k1", "k2"], "left").where("n > 1 or near is not null")
+    facts = durable(facts, "line-facts", after=(distinct, near))
+    # lines that are neither copied nor near stay where they are
+    flagged = maybe_in(worded.select("id", "line_no", F.col("n").alias("n_words"), "k1", "k2", "at"), "k1", bitmap(facts, "k1"))
+    total = places.count()
+    known = join_facts(flagged.where("maybe"), facts, ["k1", "k2"], total, "left")
     verdict = F.when(F.col("first") < F.col("at"), "copy").when(F.col("near").isNotNull(), "near").otherwise("kept")
-    judged = judged.select("id", "line_no", F.col("n").alias("n_words"), verdict.alias("verdict"), F.when(F.col("first") < F.col("at"), F.col("first")).otherwise(F.col("near")).alias("first"))
-    blank = places.where("n = 0").select("id", "line_no", F.col("n").alias("n_words"), F.lit("kept").alias("verdict"), F.lit(None).cast(judged.schema["first"].dataType).alias("first"))
-    return judged.unionByName(blank).withColumnRenamed("id", id_col)
+    judged = known.select("id", "line_no", "n_words", verdict.alias("verdict"), F.when(F.col("first") < F.col("at"), F.col("first")).otherwise(F.col("near")).alias("first"))
+    kept = lambda rows: rows.select("id", "line_no", "n_words", F.lit("kept").alias("verdict"), F.lit(None).cast(judged.schema["first"].dataType).alias("first"))
+    blank = places.where("n = 0").select("id", "line_no", F.col("n").alias("n_words"))
+    out = judged.unionByName(kept(flagged.where("not maybe"))).unionByName(kept(blank))
+    return out.withColumnRenamed("id", id_col)
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per id: ``n_lines`` (with words), ``n_copies``, ``n_near``, ``dropped`` (their numbers, sorted)."""
+    """One row per id: ``n_lines`` (with words), ``n_copies``, ``n_near``, ``dropped`` (their numbers, sorted). Edge cases are as in :func:`line_verdicts`."""
     count = lambda what: F.sum(F.when(what, 1).otherwise(0)).cast("long")
     return line_verdicts(docs, id_col, text_col).groupBy(id_col).agg(
         count(F.col("n_words") > 0).alias("n_lines"),
@@ -195,9 +213,17 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, with all columns, without the lines that are copies or near copies of earlier ones; ids must be unique."""
-    gone = dropped_lines(docs, id_col, text_col).where(F.size("dropped") > 0).select(F.col(id_col).alias("__id"), F.col("dropped").alias("__dropped"))
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda line, k: ~F.array_contains("__dropped", k)), "\n")
-    return joined.withColumn(text_col, F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(kept)).drop("__id", "__dropped")
+    """``docs``, with all columns, without the lines that are copies or near copies of earlier ones.
+
+    Rows that repeat an id are documents of their own, ordered by a hash of their texts; rows that repeat
+    both lose the same lines. Null texts stay null. Edge cases are else as in :func:`line_verdicts`.
+    """
+    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string"), plain_text(F.col(text_col))).alias("text")).alias("row")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+    packed = docs.select(own, row, F.col(text_col).alias("text"))
+    gone = dropped_lines(packed.select("row", "text"), "row", "text").where(F.size("dropped") > 0).select(F.xxhash64("row").alias("hash"), F.col("row").alias("of"), "dropped")
+    joined = packed.withColumn("hash", F.xxhash64("row")).join(gone, "hash", "left")
+    lines = F.split("text", "\n", -1)
+    kept = F.array_join(F.filter(lines, lambda line, k: ~F.array_contains("dropped", k)), "\n")
+    text = F.when(F.col("dropped").isNull() | ~F.col("row").eqNullSafe(F.col("of")), F.col("text")).otherwise(kept)
+    return joined.select(*[text.alias(c) if c == text_col else F.col(f"own.`{c}`").alias(c) for c in docs.columns])

@@ -2,16 +2,22 @@
 
     p(word | history) = p(class | history) * p(word | class, history)
 
-The ``HEAD`` most frequent words are dealt into classes by rank; all others are one more class, inside
-which a word has its add-half share of the corpus. Both factors are maximum-entropy models over the same
-features of the history - the word before, the two before (an n-gram) and the one before that alone (a
-skip) - whose weights stand in a table of bounded size that features are hashed into. They start from the
-corpus's class and word shares.
+The ``HEAD`` most frequent words are dealt into classes by rank, and each is a choice of its own within its
+class. All other words of the vocabulary are one more class, the tail, which is factored once more:
+
+    p(word | tail, history) = p(bucket | tail, history) * share of the word in its bucket
+
+(whose features go without the skip), where a word's bucket comes from its hash, and its share from the add-half counts of the corpus; one word
+that was never seen has its add-half share of the tail. All three factors are maximum-entropy models over
+the same features of the history - the word before, the two before (an n-gram) and the one before that alone
+(a skip) - whose weights stand in tables that features are hashed into. They start from the corpus's shares.
 
 Training is distributed: in each round every task takes gradient steps over its own texts from the
 weights all share, and sends by how much each row of the tables moved. The moves are averaged row by row,
 weighted by how often a task saw the row, so that what one task alone has seen isn't diluted. Every
-training text belongs to one round. What the driver holds is the model, of fixed size.
+training text belongs to one round. The model's scores therefore depend on how the table is dealt into
+tasks, and on the order of a task's rows; the base score does not. What the driver holds is the model; its
+tables follow the number of training tokens up to a fixed bound (``rows_for``), as they are broadcast.
 
 Counts cover every training text. Words of high count are broadcast up to ``KNOWN``; the rest reach their
 counts by a shuffle of (row, word, times), so no vocabulary is ever held in one place.
@@ -28,16 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm._shared import durable, plain_text
-from lectern.llm._tokens import chunks, mix, word_hashes
+from lectern.llm._tokens import chunks, mix, small, words_of
 
-CLASS_WORDS, CLASSES = 32, 32
+CLASS_WORDS, CLASSES, BUCKETS = 32, 32, 16
 HEAD = CLASS_WORDS * CLASSES
 KNOWN = 1 << 18
-#: Rows of the hashed weight tables: for classes, and for the words within a class.
-ROWS = (1 << 14, 1 << 16)
-BLOCK = 1024
-FEATURES = 3
-BATCH = 4096
+#: Bits of a word's hash that are its bucket.
+BUCKET_SHIFT = 40
+#: Fewest and most rows of a hashed weight table, and training tokens a row.
+FEWEST_ROWS, MOST_ROWS, TOKENS_A_ROW = 1 << 16, 1 << 18, 2048
+LEVELS, BLOCK = 3, 1024
+BATCH = 8192
 ROUNDS, RATE = 2, 0.6
 #: Words are counted in a task up to so many at a time.
 COUNTED = 1 << 21
@@ -45,9 +52,15 @@ END = np.uint64(0x5D1F_0E4D_A3C2_9B71)
 NEVER = np.float32(-1e9)
 
 
+def rows_for(tokens: int) -> tuple[int, int, int]:
+    """Rows of the weight tables for classes, for words within a class, and for buckets of the tail."""
+    rows = min(MOST_ROWS, max(FEWEST_ROWS, 1 << (tokens // TOKENS_A_ROW).bit_length()))
+    return rows // 4, rows, rows
+
+
 def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens (the words of each lower-cased text, then an end), and the texts' bounds."""
-    hashes, bounds, _ = word_hashes([x.lower() for x in texts])
+    hashes, bounds, *_ = words_of([x.lower() for x in texts])
     ends = bounds[1:] + np.arange(len(texts))
     out = np.empty(len(hashes) + len(texts), np.uint64)
     word = np.ones(len(out), bool)
@@ -69,94 +82,104 @@ def history(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 @dataclass
 class MaxentModel:
-    """Weights and the counts they start from."""
+    """Weights and the shares they start from; levels are classes, words within a class, buckets of the tail."""
 
     head: np.ndarray  # sorted hashes of the most frequent words
     ranks: np.ndarray  # their ranks
     class_bias: np.ndarray
     word_bias: np.ndarray
+    bucket_bias: np.ndarray
     weights: list[np.ndarray]
 
     def places(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each token's class and place in it; words outside the head have the class ``CLASSES``."""
+        """Each token's class and place in it; words outside the head have the class ``CLASSES`` and their bucket."""
+        buckets = bucket_of(tokens)
         if not len(self.head):
-            return np.full(len(tokens), CLASSES), np.zeros(len(tokens), np.int64)
+            return np.full(len(tokens), CLASSES), buckets
         at = np.minimum(np.searchsorted(self.head, tokens), len(self.head) - 1)
-        rank = np.where(self.head[at] == tokens, self.ranks[at], HEAD)
-        return rank // CLASS_WORDS, rank % CLASS_WORDS
+        inside = self.head[at] == tokens
+        rank = self.ranks[at]
+        return np.where(inside, rank // CLASS_WORDS, CLASSES), np.where(inside, rank % CLASS_WORDS, buckets)
 
     def rows(self, level: int, features: np.ndarray, classes: np.ndarray | None = None) -> np.ndarray:
         """The rows of the weight table that each feature of each token uses."""
         if classes is not None:
             features = mix(features + classes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        return (features >> np.uint64(20)).astype(np.int64) & (ROWS[level] - 1)
+        return (features >> np.uint64(20)).astype(np.int64) & (len(self.weights[level]) - 1)
 
     def logits(self, level: int, rows: np.ndarray, classes: np.ndarray | None = None) -> np.ndarray:
         w = self.weights[level]
         out = w.take(rows[0], axis=0)
         for r in rows[1:]:
             out += w.take(r, axis=0)
-        out += self.class_bias if classes is None else self.word_bias.take(classes, axis=0)
+        out += self.word_bias.take(classes, axis=0) if level == 1 else self.class_bias if level == 0 else self.bucket_bias
         return out
 
 
+def bucket_of(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(BUCKET_SHIFT)).astype(np.int64) % BUCKETS
+
+
 def log_softmax(logits: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The probabilities of each row, and the natural log of the wanted one's."""
     logits -= logits.max(axis=1, keepdims=True)
     own = logits[np.arange(len(logits)), wanted]
     np.exp(logits, out=logits)
     total = logits.sum(axis=1)
-    return logits / total[:, None], own - np.log(total)
+    logits /= total[:, None]
+    return logits, own - np.log(total)
 
 
-def word_scores(model: MaxentModel, tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of p(class) times, for words of the head, p(word | class); and which tokens those are."""
+def _choices(model: MaxentModel, tokens: np.ndarray, bounds: np.ndarray):
+    """(level, tokens' numbers, rows, classes, wanted) of every choice the tokens make, a batch at a time."""
     features = history(tokens, bounds)
     classes, places = model.places(tokens)
-    out = np.zeros(len(tokens))
-    for a in range(0, len(tokens), BATCH):
-        cut = slice(a, a + BATCH)
-        out[cut] = log_softmax(model.logits(0, model.rows(0, features[:, cut])), classes[cut])[1]
-    inside = np.flatnonzero(classes < CLASSES)
-    for a in range(0, len(inside), BATCH):
-        at = inside[a : a + BATCH]
-        k = classes[at]
-        out[at] += log_softmax(model.logits(1, model.rows(1, features[:, at], k), k), places[at])[1]
-    return out / np.log(10), classes < CLASSES
+    inside = classes < CLASSES
+    for level, who in ((0, np.arange(len(tokens))), (1, np.flatnonzero(inside)), (2, np.flatnonzero(~inside))):
+        for a in range(0, len(who), BATCH):
+            at = who[a : a + BATCH]
+            k = classes[at] if level == 1 else None
+            # the tail's buckets go without the skip
+            yield level, at, model.rows(level, features[: 2 if level == 2 else 3, at], k), k, (classes if level == 0 else places)[at]
+
+
+def word_scores(model: MaxentModel, tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log10 of p(class) and, for words of the head, p(word | class); log10 of p(bucket | tail) of the others; which tokens are in the head."""
+    out, bucket = np.zeros(len(tokens)), np.zeros(len(tokens))
+    for level, at, rows, classes, wanted in _choices(model, tokens, bounds):
+        (bucket if level == 2 else out)[at] += log_softmax(model.logits(level, rows, classes), wanted)[1]
+    return out / np.log(10), bucket / np.log(10), model.places(tokens)[0] < CLASSES
 
 
 class Learner:
     """Gradient steps of one task: the moved weights, and how often each row was met."""
 
     def __init__(self, model: MaxentModel, rate: float):
-        self.model = MaxentModel(model.head, model.ranks, model.class_bias, model.word_bias, [w.copy() for w in model.weights])
+        self.model = MaxentModel(model.head, model.ranks, model.class_bias, model.word_bias, model.bucket_bias, [w.copy() for w in model.weights])
         self.rate = rate
-        self.met = [np.zeros(n, np.int32) for n in ROWS]
-        self.size = [np.ones(n, np.float32) for n in ROWS]  # sums of squared gradients
+        self.met = [np.zeros(len(w), np.int32) for w in model.weights]
+        self.size = [np.ones(len(w), np.float32) for w in model.weights]  # sums of squared gradients
 
     def _step(self, level: int, rows: np.ndarray, classes: np.ndarray | None, wanted: np.ndarray) -> None:
         slope = log_softmax(self.model.logits(level, rows, classes), wanted)[0]
         slope[np.arange(len(slope)), wanted] -= 1
-        flat = rows.ravel()
-        order = np.argsort(flat, kind="stable")
-        ordered = flat[order]
+        order = np.argsort(rows.ravel(), kind="stable")
+        ordered, source = rows.ravel()[order], order % len(slope)
         first = np.flatnonzero(np.diff(ordered, prepend=-1))
-        row = ordered[first]
-        total = np.add.reduceat(slope.take(order % len(slope), axis=0), first, axis=0)
-        self.met[level][row] += np.diff(np.append(first, len(ordered))).astype(np.int32)
+        row, times = ordered[first], np.diff(np.append(first, len(order)))
+        # most rows are met once; the others' tokens are summed up
+        total = slope.take(source[first], axis=0)
+        more = times > 1
+        if more.any():
+            starts = np.cumsum(times[more]) - times[more]
+            total[more] = np.add.reduceat(slope.take(source[np.repeat(more, times)], axis=0), starts, axis=0)
+        self.met[level][row] += times.astype(np.int32)
         self.size[level][row] += np.einsum("ij,ij->i", total, total)
         self.model.weights[level][row] -= (self.rate / np.sqrt(self.size[level][row]))[:, None] * total
 
     def learn(self, tokens: np.ndarray, bounds: np.ndarray) -> None:
-        features = history(tokens, bounds)
-        classes, places = self.model.places(tokens)
-        for a in range(0, len(tokens), BATCH):
-            cut = slice(a, a + BATCH)
-            self._step(0, self.model.rows(0, features[:, cut]), None, classes[cut])
-        inside = np.flatnonzero(classes < CLASSES)
-        for a in range(0, len(inside), BATCH):
-            at = inside[a : a + BATCH]
-            self._step(1, self.model.rows(1, features[:, at], classes[at]), classes[at], places[at])
+        for level, _, rows, classes, wanted in _choices(self.model, tokens, bounds):
+            self._step(level, rows, classes, wanted)
 
 
 MOVES = "level int, block int, rows binary, met binary, moves binary"
@@ -167,15 +190,15 @@ def _moved(sent, rate: float):
 
     def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learner = None
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(0).cast(pa.binary()).to_pylist()
             learner = learner or Learner(sent.value, rate)
             for a, b in chunks(texts):
                 learner.learn(*tokens_of(texts[a:b]))
         if learner is None:
             return
-        for level in range(2):
-            for block in range(ROWS[level] // BLOCK):
+        for level in range(LEVELS):
+            for block in range(len(learner.met[level]) // BLOCK):
                 met = learner.met[level][block * BLOCK : (block + 1) * BLOCK]
                 rows = np.flatnonzero(met)
                 if len(rows):
@@ -214,7 +237,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
         return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 
-    for batch in batches:
+    for batch in small(batches):
         texts = batch.column(0).cast(pa.binary()).to_pylist()
         for a, b in chunks(texts):
             held.append(tokens_of(texts[a:b])[0])
@@ -238,43 +261,53 @@ class Counts:
     words: int
     known: np.ndarray  # sorted hashes
     times: np.ndarray
-    cut: int  # words counted less often are not in ``known``
+    buckets: np.ndarray  # add-half weight of all words in each bucket, those of the head too
 
 
 def _gathered(counts: DataFrame) -> Counts:
     sums = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     # how many words there are of which count, in a few hundred steps of a logarithmic scale
-    steps = counts.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).collect()
-    cut, total = None, 0
-    for r in sorted(steps, key=lambda r: -r["step"]):
-        total += r["words"]
-        if total > KNOWN:
+    step = F.floor(F.log2("n") * 8)
+    left, above, share = KNOWN, None, 0.0
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r["step"]):
+        above, share = r["step"], min(1.0, left / r["words"])
+        left -= r["words"]
+        if left <= 0:
             break
-        cut = r["least"]
-    known = counts.where(F.col("n") >= cut).toArrow() if cut is not None else pa.table({"word": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})  # KNOWN rows at most
+    # of the last step the part that there is room for, by hash
+    fits = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(share * (1 << 20))
+    known = counts.where(F.lit(False)) if above is None else counts.where((step > above) | ((step == above) & fits))
+    known = known.toArrow()  # KNOWN rows, or by chance a few more
     words, times = known["word"].to_numpy().view(np.uint64), known["n"].to_numpy()
     order = np.argsort(words)
-    return Counts(sums[0] or 0, sums[1], words[order], times[order], cut if cut is not None else 1 << 62)
+    buckets = np.zeros(BUCKETS)
+    bucket = F.pmod(F.shiftrightunsigned("word", BUCKET_SHIFT), F.lit(BUCKETS))
+    for r in counts.groupBy(bucket.alias("bucket")).agg(F.sum(F.col("n") + 0.5).alias("weight")).collect():
+        buckets[r["bucket"]] = r["weight"]
+    return Counts(sums[0] or 0, sums[1], words[order], times[order], buckets)
 
 
-def _untrained(counts: Counts) -> tuple[MaxentModel, float]:
-    """A model that gives every word its share of the corpus, and the weight of all words outside its head."""
+def _untrained(counts: Counts) -> tuple[MaxentModel, np.ndarray]:
+    """A model that gives every word its share of the corpus, and the weight of the tail's words in each bucket."""
     order = np.lexsort((counts.known, -counts.times))[:HEAD]
     words, times = counts.known[order], counts.times[order]
-    rest = counts.tokens - int(times.sum()) + 0.5 * (counts.words - len(order) + 1)
+    tail = counts.buckets - np.bincount(bucket_of(words), times + 0.5, minlength=BUCKETS)
+    tail = np.where(tail < 0.25, 0, tail)  # of a bucket without other words nothing but rounding is left
     padded = np.zeros(HEAD)
     padded[: len(times)] = times + 0.5
     padded = padded.reshape(CLASSES, CLASS_WORDS)
     log = lambda x: np.where(x > 0, np.log(np.maximum(x, 1e-30)), NEVER).astype(np.float32)
     by_hash = np.argsort(words)
-    weights = [np.zeros((ROWS[0], CLASSES + 1), np.float32), np.zeros((ROWS[1], CLASS_WORDS), np.float32)]
-    return MaxentModel(words[by_hash], by_hash, log(np.append(padded.sum(axis=1), rest)), log(padded), weights), rest
+    sizes = rows_for(counts.tokens)
+    weights = [np.zeros((rows, width), np.float32) for rows, width in zip(sizes, (CLASSES + 1, CLASS_WORDS, BUCKETS))]
+    class_bias = log(np.append(padded.sum(axis=1), tail.sum() + 0.5))
+    return MaxentModel(words[by_hash], by_hash, class_bias, log(padded), log(tail) if tail.any() else np.zeros(BUCKETS, np.float32), weights), tail
 
 
-def train(texts: DataFrame, counts: Counts) -> tuple[MaxentModel, float]:
-    """The trained model, and the weight of the words outside its head; ``texts`` has ``text`` and ``round``."""
+def train(texts: DataFrame, counts: Counts) -> tuple[MaxentModel, np.ndarray]:
+    """The trained model, and the tail's weight in each bucket; ``texts`` has ``text`` and ``round``."""
     spark = texts.sparkSession
-    model, rest = _untrained(counts)
+    model, tail = _untrained(counts)
     for k in range(ROUNDS):
         sent = spark.sparkContext.broadcast(model)
         moves = texts.where(F.col("round") == k).select("text").mapInArrow(_moved(sent, RATE / (k + 1)), MOVES)
@@ -283,29 +316,36 @@ def train(texts: DataFrame, counts: Counts) -> tuple[MaxentModel, float]:
             rows = np.frombuffer(x["rows"], "<u2") + x["block"] * BLOCK
             model.weights[x["level"]][rows] += np.frombuffer(x["moves"], "<f4").reshape(len(rows), -1)
         sent.unpersist()
-    return model, rest
+    return model, tail
 
 
-SCORED = "id {id}, n_tokens long, n_seen long, seen_log double, model_log double, n_rest long, words array<long>, times array<int>"
+SCORED = "id {id}, n_tokens long, n_seen long, seen_log double, model_log double, words array<long>, times array<int>, logs array<double>"
+
+
+def tail_logs(bucket: np.ndarray, tokens: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """log10 of what a tail word's add-half count is multiplied by, given log10 p(bucket | tail)."""
+    unseen = 0.5 / (tail.sum() + 0.5)
+    return bucket - np.log10(np.maximum(tail, 0.5))[bucket_of(tokens)] + np.log10(1 - unseen) if unseen < 1 else bucket
 
 
 def _scored(sent):
     """(id, text) to what a row needs no more of the corpus for, and its words of low count."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known, times = sent.value
+        model, known, times, tail = sent.value
         logs = np.log10(times + 0.5)
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             for a, b in chunks(texts):
                 tokens, bounds = tokens_of(texts[a:b])
                 starts, sizes = bounds[:-1], np.diff(bounds)
-                own, inside = word_scores(model, tokens, bounds)
+                own, bucket, inside = word_scores(model, tokens, bounds)
                 at = np.minimum(np.searchsorted(known, tokens), max(len(known) - 1, 0))
                 seen = known[at] == tokens if len(known) else np.zeros(len(tokens), bool)
                 log = np.where(seen, logs[at], 0.0) if len(known) else np.zeros(len(tokens))
-                # words outside the head have their share of the corpus; of those of low count it is added later
-                own = own + np.where(inside, 0.0, log)
+                rest = tail_logs(bucket, tokens, tail)
+                # words of the tail have their share of a bucket; of those of low count it is added later
+                own = own + np.where(seen & ~inside, rest + log, 0.0)
                 out = np.flatnonzero(~seen)
                 owner = np.repeat(np.arange(b - a), sizes)[out]
                 order = np.lexsort((tokens[out], owner))
@@ -313,14 +353,13 @@ def _scored(sent):
                 first = np.flatnonzero((np.diff(doc, prepend=-1) != 0) | (np.diff(word, prepend=0) != 0)) if len(doc) else np.zeros(0, np.int64)
                 n = np.diff(np.append(first, len(doc))).astype(np.int32)
                 cuts = pa.array(np.searchsorted(doc[first], np.arange(b - a + 1)), pa.int32())
-                sums = [np.add.reduceat(x, starts) for x in (seen.astype(np.int64), log, own, (~inside).astype(np.int64))]
+                later = np.add.reduceat(rest[out][order], first) if len(first) else np.zeros(0)
+                sums = [np.add.reduceat(x, starts) for x in (seen.astype(np.int64), log, own)]
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (word[first].view(np.int64), n, later)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), *map(pa.array, sums),
-                        pa.ListArray.from_arrays(cuts, pa.array(word[first].view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(n)),
-                    ],
-                    ["id", "n_tokens", "n_seen", "seen_log", "model_log", "n_rest", "words", "times"],
-                )
+                    [batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), *map(pa.array, sums), *lists],
+                    ["id", "n_tokens", "n_seen", "seen_log", "model_log", "words", "times", "logs"],
+                )
 
     return scored
 
@@ -340,25 +379,29 @@ def lm_scores(docs: DataFrame, fold: int = 1, folds: int = 5, id_col: str = "doc
     learn = named.where(~held).select("text", F.coalesce(F.pmod(F.floor(crc / folds), F.lit(ROUNDS)), F.lit(0)).alias("round"))
     counts = durable(word_counts(learn), "lm-counts")
     got = _gathered(counts)
-    model, rest = train(learn, got)
-    sent = docs.sparkSession.sparkContext.broadcast((model, got.known, got.times))
+    model, tail = train(learn, got)
+    sent = docs.sparkSession.sparkContext.broadcast((model, got.known, got.times, tail))
     scored = named.mapInArrow(_scored(sent), SCORED.format(id=named.schema["id"].dataType.simpleString()))
     scored = durable(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
 
-    low = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    met = low.join(counts.where(F.col("n") < got.cut), "word", "left")
+    each = scored.select("row", F.explode(F.arrays_zip("words", "times", "logs")).alias("w"))
+    low = each.select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"), F.col("w.logs").alias("log"))
+    met = low.join(counts, "word", "left")
+    share = F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)
+    unseen = float(np.log10(0.5 / (tail.sum() + 0.5)))
     sums = met.groupBy("row").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("low_log")
-    )
-    both = scored.drop("words", "times").join(sums, "row", "left")
-    low_log = F.coalesce("low_log", F.lit(0.0))
-    all_log, rest_log = np.log10(got.tokens + 0.5 * (got.words + 1)), np.log10(rest)
+        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"), F.sum(share).alias("low_log"),
+        F.sum(F.when(F.col("n").isNotNull(), F.col("log") + share).otherwise(F.col("times") * F.lit(unseen))).alias("low_model"),
+    )
+    both = scored.drop("words", "times", "logs").join(sums, "row", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    all_log = float(np.log10(got.tokens + 0.5 * (got.words + 1)))
     return both.select(
         F.col("id").alias(id_col),
         held.alias("held_out"),
         "n_tokens",
         (F.col("n_seen") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(int(got.tokens)).cast("long").alias("train_tokens"),
-        (F.col("seen_log") + low_log - F.col("n_tokens") * F.lit(float(all_log))).alias("base_score"),
-        (F.col("model_log") + low_log - F.col("n_rest") * F.lit(float(rest_log))).alias("score"),
+        (F.col("seen_log") + zero("low_log") - F.col("n_tokens") * F.lit(all_log)).alias("base_score"),
+        (F.col("model_log") + zero("low_model")).alias("score"),
     )

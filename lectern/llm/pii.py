@@ -13,13 +13,16 @@ instead the counts are smoothed by ``support`` texts that hold the term and the
 
     p(entity | term) = (n(term, entity) + support * p(entity)) / (n(term) + support).
 
+Secrets - long runs of letters and digits mixed, as keys and tokens are - are found and replaced too; they
+say nothing of a person, so no terms are looked for around them.
+
 Terms are generalised from ``generalise`` on and removed from ``remove`` on, in the documents that hold the
 entity: of a value in one document, the rarest terms are generalised, and removed once more texts bear it
 out or the corpus is large. Documents without personal data are never touched.
 
-Built from DataFrame and SQL functions only. Texts are never shuffled, unless more than
-``BROADCAST_TERMS`` of them have copies; only documents with findings take part in the co-occurrence, and
-the counts of the terms in question cover every document.
+Built from DataFrame and SQL functions only. Texts are never shuffled; only documents with findings take
+part in the co-occurrence, and the counts of the terms in question cover every document. A bitmap of
+bounded size lets the words that are in question nowhere stay where they are.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm._shared import durable, plain_text
+from lectern.llm._shared import bitmap, durable, maybe_in, plain_text
 
 # The four patterns, written so that a match never backtracks: runs are possessive and start where a run
 # starts (or where the match before ended), which finds the same matches in linear time.
@@ -38,17 +41,17 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Keys and tokens: 20 letters and digits or more, with three of either at least.
+SECRET = r"(?<![A-Za-z0-9])(?=(?:[A-Za-z]*+[0-9]){3})(?=(?:[0-9]*+[A-Za-z]){3})[A-Za-z0-9]{20,}+"
 #: What a text must contain for a pattern to match.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
-KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
-LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalise": "[TERM]", "remove": ""}
+KINDS = ("email", "ip", "card", "phone", "secret", "generalise", "remove")
+LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "secret": "[SECRET]", "generalise": "[TERM]", "remove": ""}
 SPAN = "array<struct<start:int,ord:int,kind:string,stop:int>>"
 #: A term: a word of letters and digits.
 WORD = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}'-]*+"
 SALTS = 32
 SUPPORT, GENERALISE, REMOVE = 3, 0.7, 0.85
-#: The counted terms, and the texts that have copies, are broadcast up to so many; beyond, they are joined by a shuffle.
-BROADCAST_TERMS = 200_000
 
 
 def _digits(x: str) -> str:
@@ -97,6 +100,12 @@ def base_spans(text: str = "text") -> Column:
     return F.sort_array(F.concat(*each))
 
 
+def secret_spans(text: str = "text") -> Column:
+    """Runs that look like keys or tokens and that no base span (column ``base``) overlaps."""
+    found = matches(text, "secret", SECRET, "[A-Za-z0-9]{20}", KINDS.index("secret"))
+    return F.filter(found, lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
+
+
 def listed(spans: str) -> Column:
     """kind:start:end of each span, joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
@@ -128,14 +137,13 @@ def _classes(entities: DataFrame) -> DataFrame:
 
 def _with_term(texts: DataFrame, prints: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, with_term): the number of different texts that hold each of ``terms``."""
-    copied = durable(prints.where("n > 1").select("print", F.lit(True).alias("copied")), "pii-copied")
-    held = texts.join(F.broadcast(copied) if copied.count() <= BROADCAST_TERMS else copied, "print", "left")
-    # copies count once: their terms are told apart by text, those of other texts need not be
-    words = held.select(F.when(F.col("copied"), F.col("print")).alias("of"), F.explode(F.array_distinct(_terms("text"))).alias("term"))
-    count = lambda w: w.groupBy("term", "of").agg(F.count(F.lit(1)).alias("n")).groupBy("term").agg(F.sum(F.when(F.col("of").isNull(), F.col("n")).otherwise(1)).alias("with_term"))
-    if terms.count() <= BROADCAST_TERMS:
-        return count(words.join(F.broadcast(terms), "term", "left_semi"))
-    return count(words).join(terms, "term", "left_semi")
+    # copies count once: the terms of texts that may have any are told apart by text, those of others need not be
+    held = maybe_in(texts, "print", bitmap(prints.where("n > 1"), "print"))
+    words = held.select(F.when(F.col("maybe"), F.col("print")).alias("of"), F.explode(F.array_distinct(_terms("text"))).alias("term")).withColumn("hash", F.xxhash64("term"))
+    asked = maybe_in(words, "hash", bitmap(terms.select(F.xxhash64("term").alias("hash")), "hash")).where("maybe")
+    counts = asked.groupBy("term", "of").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.groupBy("term").agg(F.sum(F.when(F.col("of").isNull(), F.col("n")).otherwise(1)).alias("with_term"))
+    return counts.join(terms, "term", "left_semi")
 
 
 def disclosing_terms(held: DataFrame, texts: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
@@ -144,7 +152,8 @@ def disclosing_terms(held: DataFrame, texts: DataFrame, support: int, generalise
     total = float(max(prints.count(), 1))
     together = held.groupBy("class", "with_entity", "term").agg(F.count(F.lit(1)).alias("together"))
     terms = durable(held.select("term").distinct(), "pii-terms")
-    scored = together.join(_with_term(texts, prints, terms), "term")
+    counts = durable(_with_term(texts, prints, terms), "pii-counts", after=(prints, terms))
+    scored = together.join(counts, "term")
     entity = F.col("with_entity") / F.lit(total)
     information = -F.log(entity)
     given = (F.col("together") + F.lit(float(support)) * entity) / (F.col("with_term") + F.lit(float(support)))
@@ -163,49 +172,56 @@ def _row(own: Column, text: Column) -> Column:
     return F.xxhash64(own.cast("string"), text)
 
 
-def _extra_spans(found: DataFrame, texts: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
-    """(row, extra): the spans of disclosing terms, in rows that have any."""
+def _found(named: DataFrame) -> DataFrame:
+    """(id, row, print, base, secrets, text) of every row; the text is kept only where there are base spans."""
+    based = named.select("id", "row", "print", base_spans("text").alias("base"), "text")
+    return based.select("id", "row", "print", "base", secret_spans("text").alias("secrets"), F.when(F.size("base") > 0, F.col("text")).alias("text"))
+
+
+def _spans(found: DataFrame, texts: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
+    """(row, base, spans) of the rows that have any; ``found``: a durable table as :func:`_found` gives."""
     own = found.where(F.size("base") > 0).dropDuplicates(["row"])
     once = own.dropDuplicates(["print"])
-    classes = _classes(durable(_entities(own), "pii-entities"))
-    held = durable(classes.join(once.select("print", F.explode(F.array_distinct(_terms("text"))).alias("term")), "print"), "pii-held")
+    entities = durable(_entities(own), "pii-entities")
+    held = durable(_classes(entities).join(once.select("print", F.explode(F.array_distinct(_terms("text"))).alias("term")), "print"), "pii-held", after=(entities,))
     flagged = disclosing_terms(held, texts, support, generalise, remove)
-    removed, generalised = KINDS.index("remove"), KINDS.index("generalise")
+    removed = KINDS.index("remove")
     # a term of two entities takes the stronger kind
-    hits = held.join(flagged, ["class", "term"]).groupBy("print", "term").agg(F.max(F.when(F.col("kind") == "remove", removed).otherwise(generalised)).alias("ord"))
+    strength = F.max(F.when(F.col("kind") == "remove", removed).otherwise(KINDS.index("generalise"))).alias("ord")
+    hits = held.join(flagged, ["class", "term"]).groupBy("print", "term").agg(strength)
     pieces = F.arrays_zip(F.split("text", F.lit(WORD), -1).alias("gap"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("word"))
     each = own.select("row", "print", F.posexplode(pieces).alias("i", "piece")).where("piece.word is not null")
     upto = Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     places = each.select("row", "print", "piece.word", F.sum(F.length("piece.gap") + F.length("piece.word")).over(upto).cast("int").alias("stop"))
     places = places.select("row", "print", F.lower("word").alias("term"), (F.col("stop") - F.length("word")).alias("start"), "stop")
-    hits = places.join(hits, ["print", "term"])
     span = F.struct("start", "ord", F.when(F.col("ord") == removed, "remove").otherwise("generalise").alias("kind"), "stop")
-    return durable(hits.groupBy("row").agg(F.collect_list(span).alias("extra")), "pii-extra")
+    extra = durable(places.join(hits, ["print", "term"]).groupBy("row").agg(F.collect_list(span).alias("extra")), "pii-extra", after=(held,))
+    small = found.where((F.size("base") > 0) | (F.size("secrets") > 0)).select("row", "base", "secrets").dropDuplicates(["row"])
+    return small.join(extra, "row", "left").select("row", "base", _all_spans().alias("spans"))
 
 
 def _all_spans() -> Column:
-    """``base`` and those of ``extra`` that no base span overlaps, sorted."""
-    clear = F.filter(F.coalesce("extra", F.expr(f"cast(array() as {SPAN})")), lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
-    return F.sort_array(F.concat("base", clear))
+    """``base``, ``secrets``, and those of ``extra`` that none of them overlaps, sorted."""
+    known = F.concat("base", "secrets")
+    clear = F.filter(F.coalesce("extra", F.expr(f"cast(array() as {SPAN})")), lambda t: ~F.exists(known, lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
+    return F.sort_array(F.concat(known, clear))
 
 
 def find_personal_data(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, ``base`` spans, and ``spans`` (base and disclosing terms).
+    """One row per input row: id, ``base`` spans, and ``spans`` (base, secrets and disclosing terms).
 
     A span is (start, ord, kind, stop), in code points, the end exclusive; spans are sorted by start, then
     in the order of ``KINDS``. Null and empty texts have no spans. Equal texts, letters' case
-    aside, count once. A term that overlaps a pattern's match is not listed. An empty table
-    gives an empty result. Other columns are not read.
+    aside, count once; rows that repeat an id are rows of their own. A term that overlaps a pattern's match
+    is not listed. An empty table gives an empty result. Other columns are not read.
     """
     named = _keyed(docs, id_col, text_col)
-    based = named.select("id", "row", "print", base_spans("text").alias("base"), "text")
-    # of documents without findings the text isn't kept
-    found = durable(based.withColumn("text", F.when(F.size("base") > 0, F.col("text"))), "pii-found")
-    extra = _extra_spans(found, named.select("print", "text"), support, generalise, remove)
-    small = found.select("id", "row", "base")
-    with_any = small.where(F.size("base") > 0).join(extra, "row", "left")
-    both = with_any.select("id", "base", _all_spans().alias("spans")).unionByName(small.where(F.size("base") == 0).select("id", "base", F.col("base").alias("spans")))
-    return both.withColumnRenamed("id", id_col)
+    found = durable(_found(named), "pii-found")
+    spans = _spans(found, named.select("print", "text"), support, generalise, remove)
+    some = (F.size("base") > 0) | (F.size("secrets") > 0)
+    hit = found.where(some).select("id", "row").join(spans, "row").select("id", "base", "spans")
+    none = found.where(~some).select("id", "base", F.col("base").alias("spans"))
+    return hit.unionByName(none).withColumnRenamed("id", id_col)
 
 
 def sanitised_text(text: str = "text", spans: str = "spans") -> Column:
@@ -218,17 +234,17 @@ def sanitised_text(text: str = "text", spans: str = "spans") -> Column:
 def sanitise(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with all columns, personal data and disclosing terms of ``text_col`` replaced by labels.
 
-    Rows without findings pass straight through, a null text stays null. Edge cases are as in
+    Rows without findings pass straight through, a null text stays null; no row goes. Edge cases are as in
     :func:`find_personal_data`.
     """
     names = docs.columns
     named = _keyed(docs, id_col, text_col)
-    based = named.select("id", "row", "print", base_spans("text").alias("base"), "text")
-    found = durable(based.where(F.size("base") > 0), "pii-found")
-    extra = _extra_spans(found, named.select("print", "text"), support, generalise, remove)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("own"), plain_text(F.col(text_col)).alias("text"), F.col(id_col).alias("id"))
-    packed = packed.select("own", "text", _row(F.col("id"), F.col("text")).alias("row"), base_spans("text").alias("base"))
-    clean = packed.where(F.size("base") == 0).select("own.*")
-    hit = packed.where(F.size("base") > 0).join(extra, "row", "left").select("own", "text", _all_spans().alias("spans"))
-    hit = hit.select("own", sanitised_text().alias("text")).select(*[F.col("text").alias(c) if c == text_col else F.col(f"own.`{c}`").alias(c) for c in names])
+    found = durable(_found(named).where((F.size("base") > 0) | (F.size("secrets") > 0)), "pii-found")
+    spans = durable(_spans(found, named.select("print", "text"), support, generalise, remove).select("row", "spans"), "pii-spans", after=(found,))
+    own = F.struct(*[F.col(f"`{c}`") for c in names]).alias("own")
+    packed = docs.select(own, plain_text(F.col(text_col)).alias("text"), F.col(id_col).alias("id")).select("own", "text", _row(F.col("id"), F.col("text")).alias("row"))
+    flagged = maybe_in(packed, "row", bitmap(spans, "row"))
+    clean = flagged.where("not maybe").select("own.*")
+    hit = flagged.where("maybe").join(spans, "row", "left").select("own", F.when(F.col("spans").isNotNull(), sanitised_text()).otherwise(F.col(f"own.`{text_col}`")).alias("text"))
+    hit = hit.select(*[F.col("text").alias(c) if c == text_col else F.col(f"own.`{c}`").alias(c) for c in names])
     return clean.unionByName(hit)

@@ -99,7 +99,7 @@ ORACLES["op2_risk_controlled_rules"] = _rules_sql()
 def op3_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(read_table(spark, sf_dir, "documents"))
     of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", of("email"), of("ip"), of("card"), of("phone"), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+    return found.select("doc_id", of("email"), of("ip"), of("card"), of("phone"), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 @_query
@@ -108,6 +108,31 @@ def op4_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _shards_sql() -> str:
+    """Sizes, checksums, the prefix sum and its cuts in SQL; the checksum goes byte by byte over a table made by its rule."""
+    table = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        table.append(byte)
+    return f"""
+WITH b AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, CASE WHEN coalesce(text, '') = '' THEN []
+    ELSE list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT)) END AS bytes FROM documents
+), s AS (
+  SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, {table}[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b
+), p AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id) - size AS before, sum(size) OVER () AS total, row_number() OVER (ORDER BY doc_id) AS place FROM s
+), c AS (
+  SELECT *, CAST(before * 8 // total AS INT) AS shard FROM p
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM c
+"""
+
+
+ORACLES["op4_byte_shards"] = _shards_sql()
+
+
 @_query
 def op5_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
@@ -118,8 +143,8 @@ def op5_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
     return coded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "mended",
+    )
 
 
 @_query
@@ -194,7 +219,7 @@ WITH l AS (
   SELECT key, any_value(words) AS words, any_value(n) AS n, min(place) AS first FROM k WHERE n > 0 GROUP BY key
 ), v AS (
   SELECT key, first, i, n - 1 AS m, array_to_string(list_concat(words[1:i - 1], words[i + 1:]), ' ') AS variant
-  FROM (SELECT key, first, n, words, unnest(range(1, n + 1)) AS i FROM d)
+  FROM (SELECT key, first, n, words, unnest(range(1, n + 1)) AS i FROM d WHERE n >= 5)
 ), near AS (
   SELECT a.key FROM v a JOIN v b ON a.variant = b.variant AND a.i = b.i AND a.m = b.m AND b.first < a.first
   UNION SELECT a.key FROM v a JOIN d b ON a.variant = b.key AND b.first < a.first AND b.n = a.m
