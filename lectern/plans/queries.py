@@ -485,7 +485,7 @@ def stream_frames(spark, sf_dir):
     return chat.stream_frames(_table(spark, sf_dir, "events").select("event_id", F.expr(_STREAM).alias("body")), "event_id", "body")
 
 
-@_query()
+@_query("SELECT event_id, user_id, event_type FROM events")
 def stream_log_tail(spark, sf_dir):
     schema = _table(spark, sf_dir, "events").schema
     stream = log_tail.table_stream(spark, sf_dir, "events.parquet", schema)
