@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._shared import durable
+from lectern.llm._shared import discard, durable, join_facts
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """Links every neighbour that is larger (or not larger) than a node to the least node around it."""
     if large:
         around = edges.union(edges.select("v", "u")).toDF("u", "v")
     else:
         around = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    met = around.join(least, "u")
+    least = around.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    met = join_facts(around, least, ["u"], total)  # the hub of a star may have most of the edges
     if large:
         moved = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         moved = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return moved.where("u <> v")
+    return durable(moved.where("u <> v").distinct(), "edges", after=(edges,))
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -33,13 +33,15 @@ def _settled(edges: DataFrame) -> bool:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of every node of ``edges`` (u, v) but the least of each component.
 
-    ``component`` is that least node. Each round is written to the shared folder, so the lineage stays
+    ``component`` is that least node. Each step is written to the shared folder, so the lineage stays
     short; the number of rounds grows with the logarithm of the longest path. No node's neighbours are
-    ever gathered: a step is a grouped minimum and a join, which Spark splits when a node is hot.
+    ever gathered: a step is a grouped minimum and a join, in which the nodes with most edges are broadcast.
     """
     now = durable(edges.select("u", "v").where("u <> v").distinct(), "edges")
     for _ in range(rounds):
-        if now.isEmpty() or _settled(now):
+        total = now.count()
+        if not total or _settled(now):
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        now = durable(_star(_star(now, True), False).distinct(), "edges")
+        now = _star(_star(now, True, total), False, total)
+    discard(now)
     raise RuntimeError(f"components did not settle in {rounds} rounds")

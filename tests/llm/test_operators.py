@@ -14,7 +14,7 @@ from conftest import SMALL, same_rows
 
 from pyspark.sql import functions as F
 
-from lectern.llm import _shared, _tokens, exact_dedup, line_dedup, maxent_lm, near_dedup, packing, pii, quality_pu, quality_rules, sentencepiece_codec, sharding
+from lectern.llm import _shared, _tokens, components, exact_dedup, line_dedup, maxent_lm, near_dedup, packing, pii, quality_pu, quality_rules, sentencepiece_codec, sharding
 from lectern.llm.queries import ORACLES, QUERIES, tokenizer_file
 
 LONG = " ".join(f"word{k % 977} of{k % 31}" for k in range(20_000))
@@ -359,6 +359,13 @@ def test_sentencepiece_faults_are_seen(spark, monkeypatch):
     assert got == own.whole(["some words", ""]) and mended == [True, False]
 
 
+def test_components(spark):
+    """A long path, a hub with most of the edges, and pairs."""
+    edges = [(k, k + 1) for k in range(60)] + [(1000, 1001 + k) for k in range(1500)] + [(5000, 4999), (4999, 5000), (7, 7)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {k: 0 for k in range(1, 61)} | {1001 + k: 1000 for k in range(1500)} | {5000: 4999}
+
+
 def test_near_copies_with_odd_ids(odd):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_groups(odd, 4, 0.8).collect()), key=repr)
     want = [(1, 197, 1, True), (1, 198, 1, True), (1, 1, 1, True), (None, 197, None, True), (None, 0, None, True), (2, 197, 1, False), (2, 197, 1, False), (5, 0, 5, True), (5, 0, 5, True)]
