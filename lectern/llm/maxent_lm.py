@@ -365,10 +365,11 @@ def _scored(sent):
 
 
 def lm_scores(docs: DataFrame, fold: int = 1, folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
+    """One row per input row: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``, ``gain``.
 
     Learns from the rows whose crc32 of the id as text, modulo ``folds``, isn't ``fold``, and scores all.
-    ``base_score`` is the add-half unigram log10 probability, ``score`` the model's. Null and empty texts
+    ``base_score`` is the add-half unigram log10 probability, ``score`` the model's, and ``gain`` by how much
+    a token's is higher on average: what the model has met before gains most. Null and empty texts
     have one token, the end. A null id is never held out. Rows that repeat an id or a text are rows of
     their own and count as often. With nothing to learn from, every score is 0. An empty table gives an
     empty result. Other columns are not read.
@@ -404,4 +405,4 @@ def lm_scores(docs: DataFrame, fold: int = 1, folds: int = 5, id_col: str = "doc
         F.lit(int(got.tokens)).cast("long").alias("train_tokens"),
         (F.col("seen_log") + zero("low_log") - F.col("n_tokens") * F.lit(all_log)).alias("base_score"),
         (F.col("model_log") + zero("low_model")).alias("score"),
-    )
+    ).withColumn("gain", (F.col("score") - F.col("base_score")) / F.col("n_tokens"))
