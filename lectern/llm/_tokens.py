@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _BASE = 0x9E3779B97F4A7C15
-SLICE, LONG_WORD = 1 << 20, 64
+SLICE, LONG_WORD = 1 << 18, 64
 _powers = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
 
