@@ -87,7 +87,7 @@ def _candidates(distinct: DataFrame) -> DataFrame:
     """(k1, k2, at) of the distinct lines that share a half with another one."""
     halves = F.explode(F.array_distinct(F.array(*HALVES)))
     parts = distinct.where(F.col(HALVES[0]).isNotNull()).select("k1", "k2", "at", halves.alias("half"))
-    shared = durable(parts.groupBy("half").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("half"), "line-halves")
+    shared = durable(parts.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half"), "line-halves")
     some = maybe_in(parts, "half", bitmap(shared, "half")).where("maybe").drop("maybe")
     return durable(some.join(shared, "half", "left_semi").groupBy("k1", "k2").agg(F.min("at").alias("at")), "line-candidates", after=(shared,))
 
@@ -150,12 +150,15 @@ def near_lines(docs: DataFrame, distinct: DataFrame, id_col: str = "doc_id", tex
 
     variants = durable(_variants(words), "line-variants")
     total = variants.count()
+    # only variants that come more than once meet
+    shared = durable(variants.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "line-shared")
+    some = durable(maybe_in(variants, "h", bitmap(shared, "h")).where("maybe").drop("maybe"), "line-some", after=(variants, shared))
     edited = lambda what: F.min(F.when(what, F.col("at")))
-    facts = variants.groupBy("h").agg(
+    facts = some.groupBy("h").agg(
         F.count(F.lit(1)).alias("n"), F.min("k1").alias("a"), F.max("k1").alias("b"), edited(F.col("i") >= 0).alias("longer"), edited(F.col("i") < 0).alias("itself")
     )
     facts = durable(facts.where("a <> b").select("h", "n", "longer", "itself"), "line-buckets")
-    met = durable(join_facts(variants, facts, ["h"], total), "line-meets", after=(facts, variants))
+    met = durable(join_facts(some, facts, ["h"], total), "line-meets", after=(facts, some))
     less = met.where("i >= 0").select("h", "i", "at")
     changed = durable(less.groupBy("h", "i").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("near")).where("n > 1"), "line-changed")
     pairs = (
