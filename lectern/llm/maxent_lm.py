@@ -45,6 +45,8 @@ BUCKET_SHIFT = 40
 FEWEST_ROWS, MOST_ROWS, TOKENS_A_ROW = 1 << 16, 1 << 18, 2048
 LEVELS, BLOCK = 3, 1024
 BATCH = 8192
+#: A row that is met in more tokens of a batch is summed up by itself.
+FEW = 12
 ROUNDS, RATE = 2, 0.6
 #: Words are counted in a task up to so many at a time.
 COUNTED = 1 << 21
@@ -167,12 +169,15 @@ class Learner:
         ordered, source = rows.ravel()[order], order % len(slope)
         first = np.flatnonzero(np.diff(ordered, prepend=-1))
         row, times = ordered[first], np.diff(np.append(first, len(order)))
-        # most rows are met once; the others' tokens are summed up
+        # most rows are met once; to those met a few times the second token is added, then the third ...
         total = slope.take(source[first], axis=0)
-        more = times > 1
-        if more.any():
-            starts = np.cumsum(times[more]) - times[more]
-            total[more] = np.add.reduceat(slope.take(source[np.repeat(more, times)], axis=0), starts, axis=0)
+        for k in range(1, FEW):
+            who = np.flatnonzero((times > k) & (times <= FEW))
+            if not len(who):
+                break
+            total[who] += slope.take(source[first[who] + k], axis=0)
+        for r in np.flatnonzero(times > FEW):
+            total[r] = slope.take(source[first[r] : first[r] + times[r]], axis=0).sum(axis=0)
         self.met[level][row] += times.astype(np.int32)
         self.size[level][row] += np.einsum("ij,ij->i", total, total)
         self.model.weights[level][row] -= (self.rate / np.sqrt(self.size[level][row]))[:, None] * total
