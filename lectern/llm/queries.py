@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm._shared import read_table
+from lectern.llm.byte_bpe import Vocabulary, encode_bytes
 from lectern.llm.exact_dedup import exact_groups
 from lectern.llm.line_dedup import dropped_lines
 from lectern.llm.maxent_lm import lm_scores
@@ -232,3 +233,12 @@ SELECT doc_id, count(*) FILTER (n > 0) AS n_lines, count(*) FILTER (verdict = 'c
   coalesce(string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) FILTER (verdict <> 'kept'), '') AS dropped
 FROM j GROUP BY doc_id
 """
+
+
+@_query
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = Vocabulary.read(tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = encode_bytes(read_table(spark, sf_dir, "documents"), vocabulary, packed=True)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
