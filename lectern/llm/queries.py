@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm._shared import read_table
 from lectern.llm.byte_bpe import Vocabulary, encode_bytes
+from lectern.llm.centroid_clusters import cluster_vectors
 from lectern.llm.exact_dedup import exact_groups
 from lectern.llm.line_dedup import dropped_lines
 from lectern.llm.maxent_lm import lm_scores
@@ -19,6 +20,7 @@ from lectern.llm.quality_pu import quality_scores
 from lectern.llm.quality_rules import ALPHA, DELTA, RULES, cutoffs, quality_verdicts
 from lectern.llm.sentencepiece_codec import encode_documents
 from lectern.llm.sharding import byte_shards
+from lectern.llm.source_divergence import audit_sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -235,6 +237,82 @@ FROM j GROUP BY doc_id
 """
 
 
+@_query
+def op11_block_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(read_table(spark, sf_dir, "embeddings"), k=16, rounds=3, size=64, scale=64, seed=1)
+
+
+def _clusters_sql(k: int = 16, rounds: int = 3, size: int = 64) -> str:
+    """Every round in SQL: all distances, the nearest centroid, and the floor of its members' mean."""
+    steps = [f"""
+kept AS (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: isfinite(x))) = {size}
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS c, v FROM kept QUALIFY c < {k}
+)"""]
+    nearest = f"""
+a{{0}} AS (
+  SELECT id, any_value(vec_id) AS vec_id, any_value(v) AS v, arg_min(c, d * {k} + c) AS c, min(d) AS d
+  FROM (SELECT id, vec_id, kept.v, c, CAST(list_sum(list_transform(range(1, {size + 1}), lambda i: (kept.v[i] - m.v[i]) * (kept.v[i] - m.v[i]))) AS BIGINT) AS d FROM kept, c{{0}} m) GROUP BY id
+)"""
+    moved = f"""
+c{{1}} AS (
+  SELECT m.c, coalesce(f.v, m.v) AS v FROM c{{0}} m LEFT JOIN (
+    SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v
+    FROM (SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM (SELECT c, v, unnest(range(1, {size + 1})) AS i FROM a{{0}}) GROUP BY c, i) GROUP BY c
+  ) f ON m.c = f.c
+)"""
+    for r in range(rounds):
+        steps += [nearest.format(r), moved.format(r, r + 1)]
+    steps.append(nearest.format(rounds))
+    return f"""WITH {",".join(steps)}
+SELECT vec_id, CAST(a.c AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} m ON a.c = m.c
+"""
+
+
+ORACLES["op11_block_norms"] = _clusters_sql()
+
+
+@_query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(read_table(spark, sf_dir, "documents"), least=30, top=50)
+
+
+ORACLES["op12_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), t AS (
+  SELECT id, lang, source, unnest(terms) AS term FROM d
+), k AS (
+  SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 30
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), n AS (
+  SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL
+), c AS (
+  SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n FROM g JOIN k ON g.lang = k.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term
+), p AS (
+  SELECT *, CAST(1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source)) AS BIGINT) AS p FROM c
+), w AS (
+  SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL
+), q AS (
+  SELECT lang, term, CAST(1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS BIGINT) AS q FROM w
+), pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL) f
+    ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+), best AS (
+  SELECT p.lang, p.source, 'term' AS part, p.term AS item, p - q AS value FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE n > 0 AND p > q
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INT) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM best)
+)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
 @_query
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
