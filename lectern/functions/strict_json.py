@@ -36,6 +36,34 @@ def parse_json(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_parsed(x) for x in texts], columns=["body", "problem", "error"])
 
 
+# What a client shows of a stream that it can't go on with.
+BAD_PAYLOAD, BAD_STREAM = "Failed to parse stream payload", "Stream error occurred"
+FRAME = StructType().add("payload", StringType()).add("problem", StringType())
+
+
+def _no_constant(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+def frame_payload(event: str | None, data: str | None) -> tuple[str | None, str | None]:
+    """(canonical payload, why the stream ends here) of a frame. To a client NaN and infinities are no JSON."""
+    try:
+        value = json.loads(data, parse_constant=_no_constant)
+        payload = json.dumps(value, separators=(",", ":"))
+    except (TypeError, ValueError, RecursionError):
+        return None, BAD_PAYLOAD
+    if event != "error":
+        return payload, None
+    said = value.get("error") if isinstance(value, dict) else None
+    return payload, BAD_STREAM if not said else said if isinstance(said, str) else json.dumps(said, separators=(",", ":"))
+
+
+@F.pandas_udf(FRAME)
+def frame_payloads(events: pd.Series, data: pd.Series) -> pd.DataFrame:
+    """Struct (payload, problem) of frames' event names and data."""
+    return pd.DataFrame([frame_payload(e, d) for e, d in zip(events, data)], columns=["payload", "problem"])
+
+
 def strict_json(text):
     """The canonical form of a JSON text; null where it isn't one."""
     return parse_json(text)["body"]

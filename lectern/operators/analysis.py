@@ -122,3 +122,32 @@ def merge_maps(left, right):
     """Two maps of maps, united one level down; the right side wins, with its nulls too."""
     one = lambda k, a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.map_zip_with(a, b, lambda k2, x, y: F.when(F.map_contains_key(b, k2), y).otherwise(x)))
     return F.map_zip_with(left, right, one)
+
+
+def fold_updates(updates: DataFrame, thread: str, order: str, update: str) -> DataFrame:
+    """(thread, section, field, value): any number of partial results (JSON objects of sections) merged in their order.
+
+    A section that is an object is united with what was there, field by field, the later value winning, null
+    too; any other value, null too, replaces the section, and an object replaces such a value. ``value`` is
+    JSON text; a section that is no object, or an empty one, has one row with a null ``field``. What isn't
+    a JSON object changes nothing. Places are unique in a thread; of equal ones a value that is no object goes before
+    one that is, and a greater text before a smaller one.
+
+    All is by grouped maxima of places, so partial aggregates meet in any order and no task holds a session.
+    """
+    parsed = F.try_variant_get(F.try_parse_json(F.col(update)), "$", "map<string,variant>")
+    rows = updates.select(F.col(thread).alias("thread"), F.col(order).alias("place"), F.explode(parsed).alias("section", "v"))
+    fields = F.try_variant_get("v", "$", "map<string,variant>")
+    each = rows.select("thread", "place", "section", fields.alias("fields"), F.to_json("v").alias("value"))
+    plain = F.when(F.col("fields").isNull(), F.struct("place", "value"))
+    last = each.groupBy("thread", "section").agg(F.max(plain).alias("plain"), F.max(F.when(F.col("fields").isNotNull(), F.col("place"))).alias("last_object"))
+    is_object = F.col("last_object").isNotNull() & (F.col("plain").isNull() | (F.col("last_object") > F.col("plain.place")))
+    inner = each.select("thread", "place", "section", F.explode("fields").alias("field", "v")).groupBy("thread", "section", "field")
+    newest = inner.agg(F.max(F.struct("place", F.to_json("v").alias("value"))).alias("own"))
+    objects = last.where(is_object).select("thread", "section", F.col("plain.place").alias("cut"))
+    same = F.col("o.thread").eqNullSafe(F.col("n.thread")) & (F.col("o.section") == F.col("n.section"))
+    later = F.col("cut").isNull() | (F.col("n.own.place") > F.col("cut"))
+    kept = objects.alias("o").join(newest.alias("n"), same & later).select("o.thread", "o.section", "field", F.col("n.own.value").alias("value"))
+    bare = objects.alias("o").join(kept.select("thread", "section").distinct().alias("n"), same, "left_anti").select("thread", "section", F.lit(None).cast("string").alias("field"), F.lit("{}").alias("value"))
+    others = last.where(~is_object).select("thread", "section", F.lit(None).cast("string").alias("field"), F.col("plain.value").alias("value"))
+    return kept.unionByName(bare).unionByName(others).withColumnRenamed("thread", thread)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.strict_json import parse_json
+from lectern.functions.strict_json import frame_payloads
 from lectern.functions.text import strip
 
 MOST_QUERY = 5000
@@ -78,13 +78,15 @@ def stream_frames(streams: DataFrame, key: str, body: str) -> DataFrame:
     """(key, frame_no, event, payload, problem) of whole event streams: one row a frame that has data.
 
     Line ends are made alike, frames are cut at blank lines, what follows the last blank line is not a
-    frame yet. The payload is the data's canonical JSON; data that isn't JSON has a ``problem``.
+    frame yet. The payload is the data's canonical JSON. A client reads no further than the first
+    ``problem``: data that isn't JSON, or an ``error`` event, whose message it is. Keys are unique.
     """
     whole = F.split(F.regexp_replace(F.regexp_replace(body, "\r\n", "\n"), "\r", "\n"), "\n\n", -1)
     frames = streams.select(key, F.posexplode(F.slice(whole, F.lit(1), F.size(whole) - 1)).alias("frame_no", "frame"))
     parsed = frames.where(strip(F.col("frame")) != "").select(key, "frame_no", parse_frame(strip(F.col("frame"))).alias("f")).where("f.data is not null")
-    read = parsed.select(key, "frame_no", "f.event", parse_json("f.data").alias("j"))
-    return read.select(key, "frame_no", "event", F.col("j.body").alias("payload"), F.when(F.col("j.body").isNull(), "Failed to parse stream payload").alias("problem"))
+    read = parsed.select(key, "frame_no", "f.event", frame_payloads("f.event", "f.data").alias("j")).select(key, "frame_no", "event", "j.*")
+    ends = F.min(F.when(F.col("problem").isNotNull(), F.col("frame_no"))).over(Window.partitionBy(key))
+    return read.withColumn("ends", ends).where(F.col("ends").isNull() | (F.col("frame_no") <= F.col("ends"))).drop("ends")
 
 
 def event(name: str, **fields: Column) -> Column:

@@ -6,15 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import strip
-from lectern.sources.shared import durable
+from lectern.sources.state_store import StateStore
 
 # Fixed values
 GENERATE, AWAITING, DONE = "generate_gamma", "awaiting_review", "complete"
 
 
-def pause(found: DataFrame, name: str = "verdicts") -> DataFrame:
-    """Verdicts written as a checkpoint, with ``state`` awaiting review; a second job goes on from them."""
-    return durable(found.withColumn("state", F.lit(AWAITING)), name)
+def pause(found: DataFrame, store: StateStore, token: str) -> DataFrame:
+    """Publishes verdicts as states that await review, with no ``route`` yet, and returns all states.
+
+    They outlive the application: any later one goes on from ``store``. A job that is run again with its
+    ``token`` changes nothing.
+    """
+    store.publish(found.withColumns({"state": F.lit(AWAITING), "route": F.lit(None).cast("string")}), token)
+    return store.read()
 
 
 def wants_presentation(action: Column) -> Column:
@@ -33,6 +38,19 @@ def resume(awaiting: DataFrame, reviews: DataFrame, thread: str) -> DataFrame:
     return joined.withColumn("route", route).withColumn("state", F.when(F.col("generate").isNull(), F.col("state")).otherwise(DONE)).drop("generate")
 
 
+def resume_stored(store: StateStore, reviews: DataFrame, token: str) -> DataFrame:
+    """Resumes stored sessions with their decisions (key, action), publishes those that went on, and returns all states.
+
+    Sessions that are over stay as they are. With nothing stored that is an error.
+    """
+    states = store.read()
+    if states is None:
+        raise LookupError("no session awaits a review in this store")
+    decided = resume(states.where(F.col("state") == AWAITING).drop("route"), reviews, store.key)
+    store.publish(decided.where(F.col("route").isNotNull()), token)
+    return store.read()
+
+
 def review_responses(resumed: DataFrame, thread: str, links: DataFrame | None = None) -> DataFrame:
     """(thread, status, link) of every decided session; a link only where a presentation was made (thread, link)."""
     done = resumed.where(F.col("route").isNotNull())

@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions.strict_json import flat_content
-from lectern.operators import analysis, assemble, chat, model, progress, review, verdict
+from lectern.operators import analysis, assemble, brands, chat, model, progress, review, search, session_states, verdict
 from lectern.operators.analysis import ANALYZERS, RECORDS, SEVERITIES
-from lectern.sources import intake
-from lectern.sources.shared import shared_folder
-from lectern.streaming import log_tail
+from lectern.sources import intake, pdf, pdf_writer
+from lectern.sources.shared import durable, scratch, shared_folder
+from lectern.sources.state_store import StateStore
+from lectern.streaming import events, frames, log_tail
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +42,78 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- search, brands and merges of partial results ---------------------------------------------------
+
+_ITEM = "'Item ' || l_linenumber || ': ' || p_name || ' (' || p_brand || ')' || CASE l_returnflag WHEN 'R' THEN ' or equivalent' WHEN 'A' THEN ', or an approved equal' ELSE '' END"
+_PLACED = "SELECT l_orderkey, p_name, p_brand, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS clause_no FROM lineitem JOIN part ON p_partkey = l_partkey"
+
+
+def _tenders(spark, sf_dir) -> DataFrame:
+    """(order, text): an order's lines as the items of a tender, one clause a line."""
+    lines = _table(spark, sf_dir, "lineitem").join(_table(spark, sf_dir, "part"), F.expr("p_partkey = l_partkey"))
+    items = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", F.expr(_ITEM).alias("item"))))
+    return lines.groupBy("l_orderkey").agg(F.concat_ws(". ", items["item"]).alias("text"))
+
+
+@_query(f"""SELECT l_orderkey, clause_no::INT AS clause_no, brand, count(*) AS n, bool_or(l_returnflag IN ('R', 'A')) AS equivalent
+FROM (SELECT *, unnest([lower(p_name), lower(p_brand)]) AS brand FROM ({_PLACED})) GROUP BY l_orderkey, clause_no, brand""")
+def brand_mentions(spark, sf_dir):
+    parts = _table(spark, sf_dir, "part")
+    names = parts.select(F.col("p_brand").alias("name")).unionByName(parts.select(F.col("p_name").alias("name")))
+    return brands.brand_mentions(_tenders(spark, sf_dir), names, "l_orderkey", "text", "name")
+
+
+@_query(f"""SELECT l_orderkey, count(DISTINCT brand) AS n_brands, count(DISTINCT CASE WHEN l_returnflag NOT IN ('R', 'A') THEN brand END) AS n_restrictive,
+  CASE WHEN bool_or(l_returnflag NOT IN ('R', 'A')) THEN 'high' ELSE 'low' END AS severity
+FROM (SELECT *, unnest([lower(p_name), lower(p_brand)]) AS brand FROM ({_PLACED})) GROUP BY l_orderkey""")
+def brand_restrictions(spark, sf_dir):
+    return brands.restrictive(brand_mentions(spark, sf_dir), "l_orderkey")
+
+
+@_query(r"""WITH p AS (
+  SELECT page_id, list_filter(regexp_split_to_array(lower(replace(replace(replace(replace(replace(regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[^>]*>', ' ', 'g'),
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&')), '[^\p{L}\p{N}]+'), lambda t: t <> '') AS terms FROM pages
+), f AS (
+  SELECT count(*) AS n, CAST(sum(len(terms)) AS DOUBLE) / count(*) AS mean FROM p
+), t AS (
+  SELECT page_id, len, term, count(*) AS tf FROM (SELECT page_id, len(terms) AS len, unnest(terms) AS term FROM p) GROUP BY ALL
+), d AS (
+  SELECT term, count(*) AS df FROM t GROUP BY term
+), q AS (
+  SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(lower(text[1:200]), '[^\p{L}\p{N}]+'), lambda t: t <> '')) AS term FROM benchmark
+), s AS (
+  SELECT item_id, page_id, CAST(sum(CAST(floor(1000000 * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * (1.2::DOUBLE + 1) / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * len / mean))) AS BIGINT)) AS BIGINT) AS score
+  FROM q JOIN d ON d.term = q.term JOIN t ON t.term = q.term, f GROUP BY ALL
+)
+SELECT item_id, page_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, page_id) AS INT) AS rank FROM s QUALIFY rank <= 3""")
+def market_search(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages").select("page_id", search.page_text(F.col("html")).alias("text"))
+    asked = _table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 200).alias("words"))
+    return search.top_pages(pages, asked, "page_id", "text", "item_id", "words")
+
+
+_PARTIAL = """concat('{"', event_type, '": ', CASE WHEN k % 10 = 0 THEN cast(k as string) WHEN k % 10 = 1 THEN '{}'
+  ELSE concat('{"f', k % 4, '": "', event_id, '", "last": ', CASE WHEN k % 3 = 0 THEN 'null' ELSE cast(k as string) END, '}') END, '}')"""
+
+
+@_query("""WITH e AS (
+  SELECT user_id, event_id, event_type AS section, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events
+), c AS (
+  SELECT user_id, section, max(event_id) FILTER (k % 10 = 0) AS cut, arg_max(k, event_id) FILTER (k % 10 = 0) AS plain, max(event_id) FILTER (k % 10 <> 0) AS last FROM e GROUP BY ALL
+), i AS (
+  SELECT user_id, section, field, max(event_id) AS at, arg_max(value, event_id) AS value FROM (
+    SELECT user_id, event_id, section, 'f' || k % 4 AS field, '"' || event_id || '"' AS value FROM e WHERE k % 10 > 1
+    UNION ALL SELECT user_id, event_id, section, 'last', CASE WHEN k % 3 = 0 THEN 'null' ELSE CAST(k AS VARCHAR) END FROM e WHERE k % 10 > 1) GROUP BY ALL
+), o AS (
+  SELECT c.user_id, c.section, i.field, i.value FROM c LEFT JOIN i ON i.user_id = c.user_id AND i.section = c.section AND (cut IS NULL OR i.at > cut) WHERE last IS NOT NULL AND (cut IS NULL OR last > cut)
+)
+SELECT user_id, section, field, CASE WHEN field IS NULL THEN '{}' ELSE value END AS value FROM o
+UNION ALL SELECT user_id, section, NULL, CAST(plain AS VARCHAR) FROM c WHERE cut IS NOT NULL AND (last IS NULL OR last < cut)""")
+def folded_updates(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return analysis.fold_updates(rows.withColumn("update", F.expr(_PARTIAL)), "user_id", "event_id", "update")
+
+
 # --- intake and text ---------------------------------------------------------------------------
 
 _SESSIONS = "uploads AS (SELECT *, doc_id // 3 AS session, doc_id % 3 + 1 AS ord FROM documents)"
@@ -69,6 +142,21 @@ def parsed_pages(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.md5(assemble.parsed_or_error(pages, F.expr(_PARSE))).alias("text_md5"))
 
 
+_PDF_LINES = r"regexp_extract_all(regexp_replace(coalesce(text, ''), '[\\x00-\\x1F\\x7F-\\x9F]', ' '{}), '(?s).{{1,80}}'{})"
+
+
+@_query(f"""WITH l AS (
+  SELECT doc_id, {_PDF_LINES.replace(chr(92) * 2, chr(92)).format(", 'g'", "")} AS lines FROM documents
+) SELECT doc_id, p AS page_no, md5(array_to_string(lines[(p - 1) * 50 + 1:p * 50], chr(10))) AS text_md5, NULL::VARCHAR AS error
+FROM (SELECT doc_id, lines, CAST(unnest(range(1, (len(lines) + 49) // 50 + 1)) AS INT) AS p FROM l)""")
+def pdf_pages(spark, sf_dir):
+    """Documents written as PDF files, 50 lines a page, and read page by page."""
+    lines = _table(spark, sf_dir, "documents").select("doc_id", F.expr(_PDF_LINES.format("", ", 0")).alias("lines"))
+    paged = F.expr("CASE WHEN size(lines) > 0 THEN transform(sequence(0, (size(lines) - 1) div 50), p -> slice(lines, cast(p * 50 + 1 as int), 50)) END")
+    files = pdf_writer.write_pdfs(lines.select("doc_id", paged.alias("pages")), "doc_id", "pages")
+    return pdf.read_pages(files, "doc_id").select("doc_id", "page_no", F.md5("text").alias("text_md5"), "error")
+
+
 _KIND = "CASE lang WHEN 'en' THEN 'application/pdf; v=1' WHEN 'fr' THEN '' WHEN 'de' THEN NULL ELSE 'text/plain' END"
 
 
@@ -264,9 +352,11 @@ _ACTION = "CASE session % 4 WHEN 0 THEN 'generate_gamma' WHEN 3 THEN NULL ELSE '
 
 
 def _resumed(spark, sf_dir) -> DataFrame:
-    awaiting = review.pause(verdict_by_session(spark, sf_dir))
+    """Verdicts that one job pauses and another one, in a session of its own, goes on with."""
+    folder = scratch(spark, "sessions")
+    awaiting = review.pause(verdict_by_session(spark, sf_dir), StateStore(spark, folder, "session"), "verdicts")
     reviews = awaiting.select("session", F.expr(_ACTION).alias("action")).where("action is not null")
-    return review.resume(awaiting, reviews, "session")
+    return review.resume_stored(StateStore(spark, folder, "session"), reviews, "decisions")
 
 
 @_query(f"WITH {_VERDICT} SELECT session, status, CASE WHEN {_ACTION} IS NULL THEN 'awaiting_review' ELSE 'complete' END AS state, CASE {_ACTION} WHEN 'generate_gamma' THEN 'presentation' WHEN 'chat_only' THEN 'end' END AS route FROM verdict")
@@ -274,6 +364,18 @@ def review_route(spark, sf_dir):
     return _resumed(spark, sf_dir).select("session", "status", "state", "route")
 
 
+@_query(f"WITH {_VERDICT} SELECT session, status, CASE WHEN {_ACTION} IS NULL THEN 'awaiting_review' ELSE 'complete' END AS state, CASE {_ACTION} WHEN 'generate_gamma' THEN 'presentation' WHEN 'chat_only' THEN 'end' END AS route, 2 AS version FROM verdict")
+def review_resumed(spark, sf_dir):
+    """Both jobs run again, each in a session of its own: what is stored stays as it is, and later decisions change nothing."""
+    folder = scratch(spark, "sessions")
+    store = lambda: StateStore(spark.newSession(), folder, "session")
+    for _ in range(2):
+        awaiting = review.pause(verdict_by_session(spark, sf_dir), store(), "verdicts")
+        review.resume_stored(store(), awaiting.select("session", F.expr(_ACTION).alias("action")).where("action is not null"), "decisions")
+    found = StateStore(spark, folder, "session")
+    return found.read().select("session", "status", "state", "route", F.lit(found.latest()["version"]).alias("version"))
+
+
 @_query("SELECT DISTINCT doc_id // 3 AS session, 'complete' AS status, CASE (doc_id // 3) % 8 WHEN 0 THEN 'link ' || (doc_id // 3) END AS link FROM documents WHERE (doc_id // 3) % 4 <> 3")
 def review_responses(spark, sf_dir):
     resumed = _resumed(spark, sf_dir)
@@ -423,6 +525,31 @@ def ui_states(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", F.col("event_id").alias("k")).select("event_id", review.ui_state(**facts).alias("state"))
 
 
+_SENT = """CASE event_type WHEN 'signup' THEN CASE k % 4 WHEN 0 THEN 'upload' WHEN 1 THEN 'uploaded' WHEN 2 THEN 'upload_failed' ELSE 'reset' END WHEN 'view' THEN CASE k % 3 WHEN 0 THEN 'stream_complete' ELSE 'verdict' END
+  WHEN 'purchase' THEN CASE k % 4 WHEN 0 THEN 'generate' WHEN 1 THEN 'generated' WHEN 2 THEN 'generate_failed' ELSE 'declined' END WHEN 'error' THEN CASE k % 2 WHEN 0 THEN 'stream_error' END ELSE 'thinking_log' END"""
+
+
+@_query(f"""WITH e AS (
+  SELECT user_id, event_id, coalesce({_SENT}, '') AS kind FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+), f AS (
+  SELECT user_id, count(*) AS n_events, list_reduce(list_prepend('idle|0|0', list(kind ORDER BY event_id)), lambda s, e:
+    CASE WHEN e = 'upload' THEN 'uploading|' || split_part(s, '|', 2) || '|' || split_part(s, '|', 3)
+      WHEN e = 'uploaded' THEN 'thinking|1|1'
+      WHEN e = 'upload_failed' THEN 'idle|' || split_part(s, '|', 2) || '|' || split_part(s, '|', 3)
+      WHEN e = 'verdict' AND split_part(s, '|', 3) = '1' THEN 'verdict|' || split_part(s, '|', 2) || '|1'
+      WHEN e = 'stream_complete' THEN split_part(s, '|', 1) || '|' || split_part(s, '|', 2) || '|0'
+      WHEN e = 'stream_error' AND split_part(s, '|', 3) = '1' THEN 'idle|' || split_part(s, '|', 2) || '|0'
+      WHEN e = 'generate' AND split_part(s, '|', 2) = '1' THEN 'generating|1|' || split_part(s, '|', 3)
+      WHEN e IN ('generated', 'declined') AND split_part(s, '|', 2) = '1' THEN 'complete|1|' || split_part(s, '|', 3)
+      WHEN e = 'generate_failed' AND split_part(s, '|', 2) = '1' THEN 'verdict|1|' || split_part(s, '|', 3)
+      WHEN e = 'reset' THEN 'idle|0|0' ELSE s END) AS s
+  FROM e GROUP BY user_id
+) SELECT user_id, n_events, split_part(s, '|', 1) AS state, split_part(s, '|', 2) = '1' AS has_session, split_part(s, '|', 3) = '1' AS connected FROM f""")
+def session_ui_states(spark, sf_dir):
+    sent = _table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return session_states.session_states(sent.withColumn("kind", F.expr(_SENT)), "user_id", "event_id", "kind")
+
+
 @_query("""SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 'upload' WHEN trim(m) = '' THEN 'none' WHEN s IN ('verdict', 'complete') THEN 'chat' WHEN s = 'idle' THEN 'remind' ELSE 'none' END AS route
 FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 2 THEN '  ' ELSE text END AS m, CASE conv_id % 4 WHEN 0 THEN 'verdict' WHEN 1 THEN 'complete' WHEN 2 THEN 'idle' ELSE 'thinking' END AS s FROM conversations)""")
 def send_routes(spark, sf_dir):
@@ -479,8 +606,8 @@ def sse_frames(spark, sf_dir):
 _STREAM = "': hello' || chr(13) || chr(10) || chr(13) || chr(10) || 'event: chat_start' || chr(10) || 'data: {\"n\": ' || event_id || '}' || chr(13) || chr(10) || chr(13) || chr(10) || 'event: bad' || chr(10) || 'data: x ' || chr(10) || chr(10) || 'data: [1,' || chr(10) || 'data: 2]' || chr(10) || chr(10) || 'data: 9'"
 
 
-@_query("""SELECT event_id, frame_no::INT AS frame_no, CASE frame_no WHEN 1 THEN 'chat_start' WHEN 2 THEN 'bad' ELSE 'message' END AS event,
-  CASE frame_no WHEN 1 THEN '{"n":' || event_id || '}' WHEN 3 THEN '[1,2]' END AS payload, CASE frame_no WHEN 2 THEN 'Failed to parse stream payload' END AS problem FROM events, (VALUES (1), (2), (3)) f(frame_no)""")
+@_query("""SELECT event_id, frame_no::INT AS frame_no, CASE frame_no WHEN 1 THEN 'chat_start' ELSE 'bad' END AS event,
+  CASE frame_no WHEN 1 THEN '{"n":' || event_id || '}' END AS payload, CASE frame_no WHEN 2 THEN 'Failed to parse stream payload' END AS problem FROM events, (VALUES (1), (2)) f(frame_no)""")
 def stream_frames(spark, sf_dir):
     return chat.stream_frames(_table(spark, sf_dir, "events").select("event_id", F.expr(_STREAM).alias("body")), "event_id", "body")
 
@@ -493,6 +620,22 @@ def stream_log_tail(spark, sf_dir):
     return log_tail.drain(stream.select("event_id", "user_id", "event_type"), shared_folder(spark)).dropDuplicates(["event_id"])
 
 
+_CHUNKED = """concat('event: chat_start\\r\\ndata: {"n":', turn, '}\\r\\n\\r\\n: keep-alive\\n\\nevent: chat_delta\\ndata: ', to_json(named_struct('delta', text)), '\\n\\n',
+  CASE WHEN role = 'user' THEN 'event: error\\ndata: {"error":"gone"}\\n\\n' WHEN turn % 4 = 1 THEN 'data: NaN\\n\\n' ELSE '' END, 'event: chat_complete\\ndata: {"delta":1}\\n\\nevent: cut\\ndata: 2')"""
+
+
+@_query("""SELECT conv_id * 1000 + turn AS message_id, frame_no, CASE frame_no WHEN 0 THEN 'chat_start' WHEN 2 THEN 'chat_delta' ELSE CASE WHEN role = 'user' THEN 'error' WHEN turn % 4 = 1 THEN 'message' ELSE 'chat_complete' END END AS event,
+  CASE frame_no WHEN 2 THEN md5(text) WHEN 3 THEN CASE WHEN role <> 'user' AND turn % 4 <> 1 THEN md5('1') END END AS delta_md5,
+  CASE WHEN frame_no = 3 AND role = 'user' THEN 'gone' WHEN frame_no = 3 AND turn % 4 = 1 THEN 'Failed to parse stream payload' END AS problem
+FROM conversations, (VALUES (0::BIGINT), (2), (3)) f(frame_no)""")
+def frames_of_chunks(spark, sf_dir):
+    """Streams that arrive in chunks of 11 bytes, cut anywhere, and end at a client's first problem."""
+    bodies = _table(spark, sf_dir, "conversations").select(F.expr("conv_id * 1000 + turn").alias("message_id"), F.encode(F.expr(_CHUNKED), "UTF-8").alias("body"))
+    cut = bodies.select("message_id", F.expr("inline(transform(sequence(0, (octet_length(body) - 1) div 11), i -> struct(i AS seq, substring(body, cast(i * 11 + 1 as int), 11) AS chunk)))"))
+    found = frames.chunked_frames(cut, "message_id", "seq", "chunk")
+    return found.select("message_id", "frame_no", "event", F.md5(F.get_json_object("payload", "$.delta")).alias("delta_md5"), "problem")
+
+
 # --- chat --------------------------------------------------------------------------------------------
 
 
@@ -531,6 +674,29 @@ def chat_events(spark, sf_dir):
     return chat.chat_events(rows, ends, "conv_id", "turn", "role")
 
 
+@_query("""WITH m AS (
+  SELECT conv_id * 1000 + turn AS message_id, turn, role, coalesce(text, '') AS text, CASE WHEN coalesce(text, '') = '' THEN [] ELSE regexp_extract_all(text, '(?s).{1,60}') END AS pieces FROM conversations
+), e AS (
+  SELECT message_id, -1::BIGINT AS seq, 'chat_start' AS event, '{"message_id":' || message_id || ',"timestamp":' || turn || '}' AS data FROM m
+  UNION ALL SELECT message_id, i - 1, 'chat_delta', '{"message_id":' || message_id || ',"delta":' || CAST(to_json(pieces[i]) AS VARCHAR) || '}' FROM (SELECT message_id, pieces, unnest(range(1, len(pieces) + 1)) AS i FROM m)
+  UNION ALL SELECT message_id, 9223372036854775807, 'chat_complete', '{"message_id":' || message_id || ',"response":' || CAST(to_json(text) AS VARCHAR) || ',"timestamp":' || turn || '}' FROM m WHERE role <> 'user' AND text <> ''
+  UNION ALL SELECT message_id, 9223372036854775807, 'error', '{"message_id":' || message_id || ',"error":"no answer"}' FROM m WHERE role <> 'user' AND text = ''
+) SELECT message_id, seq, event, md5(data) AS data_md5 FROM e""")
+def chat_stream_events(spark, sf_dir):
+    """Each turn as an answer that is generated piece by piece: its rows come out of order, in several micro-batches."""
+    turns = _table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    end = "CASE WHEN role = 'user' THEN 'gone' WHEN text = '' THEN 'error' ELSE 'complete' END"
+    row = "struct(cast({} as long) AS seq, {} AS kind, {} AS delta)".format
+    pieces = turns.select("*", F.expr("regexp_extract_all(text, '(?s).{1,60}', 0)").alias("pieces"))
+    each = F.expr(f"inline(concat(array({row(-1, repr('start'), 'cast(null as string)')}), transform(pieces, (p, i) -> {row('i', repr('delta'), 'p')}), array({row('size(pieces)', end, repr('no answer'))})))")
+    rows = pieces.select(F.expr("conv_id * 1000 + turn").alias("message_id"), F.col("turn").cast("long").alias("timestamp"), each)
+    dealt = durable(rows.repartition(9, "message_id", "seq"), "chat-rows")
+    stream = spark.readStream.schema(dealt.schema).option("maxFilesPerTrigger", 3).parquet(dealt.durable_path)
+    folder = scratch(spark, "chat")
+    events.chat_sink(stream, folder, once=True).awaitTermination()
+    return events.events_of(spark, folder).select("message_id", "seq", "event", F.md5("data").alias("data_md5"))
+
+
 _CONTENT = """CASE turn % 6 WHEN 0 THEN '"' || role || '"' WHEN 1 THEN '["a", {"type": "text", "text": "' || role || '"}, [null, "c"]]' WHEN 2 THEN '{"text": 5, "content": {"text": "' || role || '"}}'
   WHEN 3 THEN '{"other": 1}' WHEN 4 THEN '12' ELSE role END"""
 

@@ -60,6 +60,15 @@ def durable(df: DataFrame, name: str, after: tuple[DataFrame, ...] = ()) -> Data
     return out
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, for what goes when the application ends."""
+    path = f"{shared_folder(spark)}/lectern-{name}-{uuid.uuid4().hex}"
+    fs, target = _target(spark, path)
+    fs.mkdirs(target)
+    fs.deleteOnExit(target)
+    return path
+
+
 def discard(table: DataFrame) -> None:
     """Deletes the files of a durable table that nothing reads any more."""
     fs, target = _target(table.sparkSession, table.durable_path)

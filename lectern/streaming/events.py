@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lectern.operators.chat import chat_events
+from lectern.streaming.chat_stream import chat_stream
 
 POLL = "500 milliseconds"
+#: Whether a query goes on without new rows; it takes the setting that holds when it starts.
+IDLE_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
 def event_sink(stream: DataFrame, to_events: Callable[[DataFrame], DataFrame], folder: str, once: bool = False) -> StreamingQuery:
@@ -25,36 +27,22 @@ def event_sink(stream: DataFrame, to_events: Callable[[DataFrame], DataFrame], f
     def write(batch: DataFrame, number: int) -> None:
         to_events(batch).write.mode("overwrite").parquet(f"{folder}/events/batch={number}")
 
-    return _started(stream, write, folder, once)
-
-
-def _started(stream: DataFrame, write, folder: str, once: bool) -> StreamingQuery:
     trigger = {"availableNow": True} if once else {"processingTime": POLL}
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(**trigger).start()
 
 
 def chat_sink(stream: DataFrame, folder: str, once: bool = False) -> StreamingQuery:
-    """Chat events of a stream of (message_id, seq, kind, delta, timestamp); kind: start, delta, complete, gone, error.
+    """Writes the chat events of a stream of (message_id, seq, kind, delta, timestamp), see :func:`chat_stream`.
 
-    Deltas are sent as they come and kept in ``folder/deltas``; when a message ends, its response is put
-    together from what is kept. A client that has gone gets no end; an error carries its text in ``delta``.
+    With ``once`` timers are looked at with the new rows only, as a query with timers would else wait for ever.
     """
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.where("kind = 'delta'").select("message_id", "seq", "delta").write.mode("overwrite").parquet(f"{folder}/deltas/batch={number}")
-        kept = spark.read.parquet(f"{folder}/deltas").select("message_id", "seq", "delta")
-        at = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("timestamp")))
-        facts = batch.groupBy("message_id").agg(
-            at("start").alias("started"), at("complete").alias("ended"), F.bool_or(F.col("kind") == "gone").alias("disconnected"),
-            F.max(F.when(F.col("kind") == "error", F.col("delta"))).alias("error"), F.bool_or(F.col("kind").isin("complete", "error")).alias("over"),
-        )
-        now = chat_events(batch.where("kind = 'delta'"), facts.where("started is not null"), "message_id", "seq", "delta").where("event in ('chat_start', 'chat_delta')")
-        over = facts.where("over").drop("over")
-        ends = chat_events(kept.join(over, "message_id", "left_semi"), over, "message_id", "seq", "delta").where("event in ('chat_complete', 'error')")
-        now.unionByName(ends).write.mode("overwrite").parquet(f"{folder}/events/batch={number}")
-
-    return _started(stream, write, folder, once)
+    spark = stream.sparkSession
+    before = spark.conf.get(IDLE_BATCHES)
+    spark.conf.set(IDLE_BATCHES, str(not once).lower())
+    try:
+        return event_sink(chat_stream(stream), lambda events: events, folder, once)
+    finally:
+        spark.conf.set(IDLE_BATCHES, before)
 
 
 def events_of(spark: SparkSession, folder: str) -> DataFrame:

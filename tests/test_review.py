@@ -212,7 +212,7 @@ def test_settings_and_sessions(spark):
 
 
 def test_waiting_sessions(spark):
-    found = review.pause(spark.createDataFrame([(1, "PASS"), (2, "FAIL"), (3, "PASS")], "t int, status string"))
+    found = spark.createDataFrame([(1, "PASS"), (2, "FAIL"), (3, "PASS")], "t int, status string").withColumn("state", F.lit(review.AWAITING))
     reviews = spark.createDataFrame([(1, "generate_gamma"), (1, "chat_only"), (2, "chat_only")], "t int, action string")
     assert {(r.t, r.state, r.route) for r in review.resume(found, reviews, "t").collect()} == {(1, "complete", "presentation"), (2, "complete", "end"), (3, "awaiting_review", None)}
 
