@@ -26,7 +26,7 @@ from lectern.llm._tokens import mix, small
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Keys of at most NARROW bytes are looked up apart from longer ones, so that few bytes are padding.
 NARROW = 16
-#: Merged pieces that a worker remembers, of at most REMEMBERED_BYTES bytes each; texts of more than LONG characters are cut piece by piece.
+#: Merged pieces that a worker remembers, twice over at most, of at most REMEMBERED_BYTES bytes each; texts of more than LONG characters are cut piece by piece.
 REMEMBERED, REMEMBERED_BYTES, LONG, PIECES = 400_000, 64, 1 << 20, 1 << 16
 
 
@@ -175,6 +175,7 @@ class Coder:
                 if a is not None and b is not None:
                     self.joins[a * self.many + b] = made
         self.merged: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """The tokens of a piece that is none itself: pairs join by lowest rank, the leftmost of equals."""
@@ -214,20 +215,22 @@ class Coder:
 
     def resolve(self, pieces: set[str]) -> dict[str, bytes]:
         """The packed tokens of distinct pieces."""
-        merged = self.merged
+        if len(self.merged) > REMEMBERED:  # what was needed since stays for another round
+            self.merged, self.older = {}, self.merged
+        merged, older = self.merged, self.older
         out = {name: merged[name] for name in pieces & merged.keys()}
-        names = list(pieces - out.keys())
+        rest = pieces - out.keys()
+        for name in rest & older.keys():
+            out[name] = merged[name] = older[name]
+        names = list(rest - older.keys())
         keys = [x.encode() for x in names]
-        at = self.vocabulary.hash.find(keys).tolist()
-        if len(merged) + at.count(-1) > REMEMBERED:
-            merged.clear()
-        for name, key, place in zip(names, keys, at):
+        for name, key, place in zip(names, keys, self.vocabulary.hash.find(keys).tolist()):
             if place >= 0:
                 out[name] = self.packed[place]
                 continue
             own = self.merge(key)
             out[name] = found = struct.pack(f"<{len(own)}I", *own)
-            if len(key) <= REMEMBERED_BYTES and len(merged) < REMEMBERED:
+            if len(key) <= REMEMBERED_BYTES:
                 merged[name] = found
         return out
 
