@@ -435,14 +435,15 @@ def test_exact_copies(docs, none, bits):
 
 
 def test_quality_classifier(spark, docs, none, labels):
-    big = "/root/testdata/sf0.01"
-    lab = spark.read.parquet(f"{big}/labels.parquet")
-    table = spark.read.parquet(f"{big}/documents.parquet")
+    # sf0.01 has 11 bad texts held out, too few to tell a share of them; sf0.1 has ten times as many
+    read = lambda sf, name: spark.read.parquet(f"/root/testdata/sf{sf}/{name}.parquet")
+    table, lab = read("0.1", "documents"), read("0.1", "labels")
     got = quality_pu.quality_scores(table, lab).join(lab, "doc_id").where("held_out").toPandas()
     assert got.score.between(0, 1).all()
     good, bad = got[got.quality == 1].score.to_numpy(), got[got.quality == 0].score.to_numpy()
     auc = (good[:, None] > bad[None, :]).mean() + (good[:, None] == bad[None, :]).mean() / 2
     assert auc > 0.95 and (bad < 0.3).mean() > 0.5 and (good >= 0.3).mean() > 0.98
+    table, lab = read("0.01", "documents"), read("0.01", "labels")
     kept = {r.doc_id for r in quality_pu.keep_good(table, lab).select("doc_id").collect()}
     assert kept == {r.doc_id for r in quality_pu.quality_scores(table, lab).where("predicted = 1").collect()}
     assert quality_pu.quality_scores(docs, labels).count() == len(TEXTS)
