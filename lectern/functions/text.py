@@ -67,9 +67,9 @@ def markdown_class(line: Column) -> Column:
 def markdown_lines(text: Column) -> Column:
     """Array of (kind, text) of a message's lines; a blank last line is dropped, an empty text has none."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    classed = F.transform(lines, markdown_class)
-    last = F.element_at(classed, -1)
-    return F.when(last["kind"] == "blank", F.slice(classed, F.lit(1), F.size(classed) - 1)).otherwise(classed)
+    # the last line is looked at by itself, so that no line is classed more than once within the array
+    blank = markdown_class(F.element_at(lines, -1))["kind"] == "blank"
+    return F.transform(F.when(blank, F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines), markdown_class)
 
 
 def bold_parts(text: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import prefix
 from lectern.operators.analysis import ANALYZERS, RECORDS
+from lectern.sources.settings import Settings
 from lectern.sources.shared import durable
 
 ModelFn = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
@@ -155,3 +156,23 @@ def rules_responses(documents: DataFrame, thread: str, text: str) -> DataFrame:
     """(thread, analyzer, response, error) of the rules model, over whole texts in one scan."""
     each = [F.struct(F.lit(a).alias("analyzer"), rules_answer(a, F.col(text)).alias("response"), F.lit(None).cast("string").alias("error")) for a in ANALYZERS]
     return documents.select(thread, F.explode(F.array(*each)).alias("a")).select(thread, "a.*")
+
+
+# --- which model answers ------------------------------------------------------------------------------
+
+#: From (documents, thread, text) to (thread, analyzer, response, error); a remote provider is one more entry.
+Provider = Callable[[DataFrame, str, str], DataFrame]
+PROVIDERS: dict[str, Provider] = {"rules": rules_responses}
+
+
+def register_provider(name: str, provider: Provider) -> None:
+    """Makes a provider known under a name; one of that name is replaced."""
+    PROVIDERS[name.lower()] = provider
+
+
+def provider_responses(documents: DataFrame, thread: str, text: str, settings: Settings | None = None) -> DataFrame:
+    """The answers of the provider that ``settings.model_provider`` names, in any case of letters; by default the session's settings."""
+    chosen = (settings or Settings.of(documents.sparkSession)).model_provider.lower()
+    if chosen not in PROVIDERS:
+        raise ValueError(f"no model provider {chosen!r}; there are {', '.join(sorted(PROVIDERS))}")
+    return PROVIDERS[chosen](documents, thread, text)

@@ -21,7 +21,7 @@ from lectern.operators.analysis import ANALYZERS, RECORDS, SEVERITIES
 from lectern.sources import intake, pdf, pdf_writer
 from lectern.sources.shared import durable, scratch, shared_folder
 from lectern.sources.state_store import StateStore
-from lectern.streaming import events, frames, log_tail
+from lectern.streaming import events, frames, log_store, log_tail
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -168,6 +168,14 @@ def intake_gate(spark, sf_dir):
     return intake.intake_gate(uploads, "batch_id", "name", "kind")
 
 
+_UPLOADED = "CASE WHEN lang = 'en' THEN '%PDF-1.7 ' || text WHEN lang = 'fr' THEN '%PD' || text ELSE text END"
+
+
+@_query(f"SELECT doc_id, strlen(x) BETWEEN 100 AND 52428800 AND starts_with(x, '%PDF') AS valid FROM (SELECT doc_id, {_UPLOADED} AS x FROM documents)")
+def uploaded_bytes(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", intake.valid_bytes(F.encode(F.expr(_UPLOADED), "UTF-8")).alias("valid"))
+
+
 @_query("SELECT doc_id, md5(text[1:3000]) AS prefix_md5, length(text[1:3000]) AS n FROM documents")
 def doc_prefix_3000(spark, sf_dir):
     short = T.prefix(F.col("text"), 3000)
@@ -409,14 +417,14 @@ def _rules_sql() -> str:
 
 @_query(_rules_sql())
 def rules_analysis(spark, sf_dir):
-    recovered = analysis.recover(model.rules_responses(_sentences(spark, sf_dir), "doc_id", "text"))
+    recovered = analysis.recover(model.provider_responses(_sentences(spark, sf_dir), "doc_id", "text"))
     lists = F.coalesce(*[F.from_json(F.get_json_object("record", f"$.{x}"), "array<string>") for x in sorted(set(model._LISTS.values()))])
     return recovered.select("doc_id", "analyzer", "severity", F.array_join(lists, "; ").alias("labels"))
 
 
 @_query(f"""WITH r AS ({_rules_sql()}) SELECT doc_id, CASE WHEN bool_or(severity = 'high') THEN 'FAIL' ELSE 'PASS' END AS status, 100 AS confidence, count(*) FILTER (severity <> 'low') AS n_findings FROM r GROUP BY doc_id""")
 def rules_verdicts(spark, sf_dir):
-    recovered = analysis.recover(model.rules_responses(_sentences(spark, sf_dir), "doc_id", "text"))
+    recovered = analysis.recover(model.provider_responses(_sentences(spark, sf_dir), "doc_id", "text"))
     found = verdict.verdicts(analysis.merge_sessions(recovered, "doc_id"), "doc_id")
     return found.select("doc_id", "status", "confidence", F.size("findings").cast("long").alias("n_findings"))
 
@@ -620,6 +628,16 @@ def stream_log_tail(spark, sf_dir):
     return log_tail.drain(stream.select("event_id", "user_id", "event_type"), shared_folder(spark)).dropDuplicates(["event_id"])
 
 
+@_query("""SELECT e.event_id, e.user_id, event_type FROM events e JOIN (SELECT user_id, max(event_id) - 10 * user_id AS seen FROM events GROUP BY user_id) c ON e.user_id = c.user_id AND e.event_id > seen""")
+def log_replay(spark, sf_dir):
+    """Clients that come back: each gets the logs of its session behind the last one that it has seen."""
+    folder = scratch(spark, "logs")
+    rows = _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    log_store.write_logs(rows, folder, "user_id", "event_id")
+    seen = rows.groupBy("user_id").agg(F.max("event_id").alias("top")).select("user_id", F.expr("top - 10 * user_id").alias("after"))
+    return log_store.replay_all(spark, folder, seen, "user_id", "event_id")
+
+
 _CHUNKED = """concat('event: chat_start\\r\\ndata: {"n":', turn, '}\\r\\n\\r\\n: keep-alive\\n\\nevent: chat_delta\\ndata: ', to_json(named_struct('delta', text)), '\\n\\n',
   CASE WHEN role = 'user' THEN 'event: error\\ndata: {"error":"gone"}\\n\\n' WHEN turn % 4 = 1 THEN 'data: NaN\\n\\n' ELSE '' END, 'event: chat_complete\\ndata: {"delta":1}\\n\\nevent: cut\\ndata: 2')"""
 

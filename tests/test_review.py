@@ -211,6 +211,21 @@ def test_settings_and_sessions(spark):
     assert shared_folder(spark) == shared_folder(spark)
 
 
+def test_the_settings_choose_the_model(spark):
+    docs = spark.createDataFrame([(1, "brand X only")], "t int, x string")
+    model.register_provider("Mine", lambda documents, thread, text: documents.select(thread, F.lit("lcca").alias("analyzer"), F.upper(text).alias("response"), F.lit(None).cast("string").alias("error")))
+    try:
+        assert [r.response for r in model.provider_responses(docs, "t", "x", Settings(model_provider="MINE")).collect()] == ["BRAND X ONLY"]
+        spark.conf.set("spark.lectern.model_provider", "mine")
+        assert model.provider_responses(docs, "t", "x").count() == 1
+        spark.conf.unset("spark.lectern.model_provider")
+        assert model.provider_responses(docs, "t", "x").count() == 6
+        with pytest.raises(ValueError, match="there are mine, rules"):
+            model.provider_responses(docs, "t", "x", Settings(model_provider="none"))
+    finally:
+        del model.PROVIDERS["mine"]
+
+
 def test_waiting_sessions(spark):
     found = spark.createDataFrame([(1, "PASS"), (2, "FAIL"), (3, "PASS")], "t int, status string").withColumn("state", F.lit(review.AWAITING))
     reviews = spark.createDataFrame([(1, "generate_gamma"), (1, "chat_only"), (2, "chat_only")], "t int, action string")

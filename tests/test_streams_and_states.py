@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import chat, review, session_states
 from lectern.sources.state_store import COMPACT, Conflict, StateStore
-from lectern.streaming import chat_stream, events, frames
+from lectern.streaming import chat_stream, events, frames, log_store
 from lectern.streaming.frames import FrameParser
 
 ROWS = "message_id string, seq long, kind string, delta string, timestamp long"
@@ -339,3 +339,33 @@ def test_chat_events_in_one_row_each(spark):
     ends = spark.createDataFrame([("m", 5, 6, False, None)], "message string, started long, ended long, disconnected boolean, error string")
     batch = chat.chat_events(spark.createDataFrame(rows, "message string, seq long, delta string"), ends, "message", "seq", "delta")
     assert sorted(((r.message, r.seq, r.event, json.loads(r.data)) for r in batch.where(F.col("seq") >= 0).collect()), key=str) == [r for r in sent(message("m", ["x", "", "y"])) if r[1] >= 0]
+
+
+# --- replay ------------------------------------------------------------------------------------------
+
+
+def test_replay_reads_the_files_behind_the_offset(spark, tmp_path):
+    rows = [(s, k, f"m{k}") for s in range(10) for k in range(30 if s != 4 else 2000)] + [(None, 1, "x")]
+    random.Random(3).shuffle(rows)
+    logs = spark.createDataFrame(rows, "session long, seq long, text string")
+    log_store.write_logs(logs, f"{tmp_path}/s", "session", "seq", files=40)
+    files = len(spark.read.parquet(f"{tmp_path}/s/logs").inputFiles())
+    assert files > 20
+    for session, after in ((4, -1), (4, 999), (4, 1998), (4, 1999), (0, -1), (9, 20), (77, -1)):
+        found = log_store.replay(spark, f"{tmp_path}/s", session, after)
+        assert sorted(r.seq for r in found.collect()) == sorted(k for s, k, _ in rows if s == session and k > after)
+        read = len(found.inputFiles())
+        assert read <= {(4, 999): 0.6, (4, 1998): 0.15, (9, 20): 0.15, (0, -1): 0.15}.get((session, after), 1) * files
+    assert len(log_store.replay(spark, f"{tmp_path}/s", 4, 1999).inputFiles()) <= 1
+
+
+def test_replay_of_many_clients(spark, tmp_path):
+    rows = [(s, k, 0) for s in range(6) for k in range(300)]
+    log_store.write_logs(spark.createDataFrame(rows, "session long, seq long, after int"), f"{tmp_path}/s", "session", "seq", files=60)
+    clients = [(0, 290), (0, 295), (1, None), (2, 299), (3, 100), (9, 5), (None, 1)]
+    found = log_store.replay_all(spark, f"{tmp_path}/s", spark.createDataFrame(clients, "session long, after long"))
+    want = Counter((s, k) for c, a in clients for s, k, _ in rows if s == c and (a is None or k > a))
+    assert Counter((r.session, r.seq) for r in found.collect()) == want
+    assert len(found.inputFiles()) < 60
+    everyone = spark.createDataFrame([(s, 999) for s in range(6)], "session long, after long")
+    assert log_store.replay_all(spark, f"{tmp_path}/s", everyone).count() == 0
