@@ -465,6 +465,7 @@ class Font:
             self.map = UnicodeMap(document.unpacked(to_unicode))
         self.composite = get(info.get(b"Subtype")) == b"Type0"
         self.widths: dict[int, float] = {}
+        self.known: dict[int, tuple[str, float]] = {}
         if self.composite:
             self.size = min(self.map.sizes, default=2) if self.map else 2
             kids = get(info.get(b"DescendantFonts")) or [{}]
@@ -502,20 +503,24 @@ class Font:
             else:
                 break
 
-    def read(self, data: bytes) -> Iterator[tuple[str, float]]:
-        """Text and width, in thousandths of the size, of each code."""
-        pending = ""
+    def _code(self, code: int) -> tuple[str, float]:
+        text = self.map.text(self.size, code) if self.map else None
+        if text is None:
+            text = "\ufffd" if self.composite else self.names.get(code) if code in self.names else bytes([code]).decode(self.page, "ignore")
+        return text, self.widths.get(code, self.default)
+
+    def read(self, data: bytes) -> tuple[str, float, int]:
+        """The text of some codes, their width in thousandths of the size, and how many they are."""
+        texts, total = [], 0.0
         for at in range(0, len(data) - self.size + 1, self.size):
             code = int.from_bytes(data[at : at + self.size], "big")
-            text = self.map.text(self.size, code) if self.map else None
-            if text is None:
-                text = "\ufffd" if self.composite else self.names.get(code) if code in self.names else bytes([code]).decode(self.page, "ignore")
-            if "\ud800" <= text[-1:] <= "\udbff":  # half of a pair; the other half follows
-                pending = text
-                continue
-            whole = (pending + text).encode("utf-16-be", "surrogatepass").decode("utf-16-be", "replace")
-            pending = ""
-            yield whole, self.widths.get(code, self.default)
+            found = self.known.get(code)
+            if found is None:
+                found = self.known[code] = self._code(code)
+            texts.append(found[0])
+            total += found[1]
+        # pairs of UTF-16 units that are codes of their own come together
+        return "".join(texts).encode("utf-16-be", "surrogatepass").decode("utf-16-be", "replace"), total, len(texts)
 
 
 # --- text --------------------------------------------------------------------------------------------
@@ -546,10 +551,11 @@ class _Page:
         def show(data: Any) -> None:
             nonlocal text
             if isinstance(data, bytes) and font is not None:
-                for piece, width in font.read(data):
-                    move = (width / 1000 * size + space + (word if piece == " " else 0)) * stretch
+                piece, width, n = font.read(data)
+                move = (width / 1000 * size + space * n + word * piece.count(" ")) * stretch
+                if piece:
                     self._put(piece, _times((1, 0, 0, 1, 0, rise), _times(text, matrix)), size, move, _times(text, matrix))
-                    text = _times((1, 0, 0, 1, move, 0), text)
+                text = _times((1, 0, 0, 1, move, 0), text)
 
         def next_line(x: float, y: float) -> None:
             nonlocal text, line
@@ -630,7 +636,7 @@ class _Page:
             end, baseline, before = self.last
             if abs(y - baseline) > 0.3 * min(height, before):
                 self.out.append("\n")
-            elif x - end > 0.2 * height and piece != " " and self.out[-1] != " ":
+            elif x - end > 0.2 * height and not piece.startswith(" ") and not self.out[-1].endswith(" "):
                 self.out.append(" ")
         self.out.append(piece)
         self.last = x + move * (abs(at[0]) or 1.0), y, height
