@@ -18,7 +18,9 @@ until ``recall`` is reached. Branching goes on where a node is large:
   gives a multiple of n of them, and none between components is lost.
 
 Comparisons of minwise sketches only choose candidates; of those in a node that are alike beyond doubt a
-spanning forest is enough. Every link is confirmed on the full shingle sets, which are rebuilt from the
+spanning forest is enough. The classes of large nodes are judged by a second, longer sketch as well before
+anything of them is handed on, so that pages of one template that are nearly similar enough don't come out
+as pairs or crowds. Every link is confirmed on the full shingle sets, which are rebuilt from the
 texts of candidates alone: a bitmap of bounded size lets the texts of all other documents stay where
 they are.
 """
@@ -43,12 +45,17 @@ from lectern.llm.exact_dedup import repeat_filter
 #: Minwise tokens of a sketch, of which 8 bits are kept, and how many of them are kept whole to branch by.
 MINWISE, TOKENS = 256, 64
 LEAF, NODE = 48, 4096
+#: A part of a large node that has no more classes is compared exhaustively too, by long sketches, unless it is a crowd.
+WIDE = 256
+#: Positions of the long sketch of classes in large nodes, of which 2 bits each are kept.
+LONG = 4096
 #: Trees are repeated for pairs at the threshold that are parted by so many levels; and the deepest level.
 DEPTH, DEEPEST = 5, 40
 #: A node that is like its pivot in this part or more is a crowd.
 CROWD = 0.9
-#: A leaf with more candidates than so many a member is handed on as a crowd.
-MANY = 2
+#: A leaf with more candidates than so many a member is handed on as a crowd; and one that long sketches
+#: judged, as its pairs are mostly those of other leaves, and come once in all, which crowds don't.
+MANY, MANY_LONG = 2, 8
 BLOCK = 1024
 #: Standard deviations of a sketch's estimate that a candidate may lie below the threshold.
 SLACK = 4.0
@@ -90,6 +97,41 @@ def minwise(sets: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.minimum.reduceat(flat * a + b, cuts) for a, b in zip(_FACTOR, _SHIFT)], axis=1)
 
 
+def long_sketch(own: np.ndarray) -> np.ndarray:
+    """The packed long sketch of a non-empty set of hashes.
+
+    Round by round every element is thrown at one position, and a position keeps the least hash of the first
+    round that hits it. Elements of a union are so equally likely to be kept, as in minwise hashing, but a
+    set is thrown some ``log(LONG) * LONG`` times in all, whatever its size.
+    """
+    never = np.iinfo(np.uint64).max
+    kept, free = np.full(LONG, never), np.ones(LONG, bool)
+    step, done = -(-LONG // len(own)), 0
+    while free.any():
+        rounds = np.arange(done, done + step, dtype=np.uint64)
+        thrown = mix(own[None, :] + mix(rounds + np.uint64(2003))[:, None])
+        at = (thrown >> np.uint64(52)).astype(np.int64)
+        new = np.nonzero(free[at])  # earlier rounds go first
+        least = (rounds[new[0]] << np.uint64(40)) | (thrown[new] & np.uint64((1 << 40) - 1))
+        np.minimum.at(kept, at[new], least)
+        free = kept == never
+        done += step
+    bits = (kept & np.uint64(3)).astype(np.uint8).reshape(-1, 4)
+    return bits[:, 0] | bits[:, 1] << 2 | bits[:, 2] << 4 | bits[:, 3] << 6
+
+
+def long_estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The similarity that rows of long sketches (64-bit words) point to; 2 bits agree by chance one time in four."""
+    other = a ^ b
+    other = (other | other >> np.uint64(1)) & np.uint64(0x5555_5555_5555_5555)
+    return 1 - np.bitwise_count(other).sum(axis=1, dtype=np.int64) / LONG / 0.75
+
+
+def _long_error(similarity: float) -> float:
+    agree = similarity + (1 - similarity) / 4
+    return SLACK * math.sqrt(agree * (1 - agree) / LONG) / 0.75
+
+
 def _sketched(words: int, similarity: float, trees: int):
     """(id, row, text) to what the joins need of a document."""
 
@@ -176,9 +218,8 @@ def _branch(similarity: float):
 class _Found:
     """Candidate pairs and members of crowds, as they come up."""
 
-    def __init__(self, similarity: float, c: np.ndarray, sizes: np.ndarray, sketches: np.ndarray):
-        self.similarity, self.c, self.sizes, self.sketches = similarity, c, sizes, sketches
-        self.sure = similarity + _error(similarity)
+    def __init__(self, similarity: float, c: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, longs: np.ndarray | None = None):
+        self.similarity, self.c, self.sizes, self.sketches, self.longs = similarity, c, sizes, sketches, longs
         self.crowd, self.a, self.b = [], [], []  # the crowd, a member, the pivot; or 0 and a pair
 
     def add(self, crowd: int, a: np.ndarray, b: np.ndarray) -> None:
@@ -199,7 +240,12 @@ class _Found:
         i, j = np.triu_indices(n, 1)
         equal = np.count_nonzero(self.sketches[rows[i]] == self.sketches[rows[j]], axis=1)
         hit = _like(self.sizes[rows[i]], self.sizes[rows[j]], equal, self.similarity)
-        sure = hit & (_estimate(equal) >= self.sure)
+        near, error = _estimate(equal), _error(self.similarity)
+        if self.longs is not None:
+            at, error = np.flatnonzero(hit), _long_error(self.similarity)
+            near[at] = long_estimate(self.longs[rows[i[at]]], self.longs[rows[j[at]]])
+            hit[at] = near[at] >= self.similarity - error
+        sure = hit & (near >= self.similarity + error)
         if sure.any():
             group = np.arange(n)
             for k in np.flatnonzero(sure).tolist():
@@ -209,7 +255,7 @@ class _Found:
                 else:
                     group[group == max(x, y)] = min(x, y)
             hit &= sure | (group[i] != group[j])
-        if np.count_nonzero(hit) <= MANY * n:
+        if np.count_nonzero(hit) <= (MANY if self.longs is None else MANY_LONG) * n:
             self.add(0, rows[i[hit]], rows[j[hit]])
         else:  # equal leaves of several nodes are one crowd; its number is below 0
             crowd = int.from_bytes(hashlib.blake2b(self.c[rows].tobytes(), digest_size=8).digest(), "little") >> 1
@@ -224,9 +270,12 @@ class _Found:
                 self.leaf(rows)
                 continue
             pivot = rows[np.argmin(self.c[rows])]
-            equal = np.count_nonzero(self.sketches[rows] == self.sketches[pivot], axis=1)
-            like = (_estimate(equal) >= self.similarity) & _fits(self.sizes[rows], self.sizes[pivot], self.similarity)
-            if depth == DEEPEST or like.mean() >= CROWD:
+            like = (long_estimate(self.longs[rows], self.longs[pivot]) >= self.similarity) & _fits(self.sizes[rows], self.sizes[pivot], self.similarity)
+            alike = like.mean() >= CROWD
+            if len(rows) <= WIDE and not alike:
+                self.leaf(rows)
+                continue
+            if depth == DEEPEST or alike:
                 self.add(1 + int(self.c[pivot]), rows, np.full(len(rows), pivot))
                 continue
             for at, child in children(np.full(len(rows), node), tokens[rows], self.similarity):
@@ -261,7 +310,7 @@ def _whole_nodes(compare):
 
 
 def _nodes(similarity: float):
-    """Rows (node, c, n_shingles, sketch and, for nodes over ``LEAF``, tokens), a node's together: (crowd, member, pivot), or (0, a, b) of candidate pairs."""
+    """Rows (node, c, n_shingles, sketch and, for nodes over ``LEAF``, tokens and long sketch), a node's together: (crowd, member, pivot), or (0, a, b) of candidate pairs."""
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
         nodes = rows.column(0).to_numpy()
@@ -276,7 +325,8 @@ def _nodes(similarity: float):
                 found.leaf(at)
             else:
                 tokens = _matrix(rows.column(4).slice(a, n), "<u4", TOKENS)
-                part = _Found(similarity, found.c[at], found.sizes[at], found.sketches[at])
+                longs = _matrix(rows.column(5).slice(a, n), "<u8", LONG // 32)
+                part = _Found(similarity, found.c[at], found.sizes[at], found.sketches[at], longs)
                 part.node(int(nodes[a : a + 1].view(np.uint64)[0]), np.arange(n), tokens)
                 own = part.rows()
                 for to, column in zip((found.crowd, found.a, found.b), own.T):
@@ -386,6 +436,17 @@ def _sets(words: int):
     return sets
 
 
+def _long_sketches(words: int):
+    """(c, text) to (c, long): the long sketch of each class."""
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sets(words)(batches):
+            own = [long_sketch(np.frombuffer(x, "<u8").astype(np.uint64)).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["c", "long"])
+
+    return sketches
+
+
 def _confirm(words: int, similarity: float):
     """Rows (a, b, text_a, text_b): the pairs whose full shingle sets are similar enough."""
     whole, part = round(similarity * 1000), 1000
@@ -489,12 +550,16 @@ def _link(reps: DataFrame, named: DataFrame, words: int, similarity: float) -> D
         rows = judged.where("not crowd").select("c", F.explode("kids").alias("node"))
 
     rows = _union([x.where(F.col("n") <= NODE) for x in levels])
-    few = rows.where(F.col("n") <= LEAF).select("node", "c").join(shape, "c").select("node", "c", "n_shingles", "sketch", F.lit(b"").alias("tokens"))
-    more = rows.where(F.col("n") > LEAF).select("node", "c").join(reps.select("c", "n_shingles", "sketch", "tokens"), "c").select("node", "c", "n_shingles", "sketch", "tokens")
+    none = F.lit(b"")
+    few = rows.where(F.col("n") <= LEAF).select("node", "c").join(shape, "c").select("node", "c", "n_shingles", "sketch", none.alias("tokens"), none.alias("long"))
+    large = rows.where(F.col("n") > LEAF).select("node", "c")
+    # the texts of classes in large nodes alone are read again for their long sketches
+    longs = durable(_texts(large.select("c").distinct(), reps, named).mapInArrow(_long_sketches(words), "c long, long binary"), "near-long")
+    more = large.join(reps.select("c", "n_shingles", "sketch", "tokens").join(longs, "c"), "c").select(*few.columns)
     found = few.union(more).repartition("node").sortWithinPartitions("node").mapInArrow(_nodes(similarity), "crowd long, a long, b long")
     least = lambda of: F.when(F.col("crowd") == 0, of("a", "b"))
     found = found.select("crowd", least(F.least).otherwise(F.col("a")).alias("a"), least(F.greatest).otherwise(F.col("b")).alias("b"))
-    found = durable(found.distinct(), "near-found")
+    found = durable(found.distinct(), "near-found", after=(longs,))
     pairs = found.where("crowd = 0").select("a", "b")
     crowd = durable(_union([*crowds, found.where("crowd <> 0").toDF("crowd", "c", "pivot")]).distinct(), "near-crowds")
 

@@ -557,3 +557,44 @@ def test_pipeline_stages_by_hand(spark):
             if s.start >= at:
                 out, at = out + t[at : s.start] + pii.LABELS[s.kind], s.stop
         assert clean[k].text == out + t[at:]
+
+
+def test_pages_that_are_nearly_similar_enough_do_not_come_out_as_crowds(spark, monkeypatch):
+    """What is handed on for pages of one template follows their number, not its square."""
+    import random
+
+    handed = {}
+    write = near_dedup.durable
+
+    def counting(df, name, after=()):
+        out = write(df, name, after)
+        if name == "near-found":
+            handed[pages] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "durable", counting)
+    for pages in (500, 1000):
+        rnd = random.Random(3)
+        rows = []
+        for d in range(pages):
+            ws = [f"t{k}" for k in range(400)]
+            for k in range(11):
+                ws[rnd.randrange(400)] = f"d{d}x{k}"
+            rows.append((d, " ".join(ws)))
+        got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 4, 0.8)
+        assert got.where("kept").count() == pages
+    assert handed[1000] <= 2 * handed[500] and handed[1000] <= 1000, handed
+
+
+@pytest.mark.parametrize("size", [1, 3, 400, 6000])
+def test_long_sketches_estimate_the_similarity(size):
+    rng = np.random.default_rng(size)
+    off = []
+    for _ in range(20):
+        all_of = rng.integers(0, 1 << 63, size * 10 // 9 + 1, dtype=np.uint64)
+        a, b = all_of[:size], all_of[-size:]
+        true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        sketches = [near_dedup.long_sketch(x).view("<u8")[None] for x in (a, b)]
+        assert (near_dedup.long_sketch(a[::-1]).view("<u8") == sketches[0]).all()
+        off.append(near_dedup.long_estimate(*sketches)[0] - true)
+    assert np.abs(off).max() < near_dedup._long_error(0.5) and abs(np.mean(off)) < near_dedup._long_error(0.5) / 4
