@@ -19,28 +19,34 @@ from lectern.llm.queries import tokenizer_file
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the positive-unlabelled classifier rejects go."""
+    """Documents that the positive-unlabelled classifier rejects go.
+
+    Null and empty texts have a score like any other; an empty table, and columns of any other name, pass.
+    """
     return keep_good(docs, read_table(spark, sf_dir, "labels"), threshold=0.3)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest id stays."""
+    """Of equal texts the one with the smallest id stays; null counts as empty, so of all such rows one stays."""
     return drop_exact_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies (five-word shingles, similarity 0.8 or more) the one with the smallest id stays."""
+    """Of near copies (five-word shingles, similarity 0.8 or more) the one with the smallest id stays.
+
+    Null and empty texts, and rows without an id, are linked with nothing and stay.
+    """
     return drop_near_copies(docs, words=5, similarity=0.8)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and the terms that disclose it are replaced; no document goes."""
+    """Personal data and the terms that disclose it are replaced; no document goes, and a null text stays null."""
     clean = sanitise(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document, with its place in a training sequence."""
+    """One row per piece of a document, with its place in a training sequence; a null or empty text is its end token alone."""
     return pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
 
 
@@ -54,10 +60,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; what each keeps is written to the shared folder."""
+    """All stages over the documents of ``sf_dir``; what each keeps is written to the shared folder, and goes when the next is written."""
     docs = read_table(spark, sf_dir, "documents")
+    done: tuple[DataFrame, ...] = ()
     for name, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        docs = durable(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"), after=done)
+        done = (docs,)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
