@@ -239,7 +239,8 @@ FROM j GROUP BY doc_id
 
 @_query
 def op11_block_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster_vectors(read_table(spark, sf_dir, "embeddings"), k=16, rounds=3, size=64, scale=64, seed=1)
+    found = cluster_vectors(read_table(spark, sf_dir, "embeddings"), k=16, rounds=3, size=64, scale=64, seed=1)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
 def _clusters_sql(k: int = 16, rounds: int = 3, size: int = 64) -> str:

@@ -35,6 +35,10 @@ def test_query_equals_sql(spark, oracle, middle, name):
         same_rows(got, db.sql(ORACLES[name]).df())
 
 
+def test_query_has_the_columns_of_its_sql(spark, oracle):
+    assert QUERIES["op11_block_norms"](spark, SMALL).columns == oracle.sql(ORACLES["op11_block_norms"]).columns
+
+
 # --- clustering ---
 
 
