@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from conftest import SMALL, same_rows
@@ -242,3 +243,25 @@ def test_pages_of_one_url_are_sessions_of_their_own(spark, tmp_path):
     spark.range(30).selectExpr("id AS page_id", "'http://x.org' AS url").write.parquet(f"{tmp_path}/pages.parquet")
     got = QUERIES["sessions_existing"](spark, str(tmp_path)).collect()
     assert sorted(r.page_id for r in got) == [k for k in range(30) if k % 5 < 3 and k % 2 == 0]
+
+
+def test_rules_are_tried_once_a_text(spark):
+    docs = spark.range(1).selectExpr("id AS t", "'x' AS x")
+    fields = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        plan = analysis.recover(model.rules_responses(docs.repartition(2), "t", "x"))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", fields)
+    assert plan.lower().count("rlike(") == sum(map(len, model.RULES.values()))
+
+
+def test_rules_find_what_their_patterns_match(spark):
+    parts = ["brand", "MODEL NO", "only", "Exclusively", "must be made by", "or an Equivalent", "or equivalent", "maintenance", "spare parts", "warranty", "ENERGY", "consumables", "operating cost",
+             "disposal", "end of life", "budget", "ABC", "contract price", "sole supplier", "Sole Source", "energy-efficient", "energy efficiency", "recycled", "emissions", "low carbon", "domestic preference",
+             "local Content", "local supplier", "imported only", "bidding", "shopping", "negotiated", "direct contracting", "split contracts", "splitting of contract"]
+    texts = [*parts, *[f"İé {p}, ß" for p in parts], *[p[:-1] for p in parts], *[f"x{p}x" for p in parts], "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "t int, x string")
+    for r in model.rules_responses(docs, "t", "x").collect():
+        hits = [(s[0] == "-", name) for name, p, s in model.RULES[r.analyzer] if (re.search(p, texts[r.t] or "", re.ASCII) is None) == (s[0] == "-")]
+        assert json.loads(r.response)[model._LISTS[r.analyzer]] == [f"{'missing' if w else 'found'}: {name}" for w, name in hits]
