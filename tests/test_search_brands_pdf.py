@@ -259,3 +259,10 @@ def test_files_of_a_folder(spark, tmp_path):
     found = {r.path.rsplit("/", 1)[1]: r for r in pdf.read_pdfs(pdf.pdf_files(spark, str(tmp_path))).collect()}
     assert (found["a.pdf"].n_pages, found["a.pdf"].title, found["a.pdf"].text) == (2, "T", "--- Page 1 ---\na\n\n--- Page 2 ---\nb")
     assert found["b.PDF"].error == "Failed to parse PDF: no catalog" and found["b.PDF"].text is None
+
+
+def test_folding_broadcasts_nothing(spark):
+    table = spark.createDataFrame([(1, 1, '{"a": {"x": 1}, "b": {}}'), (2, 1, '{"a": 5}')], "t int, o int, u string")
+    found = analysis.fold_updates(table, "t", "o", "u")
+    assert len(found.collect()) == 3
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
