@@ -266,3 +266,22 @@ def test_folding_broadcasts_nothing(spark):
     found = analysis.fold_updates(table, "t", "o", "u")
     assert len(found.collect()) == 3
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_of_a_page_are_read_at_once(monkeypatch):
+    calls, value = [0], pdf_text.Lexer.value
+
+    def counted(self, depth=0):
+        calls[0] += 1
+        return value(self, depth)
+
+    monkeypatch.setattr(pdf_text.Lexer, "value", counted)
+    lines = [f"line {k} é" for k in range(1000)]
+    assert list(pdf_text.page_texts(pdf_bytes([lines]))) == ["\n".join(lines)]
+    assert calls[0] < 500
+
+
+def test_common_tokens_are_read_like_others():
+    lexer = pdf_text.Lexer(b"%Tj <41> BT\n<4 1> <414><> Tj T*[true]null%x")
+    assert [lexer.value() for _ in range(8)] == [b"A", b"A@", b"", b"Tj", b"T*", [True], None, pdf_text.END]
+    assert isinstance(lexer.value(), pdf_text.Word)
