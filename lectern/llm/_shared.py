@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.sources.shared import discard, durable, shared_folder
+from lectern.sources.shared import bounded_batches, discard, durable, shared_folder
 
-__all__ = ["SPACES", "bitmap", "discard", "durable", "join_facts", "maybe_in", "plain_text", "read_table", "shared_folder", "with_counts"]
+__all__ = ["SPACES", "bitmap", "bounded_batches", "discard", "durable", "join_facts", "maybe_in", "plain_text", "read_table", "shared_folder", "with_counts"]
 
 #: A run of the six ASCII white-space characters, as a Java pattern.
 SPACES = "[ \\t\\n\\x0B\\f\\r]+"

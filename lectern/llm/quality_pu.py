@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._shared import discard, durable, plain_text
+from lectern.llm._shared import bounded_batches, discard, durable, plain_text
 from lectern.llm._tokens import chunks, slices, small, words_of
 
 FEATURES = (
@@ -248,8 +248,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col
 
     Null and empty texts are scored and judged like any other, rows that repeat an id or a text each by
     themselves; ties with the threshold stay. Learning is as in :func:`quality_scores`; without a
-    positive label all rows stay. An empty table gives an empty result.
+    positive label all rows stay. An empty table gives an empty result. The texts go to Python in bounded
+    batches, and so do those of later queries of the session.
     """
+    bounded_batches(docs.sparkSession)
     measured = durable(_measure(docs, id_col, text_col), "pu-features")
     model = _fit_on(measured, labels, id_col, label_col)
     discard(measured)
