@@ -261,7 +261,7 @@ class _Found:
             crowd = int.from_bytes(hashlib.blake2b(self.c[rows].tobytes(), digest_size=8).digest(), "little") >> 1
             self.add(-1 - crowd, rows, np.full(n, rows[0]))
 
-    def node(self, root: int, rows: np.ndarray, tokens: np.ndarray) -> None:
+    def node(self, root: int, rows: np.ndarray, tokens: np.ndarray | None) -> None:
         """Branches on until what is left is a leaf or a crowd."""
         stack = [(np.uint64(root), rows, 0)]
         while stack:
@@ -310,7 +310,7 @@ def _whole_nodes(compare):
 
 
 def _nodes(similarity: float):
-    """Rows (node, c, n_shingles, sketch and, for nodes over ``LEAF``, tokens and long sketch), a node's together: (crowd, member, pivot), or (0, a, b) of candidate pairs."""
+    """Rows (node, c, n_shingles, sketch and, for nodes over ``WIDE``, tokens and, over ``LEAF``, the long sketch), a node's together: (crowd, member, pivot), or (0, a, b) of candidate pairs."""
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
         nodes = rows.column(0).to_numpy()
@@ -324,7 +324,7 @@ def _nodes(similarity: float):
             if n <= LEAF:
                 found.leaf(at)
             else:
-                tokens = _matrix(rows.column(4).slice(a, n), "<u4", TOKENS)
+                tokens = _matrix(rows.column(4).slice(a, n), "<u4", TOKENS) if n > WIDE else None  # smaller ones aren't branched on
                 longs = _matrix(rows.column(5).slice(a, n), "<u8", LONG // 32)
                 part = _Found(similarity, found.c[at], found.sizes[at], found.sketches[at], longs)
                 part.node(int(nodes[a : a + 1].view(np.uint64)[0]), np.arange(n), tokens)
@@ -508,9 +508,13 @@ def _near_rows(docs: DataFrame, words: int, similarity: float, recall: float, id
     full = base.where("key is not null and id is not null")
     lone = base.where("key is null or id is null")
 
-    # one representative a class of equal word sequences, and a number for it
-    reps = full.groupBy("key").agg(F.min(F.struct("row", "n_shingles", "tokens", "sketch", "nodes")).alias("r"))
-    reps = durable(reps.select(F.monotonically_increasing_id().alias("c"), "key", "r.*"), "near-classes")
+    # one representative a class of equal word sequences, and a number for it; sequences that surely come once aren't shuffled
+    hashed = F.xxhash64("key")
+    flagged = full.withColumn("maybe", repeat_filter(full.select(hashed.alias("h")), "h")(hashed))
+    own = ("row", "n_shingles", "tokens", "sketch", "nodes")
+    again = flagged.where("maybe").groupBy("key").agg(F.min(F.struct(*own)).alias("r")).select("key", "r.*")
+    reps = flagged.where("not maybe").select("key", *own).unionByName(again)
+    reps = durable(reps.select(F.monotonically_increasing_id().alias("c"), "*"), "near-classes")
     star = durable(_link(reps, named, words, similarity), "near-star")
     member = star.union(star.select("component", "component")).distinct()
 
@@ -552,10 +556,13 @@ def _link(reps: DataFrame, named: DataFrame, words: int, similarity: float) -> D
     rows = _union([x.where(F.col("n") <= NODE) for x in levels])
     none = F.lit(b"")
     few = rows.where(F.col("n") <= LEAF).select("node", "c").join(shape, "c").select("node", "c", "n_shingles", "sketch", none.alias("tokens"), none.alias("long"))
-    large = rows.where(F.col("n") > LEAF).select("node", "c")
+    large = rows.where(F.col("n") > LEAF).select("node", "c", "n")
     # the texts of classes in large nodes alone are read again for their long sketches
     longs = durable(_texts(large.select("c").distinct(), reps, named).mapInArrow(_long_sketches(words), "c long, long binary"), "near-long")
-    more = large.join(reps.select("c", "n_shingles", "sketch", "tokens").join(longs, "c"), "c").select(*few.columns)
+    inside = repeat_filter(longs.select(F.xxhash64("c").alias("h")), "h", times=1)
+    own = reps.select("c", "n_shingles", "sketch", "tokens").where(inside(F.xxhash64("c")))
+    branching = F.when(F.col("n") > WIDE, F.col("tokens")).otherwise(none).alias("tokens")
+    more = large.join(own.join(longs, "c"), "c").select("node", "c", "n_shingles", "sketch", branching, "long")
     found = few.union(more).repartition("node").sortWithinPartitions("node").mapInArrow(_nodes(similarity), "crowd long, a long, b long")
     least = lambda of: F.when(F.col("crowd") == 0, of("a", "b"))
     found = found.select("crowd", least(F.least).otherwise(F.col("a")).alias("a"), least(F.greatest).otherwise(F.col("b")).alias("b"))
@@ -600,7 +607,8 @@ def _texts(ids: DataFrame, reps: DataFrame, named: DataFrame) -> DataFrame:
     """(c, text) of these classes; texts that a bitmap of bounded size rules out are not shuffled."""
     rows = durable(reps.select("c", "row").join(ids, "c", "left_semi"), "near-wanted")
     wanted = repeat_filter(rows.select(F.col("row").alias("h")), "h", times=1)
-    return named.where(wanted(F.col("row"))).join(rows, "row").select("c", "text").dropDuplicates(["c"])
+    # a row is of one class, and lies by its number already: texts aren't shuffled again to drop repeats
+    return named.where(wanted(F.col("row"))).join(rows, "row").dropDuplicates(["row"]).select("c", "text")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:

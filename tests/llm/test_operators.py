@@ -598,3 +598,27 @@ def test_long_sketches_estimate_the_similarity(size):
         assert (near_dedup.long_sketch(a[::-1]).view("<u8") == sketches[0]).all()
         off.append(near_dedup.long_estimate(*sketches)[0] - true)
     assert np.abs(off).max() < near_dedup._long_error(0.5) and abs(np.mean(off)) < near_dedup._long_error(0.5) / 4
+
+
+def test_texts_to_score_go_in_bounded_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(10)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    try:
+        kept = quality_pu.keep_good(docs, labels, threshold=0.0)
+        assert spark.conf.get(key) == "8m" and kept.count() == 10
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_near_dedup_shuffles_no_text_to_drop_repeats(spark):
+    reps = spark.createDataFrame([(0, 10), (1, 11)], "c long, row long")
+    named = spark.createDataFrame([(10, "a"), (10, "a"), (11, "b"), (12, "c")], "row long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = near_dedup._texts(reps.select("c"), reps, named)
+        assert sorted(map(tuple, got.collect())) == [(0, "a"), (1, "b")]
+        assert got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
