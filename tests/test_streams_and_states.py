@@ -123,6 +123,120 @@ def test_work_follows_the_batch(monkeypatch):
     assert own.parts.reads == 1 and json.loads(out[0].data)["response"] == "x" * 500 and own.parts.value is None
 
 
+class Store:
+    """State of one key that counts what it is asked."""
+
+    def __init__(self):
+        self.value, self.list, self.map, self.timers, self.calls, self.now = None, [], {}, set(), 0, 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            return getattr(self, f"_{name}")(*args)
+
+        return call if not name.startswith("_") else object.__getattribute__(self, name)
+
+    def getValueState(self, *_):
+        return self._Part(self, "value")
+
+    def getListState(self, *_):
+        return self._Part(self, "list")
+
+    def getMapState(self, *_):
+        return self._Part(self, "map")
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+    def _registerTimer(self, at):
+        self.timers.add(at)
+
+    def _deleteTimer(self, at):
+        self.timers.discard(at)
+
+    class _Part:
+        def __init__(self, store, name):
+            self.store, self.name = store, name
+
+        def __getattr__(self, call):
+            self.store.calls += 1
+            held = getattr(self.store, self.name)
+            put = lambda x: setattr(self.store, self.name, x)
+            return {
+                "exists": lambda: bool(held), "get": lambda: iter(list(held)) if self.name == "list" else held, "update": put, "clear": lambda: put({"value": None, "list": [], "map": {}}[self.name]),
+                "appendList": lambda xs: held.extend(xs), "getValue": lambda k: held.get(k), "updateValue": lambda k, v: held.__setitem__(k, v), "containsKey": lambda k: k in held, "removeKey": lambda k: held.pop(k),
+            }[call]
+
+
+def kept(silence=300):
+    store = Store()
+    own = chat_stream.ChatProcessor(-1, 1000 * silence)
+    own.init(store)
+    return store, own
+
+
+def fed(store, own, rows):
+    from pyspark.sql import Row
+
+    out = own.handleInputRows(("m",), iter([Row(seq=seq, kind=kind, delta=delta, timestamp=at) for _, seq, kind, delta, at in rows]), store)
+    return [(r.message_id, r.seq, r.event, json.loads(r.data)) for r in out]
+
+
+def test_a_batch_asks_the_state_little():
+    """Whatever order a short message comes in: its state is read once a batch and written once."""
+    rows = message("m", ["x" * 60] * 30)
+    random.Random(1).shuffle(rows)
+    store, own = kept()
+    store.calls, out = 0, []
+    for k in range(4):
+        out += fed(store, own, rows[k::4])
+    assert sorted(out, key=str) == sent(rows)
+    assert store.calls <= 4 * 2 + 1
+
+
+@pytest.mark.parametrize("size,cuts", [(1, 7), (200, 60), (3000, 5)])
+def test_long_messages_in_any_order(size, cuts):
+    """Rows that outgrow the short state wait in blocks, with repeats, and nothing stays after the end."""
+    rng = random.Random(size)
+    whole = message("m", [chr(97 + k % 26) * size for k in range(700)])
+    rows = whole + rng.sample(whole, 50)
+    rng.shuffle(rows)
+    store, own = kept()
+    out, most = [], 0
+    for k in range(cuts):
+        out += fed(store, own, rows[k::cuts])
+        most = max(most, len(store.map))
+    assert sorted(out, key=str) == sent(whole)
+    assert most > 3 and not store.map and not store.list
+
+
+def test_timers_move_when_they_are_due():
+    store, own = kept(300)
+    rows = message("m", ["a", "b", "c"])
+    fed(store, own, rows[:2])
+    store.now = 200_000
+    fed(store, own, rows[2:3])
+    assert store.timers == {300_000}
+    due = lambda: list(own.handleExpiredTimer(("m",), store, None))
+    store.now = 350_000
+    assert due() == [] and store.timers == {300_000, 500_000}
+    store.now = 500_000
+    (end,) = due()
+    assert end.event == "error" and fed(store, own, rows[3:]) == []
+    store.now = 900_000
+    assert due() == [] and store.value is None
+
+
+def test_recorded_rows_have_no_silence(spark, monkeypatch):
+    """Micro-batches of recorded rows may be as far apart as a large table makes them."""
+    import lectern.plans.queries as plans
+
+    asked = []
+    monkeypatch.setattr(events, "chat_stream", lambda stream, **options: asked.append(options) or chat_stream.chat_stream(stream, **options))
+    assert plans.chat_stream_events(spark, "/root/testdata/sf0.001").count() > 0
+    assert asked[0]["silence"] > 86_400
+
+
 def test_a_silent_message_ends(spark, tmp_path):
     _write(spark, message("quiet", ["x"], None) + message("done", ["y"]) + [("gap", 3, "complete", None, 1)], f"{tmp_path}/in")
     stream = spark.readStream.schema(ROWS).parquet(f"{tmp_path}/in")
