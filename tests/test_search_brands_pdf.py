@@ -47,6 +47,24 @@ def test_the_best_pages(spark, top):
     assert search.top_pages(table, asked.limit(0), "id", "body", "q", "words").count() == 0
 
 
+@pytest.mark.parametrize("asked_bound", [search.ASKED, 0])
+def test_a_search_task_keeps_a_bounded_number_of_sums(spark, monkeypatch, asked_bound):
+    """As many tasks as the sums of pages and queries need, however many shuffle partitions there are; with queries broadcast or joined."""
+    monkeypatch.setattr(search, "PAIRS", 40)
+    monkeypatch.setattr(search, "ASKED", asked_bound)
+    rng = random.Random(5)
+    pages = [(k, " ".join(rng.choices(["the", "a", "b", "c", "c c", "d", ""], k=rng.randrange(0, 9)))) for k in range(150)]
+    queries = [(k, " ".join(rng.choices(["the", "a", "b", "d", "e"], k=3))) for k in range(12)]
+    table, asked = spark.createDataFrame(pages, "id long, body string"), spark.createDataFrame(queries, "q long, words string")
+    found = search.top_pages(table, asked, "id", "body", "q", "words")
+    assert sorted(map(tuple, found.collect())) == best_pages(pages, queries, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = [(by, int(n)) for by, n in re.findall(r"Exchange hashpartitioning\((.*?), (\d+)\), REPARTITION_BY_NUM", plan)]
+    assert dealt and all(n > 20 for _, n in dealt)
+    if asked_bound:
+        assert all(by.startswith("page#") for by, _ in dealt) and not re.search(r"hashpartitioning\(query#\d+L, page#", plan)
+
+
 def test_plan_of_search(spark):
     """Nothing is scored but pages that share a term with a query."""
     pages = spark.createDataFrame([(k, f"word{k} common") for k in range(50)], "id long, body string")
