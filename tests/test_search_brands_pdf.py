@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from lectern.operators import analysis, brands, search
+from lectern.plans.queries import QUERIES
 from lectern.sources import pdf, pdf_text
 from lectern.sources.pdf_writer import pdf_bytes, write_pdfs
 from pyspark.sql import functions as F
@@ -117,6 +118,24 @@ def test_brands(spark, bound):
     assert brands.brand_mentions(table.limit(0), known, "doc", "body", "name", bound).count() == brands.brand_mentions(table, known.limit(0), "doc", "body", "name", bound).count() == 0
 
 
+def test_equal_lines_of_an_order_stand_in_the_order_of_their_texts(spark, tmp_path):
+    """The SQL leaves open which of two lines of the same order, number and part comes first; here it doesn't hang on how rows are dealt."""
+    rng = random.Random(5)
+    parts = [(7, "red ring", "Brand#1"), (8, "blue bolt", "Brand#12")]
+    lines = [(order, rng.randrange(1, 3), rng.choice((7, 8)), rng.choice("NRA")) for order in range(40) for _ in range(5)]
+    said = {"N": "", "R": " or equivalent", "A": ", or an approved equal"}
+    wanted = []
+    for order in range(40):
+        own = sorted((number, part, said[flag]) for o, number, part, flag in lines if o == order)
+        wanted += [(order, k, name.lower(), 1, end != "") for k, (_, part, end) in enumerate(own) for p in parts if p[0] == part for name in p[1:]]
+    for deal in range(3):
+        rng.shuffle(lines)
+        folder = f"{tmp_path}/{deal}"
+        spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string").repartition(1 + 2 * deal).write.parquet(f"{folder}/lineitem.parquet")
+        spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string").write.parquet(f"{folder}/part.parquet")
+        assert sorted(map(tuple, QUERIES["brand_mentions"](spark, folder).collect())) == sorted(wanted)
+
+
 # --- merges ------------------------------------------------------------------------------------------
 
 
