@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from lectern.operators import analysis, brands, search
-from lectern.plans.queries import QUERIES
+from lectern.plans.queries import ORACLES, QUERIES
 from lectern.sources import pdf, pdf_text
 from lectern.sources.pdf_writer import pdf_bytes, write_pdfs
 from pyspark.sql import functions as F
@@ -136,6 +136,22 @@ def test_equal_lines_of_an_order_stand_in_the_order_of_their_texts(spark, tmp_pa
         assert sorted(map(tuple, QUERIES["brand_mentions"](spark, folder).collect())) == sorted(wanted)
 
 
+def test_lines_without_a_number_or_name_keep_their_clause(spark, tmp_path):
+    """Such a line keeps its other name, and those behind it their number; the SQL also gives a row without a brand, which no text can mention."""
+    import duckdb
+
+    parts = [(1, "red ring", "Brand#1"), (2, None, "Brand#2"), (3, "blue bolt", None), (4, None, None)]
+    lines = [(10, 1, 2, "N"), (10, 2, 1, "R"), (11, 1, 3, "A"), (11, 3, 1, "N"), (12, None, 1, "R"), (12, 7, 3, "N"), (12, None, 2, "N"), (13, 1, 4, "N"), (13, 2, 1, "N")]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    tables = duckdb.connect()
+    for name in ("lineitem", "part"):
+        tables.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    named = tables.execute(f"select * from ({ORACLES['brand_mentions']}) where brand is not null").fetchall()
+    assert sorted(map(tuple, QUERIES["brand_mentions"](spark, str(tmp_path)).collect())) == sorted(named)
+    assert sorted(map(tuple, QUERIES["brand_restrictions"](spark, str(tmp_path)).collect())) == sorted(tables.execute(ORACLES["brand_restrictions"]).fetchall())
+
+
 # --- merges ------------------------------------------------------------------------------------------
 
 
