@@ -27,13 +27,14 @@ def with_counts(rows: DataFrame, key: str, value: str, more=None, salts: int = 3
 
     A group may hold a third of all rows, so each group is dealt over ``salts`` sub-groups: they are
     aggregated first, and the facts return to the rows by (key, salt). ``more`` may turn the facts into
-    others, one row per key, with the column ``key``.
+    others, one row per key, with the column ``key``. The joins are merges: ``rows`` may come of an explode,
+    after which Spark takes them for as few as before and would broadcast them.
     """
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(F.col(value)), F.lit(salts)).cast("int"))
     parts = salted.groupBy(key, "salt").agg(F.count(F.lit(1)).alias("part_n"), F.min(value).alias("part_least"))
     facts = parts.groupBy(key).agg(F.sum("part_n").alias("n"), F.min("part_least").alias("least"))
-    per_salt = parts.select(key, "salt").join(more(facts) if more else facts, key)
-    return salted.join(per_salt, [key, "salt"])
+    per_salt = parts.select(key, "salt").join((more(facts) if more else facts).hint("merge"), key)
+    return salted.join(per_salt.hint("merge"), [key, "salt"])
 
 
 #: Positions of a native bitmap: at most BITMAP_BITS / 64 rows of two numbers, some 16 MB, are broadcast.
@@ -64,8 +65,8 @@ def maybe_in(rows: DataFrame, hashes: str, marked: DataFrame) -> DataFrame:
 def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
     """Inner or left join of rows with facts (one row per key, ``n``: how many of ``total`` rows it has).
 
-    The facts of hot keys, ``HOT`` at most, are broadcast; no other key fills a task.
+    The facts of hot keys, ``HOT`` at most, are broadcast; no other key fills a task. The rest is merged.
     """
     hot = facts.where(F.col("n") * HOT > total)
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(facts.where(F.col("n") * HOT <= total), keys, how)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(facts.where(F.col("n") * HOT <= total).hint("merge"), keys, how)
     return rows.join(F.broadcast(hot), keys).unionByName(rest).drop("n")

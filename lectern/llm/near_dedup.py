@@ -525,7 +525,7 @@ def _near_rows(docs: DataFrame, words: int, similarity: float, recall: float, id
 
 def _reached(facts: DataFrame, classes: DataFrame, member: DataFrame) -> DataFrame:
     """Adds ``component_id`` to the classes' facts (key, n, least)."""
-    found = facts.join(classes, "key").join(member.toDF("c", "component"), "c", "left").select("key", "least", "component")
+    found = facts.join(classes.hint("merge"), "key").join(member.toDF("c", "component").hint("merge"), "c", "left").select("key", "least", "component")
     alone = found.where("component is null").select("key", F.col("least").alias("component_id"))
     linked = with_counts(found.where("component is not null").withColumnRenamed("least", "own"), "component", "own")
     return alone.unionByName(linked.select("key", F.col("least").alias("component_id")))
@@ -555,14 +555,14 @@ def _link(reps: DataFrame, named: DataFrame, words: int, similarity: float) -> D
 
     rows = _union([x.where(F.col("n") <= NODE) for x in levels])
     none = F.lit(b"")
-    few = rows.where(F.col("n") <= LEAF).select("node", "c").join(shape, "c").select("node", "c", "n_shingles", "sketch", none.alias("tokens"), none.alias("long"))
+    few = rows.where(F.col("n") <= LEAF).select("node", "c").join(shape.hint("merge"), "c").select("node", "c", "n_shingles", "sketch", none.alias("tokens"), none.alias("long"))
     large = rows.where(F.col("n") > LEAF).select("node", "c", "n")
     # the texts of classes in large nodes alone are read again for their long sketches
     longs = durable(_texts(large.select("c").distinct(), reps, named).mapInArrow(_long_sketches(words), "c long, long binary"), "near-long")
     inside = repeat_filter(longs.select(F.xxhash64("c").alias("h")), "h", times=1)
     own = reps.select("c", "n_shingles", "sketch", "tokens").where(inside(F.xxhash64("c")))
     branching = F.when(F.col("n") > WIDE, F.col("tokens")).otherwise(none).alias("tokens")
-    more = large.join(own.join(longs, "c"), "c").select("node", "c", "n_shingles", "sketch", branching, "long")
+    more = large.join(own.join(longs.hint("merge"), "c").hint("merge"), "c").select("node", "c", "n_shingles", "sketch", branching, "long")
     found = few.union(more).repartition("node").sortWithinPartitions("node").mapInArrow(_nodes(similarity), "crowd long, a long, b long")
     least = lambda of: F.when(F.col("crowd") == 0, of("a", "b"))
     found = found.select("crowd", least(F.least).otherwise(F.col("a")).alias("a"), least(F.greatest).otherwise(F.col("b")).alias("b"))
@@ -605,15 +605,15 @@ def _crowd_links(crowd: DataFrame, shape: DataFrame, texts: DataFrame, words: in
 
 def _texts(ids: DataFrame, reps: DataFrame, named: DataFrame) -> DataFrame:
     """(c, text) of these classes; texts that a bitmap of bounded size rules out are not shuffled."""
-    rows = durable(reps.select("c", "row").join(ids, "c", "left_semi"), "near-wanted")
+    rows = durable(reps.select("c", "row").join(ids.hint("merge"), "c", "left_semi"), "near-wanted")
     wanted = repeat_filter(rows.select(F.col("row").alias("h")), "h", times=1)
     # a row is of one class, and lies by its number already: texts aren't shuffled again to drop repeats
-    return named.where(wanted(F.col("row"))).join(rows, "row").dropDuplicates(["row"]).select("c", "text")
+    return named.where(wanted(F.col("row"))).join(rows.hint("merge"), "row").dropDuplicates(["row"]).select("c", "text")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The links (u, v) among candidate pairs (a, b), by the full sets of their texts."""
-    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+    both = pairs.join(texts.toDF("a", "text_a").hint("merge"), "a").join(texts.toDF("b", "text_b").hint("merge"), "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(_confirm(words, similarity), "u long, v long")
 
 

@@ -342,7 +342,7 @@ def ranked_by_length(pieces: DataFrame) -> DataFrame:
     offsets = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("length", "salt").orderBy("id", "piece")
     numbered = salted.withColumn("row", F.row_number().over(inside) - 1)
-    return numbered.join(offsets, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("row")).drop("salt", "row", "before")
+    return numbered.join(offsets.hint("merge"), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("row")).drop("salt", "row", "before")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

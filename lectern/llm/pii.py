@@ -22,7 +22,8 @@ out or the corpus is large. Documents without personal data are never touched.
 
 Built from DataFrame and SQL functions only. Texts are never shuffled; only documents with findings take
 part in the co-occurrence, and the counts of the terms in question cover every document. A bitmap of
-bounded size lets the words that are in question nowhere stay where they are.
+bounded size lets the words that are in question nowhere stay where they are. All other joins are merges:
+Spark takes exploded words for as few rows as there are texts and would broadcast them.
 """
 
 from __future__ import annotations
@@ -131,8 +132,8 @@ def _classes(entities: DataFrame) -> DataFrame:
     marks = [F.bit_xor(F.xxhash64(F.lit(seed), "print")).alias(f"x{seed}") for seed in (1, 2)]
     parts = salted.groupBy("entity", "salt").agg(F.count(F.lit(1)).alias("n"), *marks)
     facts = parts.groupBy("entity").agg(F.sum("n").alias("with_entity"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"))
-    per_salt = parts.select("entity", "salt").join(facts.select("entity", "with_entity", F.struct("with_entity", "x1", "x2").alias("class")), "entity")
-    return salted.join(per_salt, ["entity", "salt"]).select("print", "class", "with_entity").distinct()
+    per_salt = parts.select("entity", "salt").join(facts.select("entity", "with_entity", F.struct("with_entity", "x1", "x2").alias("class")).hint("merge"), "entity")
+    return salted.join(per_salt.hint("merge"), ["entity", "salt"]).select("print", "class", "with_entity").distinct()
 
 
 def _with_term(texts: DataFrame, prints: DataFrame, terms: DataFrame) -> DataFrame:
@@ -143,7 +144,7 @@ def _with_term(texts: DataFrame, prints: DataFrame, terms: DataFrame) -> DataFra
     asked = maybe_in(words, "hash", bitmap(terms.select(F.xxhash64("term").alias("hash")), "hash")).where("maybe")
     counts = asked.groupBy("term", "of").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.groupBy("term").agg(F.sum(F.when(F.col("of").isNull(), F.col("n")).otherwise(1)).alias("with_term"))
-    return counts.join(terms, "term", "left_semi")
+    return counts.join(terms.hint("merge"), "term", "left_semi")
 
 
 def disclosing_terms(held: DataFrame, texts: DataFrame, support: int, generalise: float, remove: float) -> DataFrame:
@@ -153,7 +154,7 @@ def disclosing_terms(held: DataFrame, texts: DataFrame, support: int, generalise
     together = held.groupBy("class", "with_entity", "term").agg(F.count(F.lit(1)).alias("together"))
     terms = durable(held.select("term").distinct(), "pii-terms")
     counts = durable(_with_term(texts, prints, terms), "pii-counts", after=(prints, terms))
-    scored = together.join(counts, "term")
+    scored = together.join(counts.hint("merge"), "term")
     entity = F.col("with_entity") / F.lit(total)
     information = -F.log(entity)
     given = (F.col("together") + F.lit(float(support)) * entity) / (F.col("with_term") + F.lit(float(support)))
@@ -183,21 +184,21 @@ def _spans(found: DataFrame, texts: DataFrame, support: int, generalise: float,
     own = found.where(F.size("base") > 0).dropDuplicates(["row"])
     once = own.dropDuplicates(["print"])
     entities = durable(_entities(own), "pii-entities")
-    held = durable(_classes(entities).join(once.select("print", F.explode(F.array_distinct(_terms("text"))).alias("term")), "print"), "pii-held", after=(entities,))
+    held = durable(_classes(entities).join(once.select("print", F.explode(F.array_distinct(_terms("text"))).alias("term")).hint("merge"), "print"), "pii-held", after=(entities,))
     flagged = disclosing_terms(held, texts, support, generalise, remove)
     removed = KINDS.index("remove")
     # a term of two entities takes the stronger kind
     strength = F.max(F.when(F.col("kind") == "remove", removed).otherwise(KINDS.index("generalise"))).alias("ord")
-    hits = held.join(flagged, ["class", "term"]).groupBy("print", "term").agg(strength)
+    hits = held.join(flagged.hint("merge"), ["class", "term"]).groupBy("print", "term").agg(strength)
     pieces = F.arrays_zip(F.split("text", F.lit(WORD), -1).alias("gap"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("word"))
     each = own.select("row", "print", F.posexplode(pieces).alias("i", "piece")).where("piece.word is not null")
     upto = Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     places = each.select("row", "print", "piece.word", F.sum(F.length("piece.gap") + F.length("piece.word")).over(upto).cast("int").alias("stop"))
     places = places.select("row", "print", F.lower("word").alias("term"), (F.col("stop") - F.length("word")).alias("start"), "stop")
     span = F.struct("start", "ord", F.when(F.col("ord") == removed, "remove").otherwise("generalise").alias("kind"), "stop")
-    extra = durable(places.join(hits, ["print", "term"]).groupBy("row").agg(F.collect_list(span).alias("extra")), "pii-extra", after=(held,))
+    extra = durable(places.join(hits.hint("merge"), ["print", "term"]).groupBy("row").agg(F.collect_list(span).alias("extra")), "pii-extra", after=(held,))
     small = found.where((F.size("base") > 0) | (F.size("secrets") > 0)).select("row", "base", "secrets").dropDuplicates(["row"])
-    return small.join(extra, "row", "left").select("row", "base", _all_spans().alias("spans"))
+    return small.join(extra.hint("merge"), "row", "left").select("row", "base", _all_spans().alias("spans"))
 
 
 def _all_spans() -> Column:
@@ -219,7 +220,7 @@ def find_personal_data(docs: DataFrame, support: int = SUPPORT, generalise: floa
     found = durable(_found(named), "pii-found")
     spans = _spans(found, named.select("print", "text"), support, generalise, remove)
     some = (F.size("base") > 0) | (F.size("secrets") > 0)
-    hit = found.where(some).select("id", "row").join(spans, "row").select("id", "base", "spans")
+    hit = found.where(some).select("id", "row").join(spans.hint("merge"), "row").select("id", "base", "spans")
     none = found.where(~some).select("id", "base", F.col("base").alias("spans"))
     return hit.unionByName(none).withColumnRenamed("id", id_col)
 
@@ -245,6 +246,6 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERA
     packed = docs.select(own, plain_text(F.col(text_col)).alias("text"), F.col(id_col).alias("id")).select("own", "text", _row(F.col("id"), F.col("text")).alias("row"))
     flagged = maybe_in(packed, "row", bitmap(spans, "row"))
     clean = flagged.where("not maybe").select("own.*")
-    hit = flagged.where("maybe").join(spans, "row", "left").select("own", F.when(F.col("spans").isNotNull(), sanitised_text()).otherwise(F.col(f"own.`{text_col}`")).alias("text"))
+    hit = flagged.where("maybe").join(spans.hint("merge"), "row", "left").select("own", F.when(F.col("spans").isNotNull(), sanitised_text()).otherwise(F.col(f"own.`{text_col}`")).alias("text"))
     hit = hit.select(*[F.col("text").alias(c) if c == text_col else F.col(f"own.`{c}`").alias(c) for c in names])
     return clean.unionByName(hit)

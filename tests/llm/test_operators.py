@@ -622,3 +622,15 @@ def test_near_dedup_shuffles_no_text_to_drop_repeats(spark):
         assert got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange") == 2
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("find", [pii.sanitise, near_dedup.drop_near_copies])
+def test_what_an_explode_has_made_is_not_broadcast(spark, monkeypatch, find):
+    """Spark takes exploded rows for as few as before, so their joins would reach the driver's memory."""
+    plans = []
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    for module in (components, near_dedup, pii):
+        monkeypatch.setattr(module, "durable", lambda df, *a, own=module.durable, **k: (plan(df), own(df, *a, **k))[1])
+    plan(find(spark.read.parquet(f"{SMALL}/documents.parquet")))
+    keys = set().union(*(re.findall(r"(\w+)#", m) for p in plans for m in re.findall(r"BroadcastHashJoin \[([^\]]*)\]", p)))
+    assert sum("SortMergeJoin" in p for p in plans) > 3 and not keys & {"print", "term", "class", "entity", "node", "key", "c", "a", "b"}
