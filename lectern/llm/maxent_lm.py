@@ -15,7 +15,7 @@ the same features of the history - the word before, the two before (an n-gram) a
 Training is distributed: in each round every task takes gradient steps over its own texts from the
 weights all share, and sends by how much each row of the tables moved. The moves are averaged row by row,
 weighted by how often a task saw the row, so that what one task alone has seen isn't diluted. Every
-training text belongs to one round. The model's scores therefore depend on how the table is dealt into
+training text belongs to one round, and at most ``LEARNERS`` tasks learn in one, so that their moves stay bounded. The model's scores therefore depend on how the table is dealt into
 tasks, and on the order of a task's rows; the base score does not. What the driver holds is the model; its
 tables follow the number of training tokens up to a fixed bound (``rows_for``), as they are broadcast.
 
@@ -48,6 +48,8 @@ BATCH = 8192
 #: A row that is met in more tokens of a batch is summed up by itself.
 FEW = 12
 ROUNDS, RATE = 2, 0.6
+#: Tasks that learn in a round, at most: each sends moves of up to the model's size, so what is shuffled doesn't grow past that.
+LEARNERS = 128
 #: Words are counted in a task up to so many at a time.
 COUNTED = 1 << 21
 END = np.uint64(0x5D1F_0E4D_A3C2_9B71)
@@ -313,12 +315,14 @@ def train(texts: DataFrame, counts: Counts) -> tuple[MaxentModel, np.ndarray]:
     """The trained model, and the tail's weight in each bucket; ``texts`` has ``text`` and ``round``."""
     spark = texts.sparkSession
     model, tail = _untrained(counts)
+    if texts.rdd.getNumPartitions() > LEARNERS:  # fewer stay as they are dealt
+        texts = texts.coalesce(LEARNERS)
     for k in range(ROUNDS):
         sent = spark.sparkContext.broadcast(model)
         moves = texts.where(F.col("round") == k).select("text").mapInArrow(_moved(sent, RATE / (k + 1)), MOVES)
         merged = moves.repartition("level", "block").mapInArrow(_averaged, MOVES).toArrow()  # the size of the model at most
         for x in merged.to_pylist():
-            rows = np.frombuffer(x["rows"], "<u2") + x["block"] * BLOCK
+            rows = np.frombuffer(x["rows"], "<u2").astype(np.int64) + x["block"] * BLOCK  # past 2^16 in large tables
             model.weights[x["level"]][rows] += np.frombuffer(x["moves"], "<f4").reshape(len(rows), -1)
         sent.unpersist()
     return model, tail

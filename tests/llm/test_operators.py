@@ -140,6 +140,33 @@ def test_scores_by_hand(spark):
         assert got[k] == pytest.approx(total / math.log(10), rel=1e-4)
 
 
+def test_moves_reach_rows_past_two_bytes(spark, monkeypatch):
+    """A corpus of over 134 million tokens has tables of more than 2^16 rows."""
+    monkeypatch.setattr(maxent_lm, "FEWEST_ROWS", 1 << 17)
+    texts = [" ".join(f"w{(k * j) % 1700}" for j in range(1, 120)) for k in range(20)]
+    frame = spark.createDataFrame([(t, 0) for t in texts], "text string, round long").coalesce(1)
+    counts = maxent_lm._gathered(maxent_lm.word_counts(frame))
+    learner = maxent_lm.Learner(maxent_lm._untrained(counts)[0], maxent_lm.RATE)
+    learner.learn(*maxent_lm.tokens_of([t.encode() for t in texts]))
+    model, _ = maxent_lm.train(frame, counts)
+    assert [len(w) for w in model.weights] == [1 << 15, 1 << 17, 1 << 17] and learner.met[1][1 << 16 :].any()
+    for got, wanted in zip(model.weights, learner.model.weights):
+        np.testing.assert_allclose(got, wanted, atol=2e-3)
+
+
+def test_no_more_tasks_learn_than_bounded(spark, monkeypatch):
+    def tasks(batches):
+        met = Counter((x["level"], x["block"]) for b in batches for x in b.to_pylist())
+        if max(met.values(), default=0) > 3:
+            raise ValueError("more than three tasks sent moves of a row")
+        yield from ()
+
+    monkeypatch.setattr(maxent_lm, "LEARNERS", 3)
+    monkeypatch.setattr(maxent_lm, "_averaged", tasks)
+    frame = spark.createDataFrame([(f"a{k} b c", k % 2) for k in range(64)], "text string, round long").repartition(16)
+    maxent_lm.train(frame, maxent_lm._gathered(maxent_lm.word_counts(frame)))
+
+
 def test_known_words_are_the_most_frequent(spark, monkeypatch):
     monkeypatch.setattr(maxent_lm, "KNOWN", 200)
     flat = spark.range(5000).selectExpr("xxhash64(id) as word", "if(id < 50, 9L, 1L) as n")
